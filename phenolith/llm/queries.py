@@ -5,21 +5,43 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from phenolith.llm import rendezvous, sp_bpe
 from phenolith.llm.decontam import decontaminate
 from phenolith.llm.runtime import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+def op1_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
+    model = sp_bpe.model_bytes(tokenizer_path())
+    ids = sp_bpe.encode(table(spark, d, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    both = sp_bpe.decode(ids, model)
+    return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+
+
 def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("items")
 
 
+SHARDS = 16
+
+
+def op9_rendezvous(spark: SparkSession, d: str) -> DataFrame:
+    return rendezvous.shard(table(spark, d, "documents"), dict.fromkeys(range(SHARDS), 1.0), grown=dict.fromkeys(range(SHARDS + 1), 1.0))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"op4_decontaminate": op4_decontaminate, "pipeline": corpus_pipeline.run}
+    return {"op1_sentencepiece": op1_sentencepiece, "op4_decontaminate": op4_decontaminate, "op9_rendezvous": op9_rendezvous, "pipeline": corpus_pipeline.run}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenolith.llm import rendezvous, sp_bpe
+from phenolith.llm import rendezvous, sigtree, sp_bpe
 from phenolith.llm.decontam import decontaminate
 from phenolith.llm.runtime import table
 
@@ -38,10 +38,14 @@ def op9_rendezvous(spark: SparkSession, d: str) -> DataFrame:
     return rendezvous.shard(table(spark, d, "documents"), dict.fromkeys(range(SHARDS), 1.0), grown=dict.fromkeys(range(SHARDS + 1), 1.0))
 
 
+def op10_jaccard(spark: SparkSession, d: str) -> DataFrame:
+    return sigtree.jaccard_components(table(spark, d, "documents"))
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"op1_sentencepiece": op1_sentencepiece, "op4_decontaminate": op4_decontaminate, "op9_rendezvous": op9_rendezvous, "pipeline": corpus_pipeline.run}
+    return {"op1_sentencepiece": op1_sentencepiece, "op4_decontaminate": op4_decontaminate, "op9_rendezvous": op9_rendezvous, "op10_jaccard": op10_jaccard, "pipeline": corpus_pipeline.run}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -24,6 +24,8 @@ _LOWER[65:91] += 32
 #: A word byte is a digit, a letter a-z (after lower-casing) or any byte of a non-ASCII character.
 ALNUM = np.zeros(256, bool)
 ALNUM[48:58] = ALNUM[97:123] = ALNUM[65:91] = ALNUM[128:] = True
+LETTERS = ALNUM.copy()
+LETTERS[48:58] = False
 #: Everything but the space and \t \n \v \f \r.
 NONSPACE = np.ones(256, bool)
 NONSPACE[9:14] = NONSPACE[32] = False
@@ -90,10 +92,18 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # len(texts) + 1
+    total: np.ndarray  # running sums that hashes of any byte range come from
 
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
 
+    def head(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """(words of more than n bytes, hashes of their first n bytes)."""
+        at = np.flatnonzero(self.end - self.start > n)
+        begin = self.start[at]
+        h = (self.total[begin + n] - self.total[begin]) * _powers(len(self.data) + 1)[1][begin]
+        return at, mix(h + _U(n << 32))
+
     @property
     def doc(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
@@ -106,7 +116,7 @@ def words(col: pa.Array, is_word: np.ndarray) -> Words:
     n = len(data)
     if not n:
         none = np.zeros(0, np.int64)
-        return Words(data, none, none, none.astype(np.uint64), np.zeros(len(off), np.int64))
+        return Words(data, none, none, none.astype(np.uint64), np.zeros(len(off), np.int64), np.zeros(1, np.uint64))
     inside = np.zeros(n + 2, bool)
     inside[1:-1] = is_word[raw]
     edge = off[(off > 0) & (off < n)]
@@ -120,7 +130,7 @@ def words(col: pa.Array, is_word: np.ndarray) -> Words:
     total = np.zeros(n + 1, np.uint64)
     np.cumsum((data.astype(np.uint64) + _U(1)) * power[:n], out=total[1:])
     h = (total[end] - total[start]) * inverse[start]
-    return Words(data, start, end, mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, off))
+    return Words(data, start, end, mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, off), total)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

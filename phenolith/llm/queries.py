@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenolith.llm import rendezvous, sigtree, sp_bpe
+from phenolith.llm import mih, rendezvous, sigtree, sp_bpe, toxicity
 from phenolith.llm.decontam import decontaminate
 from phenolith.llm.runtime import table
 
@@ -27,6 +27,18 @@ def op1_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def _share(modulus: int):
+    """crc32 of the document's id as text, modulo a number."""
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
+
+
+def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_share(3) == 1, F.lit(False))
+    model = toxicity.fit(docs.filter(~held_out), table(spark, d, "labels"))
+    return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
 def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("items")
 
@@ -38,6 +50,10 @@ def op9_rendezvous(spark: SparkSession, d: str) -> DataFrame:
     return rendezvous.shard(table(spark, d, "documents"), dict.fromkeys(range(SHARDS), 1.0), grown=dict.fromkeys(range(SHARDS + 1), 1.0))
 
 
+def op7_multi_index(spark: SparkSession, d: str) -> DataFrame:
+    return mih.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op10_jaccard(spark: SparkSession, d: str) -> DataFrame:
     return sigtree.jaccard_components(table(spark, d, "documents"))
 
@@ -45,7 +61,7 @@ def op10_jaccard(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"op1_sentencepiece": op1_sentencepiece, "op4_decontaminate": op4_decontaminate, "op9_rendezvous": op9_rendezvous, "op10_jaccard": op10_jaccard, "pipeline": corpus_pipeline.run}
+    return {"op1_sentencepiece": op1_sentencepiece, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op7_multi_index": op7_multi_index, "op9_rendezvous": op9_rendezvous, "op10_jaccard": op10_jaccard, "pipeline": corpus_pipeline.run}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenolith.llm import mih, rendezvous, sigtree, sp_bpe, toxicity
+from phenolith.llm import bytecnn, maxent, mih, rendezvous, sigtree, sp_bpe, toxicity
 from phenolith.llm.decontam import decontaminate
 from phenolith.llm.runtime import table
 
@@ -50,6 +50,19 @@ def op9_rendezvous(spark: SparkSession, d: str) -> DataFrame:
     return rendezvous.shard(table(spark, d, "documents"), dict.fromkeys(range(SHARDS), 1.0), grown=dict.fromkeys(range(SHARDS + 1), 1.0))
 
 
+def op5_maxent(spark: SparkSession, d: str) -> DataFrame:
+    learn = F.coalesce(_share(10) != 0, F.lit(False))
+    out = maxent.score(table(spark, d, "documents"), learn)
+    return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+def op6_bytecnn(spark: SparkSession, d: str) -> DataFrame:
+    docs = table(spark, d, "documents")
+    held_out = F.coalesce(_share(4) == 2, F.lit(False))
+    net = bytecnn.fit(docs.filter(~held_out))
+    return bytecnn.identify(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op7_multi_index(spark: SparkSession, d: str) -> DataFrame:
     return mih.nearest(table(spark, d, "embeddings"), F.col("vec_id") % 50 == 0)
 
@@ -61,7 +74,7 @@ def op10_jaccard(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"op1_sentencepiece": op1_sentencepiece, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op7_multi_index": op7_multi_index, "op9_rendezvous": op9_rendezvous, "op10_jaccard": op10_jaccard, "pipeline": corpus_pipeline.run}
+    return {"op1_sentencepiece": op1_sentencepiece, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_maxent": op5_maxent, "op6_bytecnn": op6_bytecnn, "op7_multi_index": op7_multi_index, "op9_rendezvous": op9_rendezvous, "op10_jaccard": op10_jaccard, "pipeline": corpus_pipeline.run}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

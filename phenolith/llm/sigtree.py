@@ -11,11 +11,13 @@ a pair of nodes is dropped if sizes are too far apart, if the overlap that
 bitmaps allow is too small, or if all are linked already.  What is left is
 compared set against set.
 
-* The order puts hashes of frequent cells of a count sketch last; the sketch
-  has a fixed size and covers all documents, so common lines and passages
-  seldom head a set.  The order never changes which links are found.
+* The order puts hashes of frequent cells of a count sketch last, and among the
+  others longer shingles first; the sketch has a fixed size and covers all
+  documents.  So common passages and chance meetings of short words seldom head
+  a set.  The order never changes which links are found.
+* A bitmap has four to eight bits a shingle; of two, the longer is folded.
 * First, classes are compared with the least class that shares one of their
-  four least hashes.  Those links give labels; hashes under which all classes
+  four least hashes of long shingles.  Those links give labels; hashes under which all classes
   have one label need no meeting, so large groups of near copies cost one
   comparison a class.  This step only saves work.
 * A meeting of more than ``CELL`` classes is dealt out as pairs of chunks, so no
@@ -45,22 +47,29 @@ from phenolith.llm.kernel import NONSPACE, grams, slices, words
 from phenolith.llm.runtime import stored
 
 SKETCH = 20  # bits: cells of the count sketch
-WIDTH = 32  # 64-bit words of a bitmap
-LOW = 4  # least hashes for the first step
+WIDTH = 32  # 64-bit words of a bitmap, at least
+LOW, LONG = 4, 20  # least hashes for the first step, among shingles of so many bytes
 CELL = 2048  # classes of one side of a dealt meeting
 SALT = 64  # members compared with one copy of a hub's text
 NODE = 16  # members of a leaf and children of a node
 NO_ID = -(1 << 63)
 
 
-def shingle_sets(col: pa.Array, k: int) -> list[np.ndarray]:
-    """Sorted distinct 64-bit shingle hashes of each text."""
+def shingle_sets(col: pa.Array, k: int, sizes: bool = False) -> list:
+    """Sorted distinct 64-bit shingle hashes of each text; with ``sizes``, also the bytes of each shingle's words."""
     w = words(col, NONSPACE)
     by_n = {n: grams(w.hash, n) for n in {min(k, int(x)) for x in np.diff(w.first)} - {0}}
+    length = np.concatenate(([0], np.cumsum(w.end - w.start)))
     out = []
     for a, b in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True):
         n = min(k, b - a)
-        out.append(np.unique(by_n[n][a : b - n + 1]) if n else np.zeros(0, np.uint64))
+        if not n:
+            out.append((np.zeros(0, np.uint64), np.zeros(0, np.int64)) if sizes else np.zeros(0, np.uint64))
+        elif sizes:
+            s, first = np.unique(by_n[n][a : b - n + 1], return_index=True)
+            out.append((s, length[a + first + n] - length[a + first]))
+        else:
+            out.append(np.unique(by_n[n][a : b - n + 1]))
     return out
 
 
@@ -74,9 +83,22 @@ def least_overlap(a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
 
 
 def bitmap(s: np.ndarray) -> np.ndarray:
-    bits = np.zeros(WIDTH * 64, np.uint8)
-    bits[((s >> np.uint64(20)) % np.uint64(WIDTH * 64)).astype(np.int64)] = 1
-    return np.packbits(bits).view(np.uint64)
+    """One bit a hash in four to eight times as many bits, a power of two."""
+    bits = max(WIDTH * 64, 1 << (4 * len(s) - 1).bit_length())
+    out = np.zeros(bits, np.uint8)
+    out[((s >> np.uint64(20)) & np.uint64(bits - 1)).astype(np.int64)] = 1
+    return np.packbits(out).view(np.uint64)
+
+
+def folded(sig: np.ndarray, width: int) -> np.ndarray:
+    """Bitmaps (a row each) brought to ``width`` words."""
+    return np.bitwise_or.reduce(sig.reshape(len(sig), -1, width), axis=1) if sig.shape[1] > width else sig
+
+
+def overlap_bound(n: np.ndarray, a: np.ndarray, m: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Shared hashes that bitmaps of equal width, row by row, allow to sets of n and m hashes."""
+    over = np.minimum(n - np.bitwise_count(a).sum(1, dtype=np.int64), m - np.bitwise_count(b).sum(1, dtype=np.int64))
+    return np.minimum(np.bitwise_count(a & b).sum(1, dtype=np.int64) + over, np.minimum(n, m))
 
 
 def cell(s: np.ndarray) -> np.ndarray:
@@ -168,10 +190,12 @@ def _shapes(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFra
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
-            sets = shingle_sets(b.column(1), k)
-            first = [s[np.argsort(shared.value[cell(s)], kind="stable")][: prefix_size(len(s), percent)] if len(s) else s for s in sets]
+            both = shingle_sets(b.column(1), k, True)
+            sets = [s for s, _ in both]
+            first = [s[np.lexsort((-size, shared.value[cell(s)]))][: prefix_size(len(s), percent)] if len(s) else s for s, size in both]
+            low = [(s[size >= LONG] if np.count_nonzero(size >= LONG) >= LOW else s)[:LOW] for s, size in both]
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([s[:LOW].view(np.int64) for s in sets], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in first], pa.list_(pa.int64()))],
+                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in low], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in first], pa.list_(pa.int64()))],
                 names=["doc_id", "n", "digest", "sig", "low", "prefix"],
             )
 
@@ -248,11 +272,14 @@ def _near_bound(pairs: DataFrame, percent: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = [np.frombuffer(b"".join(b.column(b.schema.get_field_index(c)).to_pylist()), np.uint64).reshape(-1, WIDTH) for c in ("a_sig", "b_sig")]
+            sig = [b.column(b.schema.get_field_index(c)).to_pylist() for c in ("a_sig", "b_sig")]
             n = [b.column(b.schema.get_field_index(c)).to_numpy() for c in ("a_n", "b_n")]
-            over = [m - np.bitwise_count(s).sum(1, dtype=np.int64) for m, s in zip(n, sig, strict=True)]
-            bound = np.bitwise_count(sig[0] & sig[1]).sum(1, dtype=np.int64) + np.minimum(*over)
-            ok = np.minimum(bound, np.minimum(*n)) >= least_overlap(n[0], n[1], percent)
+            wide = [np.array([len(x) // 8 for x in z]) for z in sig]
+            ok = np.zeros(b.num_rows, bool)
+            for wa, wb in sorted(set(zip(*(w.tolist() for w in wide), strict=True))):
+                at = np.flatnonzero((wide[0] == wa) & (wide[1] == wb))
+                x, y = (folded(np.frombuffer(b"".join([z[i] for i in at]), np.uint64).reshape(len(at), -1), min(wa, wb)) for z in sig)
+                ok[at] = overlap_bound(n[0][at], x, n[1][at], y) >= least_overlap(n[0][at], n[1][at], percent)
             yield b.filter(pa.array(ok)).select(["a", "a_id", "b", "b_id"])
 
     return pairs.mapInArrow(run, "a binary, a_id long, b binary, b_id long")
@@ -261,22 +288,22 @@ def _near_bound(pairs: DataFrame, percent: int) -> DataFrame:
 def _meetings(rows: DataFrame, percent: int) -> DataFrame:
     """Candidate pairs of rows (key, i, j, side, digest, id, n, sig, label), sorted by meeting."""
 
-    def pairs(group: list[tuple], i: int, j: int) -> tuple[list, list]:
+    def pairs(group: list[tuple], i: int, j: int) -> Iterator[tuple[tuple, tuple]]:
         label = {g: c for c, g in enumerate(dict.fromkeys(r[8] for r in group))}
+        bands: dict[tuple[int, int], list[tuple]] = {}  # one tree for each side and width
+        for r in group:
+            bands.setdefault((len(r[7]) // 8, r[3]), []).append(r)
 
-        def tree(part):
-            return Tree(np.array([r[6] for r in part], np.int64), np.frombuffer(b"".join(r[7] for r in part), np.uint64).reshape(-1, WIDTH), np.array([label[r[8]] for r in part], np.int64))
+        def tree(part: list[tuple], width: int) -> Tree:
+            return Tree(np.array([r[6] for r in part], np.int64), folded(np.frombuffer(b"".join(r[7] for r in part), np.uint64).reshape(len(part), -1), width), np.array([label[r[8]] for r in part], np.int64))
 
-        if i == j:
-            left = right = group
-            t = tree(group)
-            x, y = walk(t, t, percent)
-        else:
-            left, right = [r for r in group if r[3] == i], [r for r in group if r[3] == j]
-            if not left or not right:
-                return [], []
-            x, y = walk(tree(left), tree(right), percent)
-        return [left[p] for p in x.tolist()], [right[q] for q in y.tolist()]
+        for at, (one, left) in enumerate(sorted(bands.items())):
+            for two, right in sorted(bands.items())[at:]:
+                if (i != j and one[1] == two[1]) or 100 * max(r[6] for r in left) < percent * min(r[6] for r in right):
+                    continue
+                t = tree(left, one[0])
+                x, y = walk(t, t if left is right else tree(right, one[0]), percent)
+                yield from ((left[p], right[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
@@ -284,7 +311,7 @@ def _meetings(rows: DataFrame, percent: int) -> DataFrame:
 
         def close() -> None:
             if len(group) > 1 and len({r[8] for r in group}) > 1:
-                for p, q in zip(*pairs(group, group[0][1], group[0][2]), strict=True):
+                for p, q in pairs(group, group[0][1], group[0][2]):
                     a, b = ((p[5], p[4]), (q[5], q[4])) if (p[5], p[4]) < (q[5], q[4]) else ((q[5], q[4]), (p[5], p[4]))
                     out.append((a[1], a[0], b[1], b[0]))
 

@@ -24,6 +24,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -138,33 +139,61 @@ def decontaminate(documents: DataFrame, benchmark: DataFrame, *, window: int = 1
     """One row per document: words, words inside shared windows, and the items that share one."""
     if window < K:
         raise ValueError(f"window must be at least {K}")
-    spark = documents.sparkSession
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("item_text")).dropna()
-    size = bench.agg(F.coalesce(F.sum(F.octet_length("item_text") + F.octet_length("item_id")), F.lit(0))).first()[0]
-    if size > max_broadcast_bytes:
-        return _shuffled(docs, bench, window, percent)
-    rows = bench.collect()  # its size was just checked
-    shared = spark.sparkContext.broadcast(([r.item_id for r in rows], [r.item_text for r in rows]))
+    bench, shared = _bench(benchmark, max_broadcast_bytes)
+    if shared is None:
+        return _shuffled(docs, bench, window, percent).drop("_key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value, window)
         for b in slices(batches, "text"):
-            w = words(b.column(1), ALNUM)
-            lo, hi, item = index.hits(w)
-            n_hit, n_words = _marked(w, lo, hi), np.diff(w.first)
-            found: list[set] = [set() for _ in range(b.num_rows)]
-            for d, i in zip(np.searchsorted(w.first[1:], lo, "right").tolist(), item.tolist(), strict=True):
-                found[d].add(index.ids[i])
-            items = [sorted(x) for x in found]
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([items_digest(x) for x in items], pa.string()), pa.array((n_hit > 0) & (100 * n_hit >= percent * n_words)), pa.array(items, pa.list_(pa.string()))],
-                names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
-            )
+            yield _judged(index, b.column(0), b.column(1), percent)
 
     return docs.mapInArrow(run, SCHEMA)
 
 
+def clean(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, percent: int = 5, max_broadcast_bytes: int = MAX_BROADCAST) -> DataFrame:
+    """The rows, whole and as they are, that aren't contaminated."""
+    bench, shared = _bench(benchmark, max_broadcast_bytes)
+    if shared is None:
+        docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+        bad = _shuffled(docs, bench, window, percent).filter("contaminated").select("_key").distinct()
+        keyed = documents.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+        return keyed.join(bad, "_key", "left_anti").select(*documents.columns)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = Index(*shared.value, window)
+        for b in slices(batches, "text"):
+            id, text = (b.column(b.schema.get_field_index(c)) for c in ("doc_id", "text"))
+            yield b.filter(pc.invert(_judged(index, id, text, percent).column(5)))
+
+    return documents.mapInArrow(run, documents.schema)
+
+
+def _judged(index: Index, id: pa.Array, text: pa.Array, percent: int) -> pa.RecordBatch:
+    w = words(text, ALNUM)
+    lo, hi, item = index.hits(w)
+    n_hit, n_words = _marked(w, lo, hi), np.diff(w.first)
+    found: list[set] = [set() for _ in range(len(text))]
+    for d, i in zip(np.searchsorted(w.first[1:], lo, "right").tolist(), item.tolist(), strict=True):
+        found[d].add(index.ids[i])
+    items = [sorted(x) for x in found]
+    return pa.RecordBatch.from_arrays(
+        [id, pa.array(n_words), pa.array(n_hit), pa.array([len(x) for x in items], pa.int64()), pa.array([items_digest(x) for x in items], pa.string()), pa.array((n_hit > 0) & (100 * n_hit >= percent * n_words)), pa.array(items, pa.list_(pa.string()))],
+        names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated", "items"],
+    )
+
+
+def _bench(benchmark: DataFrame, max_broadcast_bytes: int):
+    """The benchmark's ids and texts, and their broadcast while they are small enough."""
+    bench = benchmark.select(F.col("item_id").cast("string").alias("item_id"), F.col("text").cast("string").alias("item_text")).dropna()
+    size = bench.agg(F.coalesce(F.sum(F.octet_length("item_text") + F.octet_length("item_id")), F.lit(0))).first()[0]
+    if size > max_broadcast_bytes:
+        return bench, None
+    rows = bench.collect()  # its size was just checked
+    return bench, benchmark.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.item_text for r in rows]))
+
+
 def _shuffled(docs: DataFrame, bench: DataFrame, window: int, percent: int) -> DataFrame:
     """The same rows when the benchmark is too large to send to every task: kept hashes
     (and whole short items) of both sides meet in a join, pairs of a document and an item that
@@ -213,4 +242,4 @@ def _shuffled(docs: DataFrame, bench: DataFrame, window: int, percent: int) -> D
 
     out = keyed.mapInArrow(count, "doc_id long, _key long, n_words long").join(per_doc, "_key", "left").join(per_item, "_key", "left")
     items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0))
-    return out.select("doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"), items.alias("items"))
+    return out.select("_key", "doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"), items.alias("items"))

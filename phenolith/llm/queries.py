@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from phenolith.llm import bytecnn, maxent, mih, rendezvous, sigtree, sp_bpe, toxicity
+from phenolith.llm import bytecnn, maxent, mih, packing, rendezvous, sigtree, sp_bpe, surrogate, toxicity
 from phenolith.llm.decontam import decontaminate
 from phenolith.llm.runtime import table
 
@@ -27,6 +27,13 @@ def op1_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
 
+def op2_packing(spark: SparkSession, d: str) -> DataFrame:
+    import public_tokenizers
+
+    encoder = packing.tiktoken_encoder(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return packing.pack(table(spark, d, "documents"), encoder, vocabulary=50256, end=50256, pad=50256)
+
+
 def _share(modulus: int):
     """crc32 of the document's id as text, modulo a number."""
     return F.crc32(F.col("doc_id").cast("string").cast("binary")) % modulus
@@ -43,6 +50,15 @@ def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
     return decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("items")
 
 
+#: Production jobs take their own key from their secret store.
+SURROGATE_KEY = b"phenolith surrogate key"
+
+
+def op8_surrogates(spark: SparkSession, d: str) -> DataFrame:
+    out = surrogate.pseudonymize(table(spark, d, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    return out.select("doc_id", F.size("entities").alias("n_entities"), F.col("entities.kind").alias("kinds"), "text")
+
+
 SHARDS = 16
 
 
@@ -74,7 +90,7 @@ def op10_jaccard(spark: SparkSession, d: str) -> DataFrame:
 def queries() -> dict[str, Query]:
     import corpus_pipeline
 
-    return {"op1_sentencepiece": op1_sentencepiece, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_maxent": op5_maxent, "op6_bytecnn": op6_bytecnn, "op7_multi_index": op7_multi_index, "op9_rendezvous": op9_rendezvous, "op10_jaccard": op10_jaccard, "pipeline": corpus_pipeline.run}
+    return {"op1_sentencepiece": op1_sentencepiece, "op2_packing": op2_packing, "op3_toxicity": op3_toxicity, "op4_decontaminate": op4_decontaminate, "op5_maxent": op5_maxent, "op6_bytecnn": op6_bytecnn, "op7_multi_index": op7_multi_index, "op8_surrogates": op8_surrogates, "op9_rendezvous": op9_rendezvous, "op10_jaccard": op10_jaccard, "pipeline": corpus_pipeline.run}
 
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

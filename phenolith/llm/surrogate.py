@@ -218,12 +218,19 @@ class Surrogates:
         return _refill(s, f"{country}{(_bank_check(country, new) + shift) % 100:02d}{new}")
 
     def _host(self, s: str) -> str:
-        now = kind = tuple(int(x) for x in s.split("."))
+        """Private and special addresses change within their own net, public ones among the public."""
+        now = tuple(int(x) for x in s.split("."))
         kind = _host_kind(now)
-        while True:
-            now = tuple(self.cycle["host"].next(list(now), (256,) * 4))
-            if _host_kind(now) == kind:
-                return ".".join(map(str, now))
+        if kind == "public":
+            while True:
+                now = tuple(self.cycle["host"].next(list(now), (256,) * 4))
+                if _host_kind(now) == kind:
+                    return ".".join(map(str, now))
+        if now[0] == 172:
+            second, *rest = self.cycle["host"].next([now[1] - 16, *now[2:]], (16, 256, 256))
+            return ".".join(map(str, (172, 16 + second, *rest)))
+        kept = 2 if now[:2] in ((192, 168), (169, 254)) else 1
+        return ".".join(map(str, (*now[:kept], *self.cycle["host"].next(list(now[kept:]), (256,) * (4 - kept)))))
 
     def _name(self, s: str) -> str:
         if s in _GENDER:

@@ -24,12 +24,22 @@ def shared_dir(spark: SparkSession) -> str:
     return path
 
 
+#: Lets Spark delete a plan's shuffle files as soon as it has run.
+_CLEAN = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet into the shared folder and read it back: lineage is cut,
-    and a lost executor costs a re-read instead of a recomputation."""
+    a lost executor costs a re-read instead of a recomputation, and shuffle files of
+    the plan go once it is written."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/phenolith/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    before = spark.conf.get(_CLEAN, "false")
+    spark.conf.set(_CLEAN, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEAN, before)
     return spark.read.schema(df.schema).parquet(path)
 
 

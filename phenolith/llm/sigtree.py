@@ -15,7 +15,8 @@ compared set against set.
   others longer shingles first; the sketch has a fixed size and covers all
   documents.  So common passages and chance meetings of short words seldom head
   a set.  The order never changes which links are found.
-* A bitmap has four to eight bits a shingle; of two, the longer is folded.
+* A bitmap has four to eight bits a shingle; trees hold it folded to one size, and
+  the pairs they leave are held against the whole bitmaps.
 * First, classes are compared with the least class that shares one of their
   four least hashes of long shingles.  Those links give labels; hashes under which all classes
   have one label need no meeting, so large groups of near copies cost one
@@ -46,7 +47,7 @@ from phenolith.llm.components import components
 from phenolith.llm.kernel import NONSPACE, grams, slices, words
 from phenolith.llm.runtime import stored
 
-SKETCH = 20  # bits: cells of the count sketch
+SKETCH, BLOCK = 22, 16  # bits: cells of the count sketch, and of one block of it
 WIDTH = 32  # 64-bit words of a bitmap, at least
 LOW, LONG = 4, 20  # least hashes for the first step, among shingles of so many bytes
 CELL = 2048  # classes of one side of a dealt meeting
@@ -168,66 +169,121 @@ def walk(a: Tree, b: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
-def _sketch(docs: DataFrame, k: int) -> np.ndarray:
-    """A level for each cell of a fixed-size count sketch of all shingles; 0 unless frequent."""
+def _scan(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
+    """(doc_id, n, digest) of every row; and a level for each cell of a fixed-size count sketch
+    of all shingles, 0 unless the cell is clearly over the mean."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << SKETCH, np.int64)
+        counts = np.zeros(1 << SKETCH, np.uint32)
         for b in slices(batches, "text"):
-            w = words(b.column(0), NONSPACE)
-            counts += np.bincount(cell(grams(w.hash, k)), minlength=len(counts))
-        often = np.flatnonzero(counts > 4 * counts.mean() + 16)
-        yield pa.RecordBatch.from_arrays([pa.array(often), pa.array(counts[often])], names=["cell", "n"])
+            sets = shingle_sets(b.column(1), k)
+            if any(map(len, sets)):
+                np.add.at(counts, cell(np.concatenate(sets)), 1)
+            none = pa.nulls(len(sets), pa.int32())
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), none], names=["doc_id", "n", "digest", "block"])
+        blocks = np.minimum(counts, 255).astype(np.uint8).reshape(-1, 1 << BLOCK)
+        full = np.flatnonzero(blocks.any(1))
+        yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array([blocks[i].tobytes() for i in full], pa.binary()), pa.array(full, pa.int32())], names=["doc_id", "n", "digest", "block"])
 
-    cells = docs.select("text").mapInArrow(run, "cell long, n long").groupBy("cell").agg(F.sum("n").alias("n")).toPandas()  # at most 2**SKETCH rows
-    level = np.zeros(1 << SKETCH, np.uint8)
-    level[cells["cell"].to_numpy(np.int64)] = np.frexp(cells["n"].to_numpy(float))[1]
-    return level
+    both = stored(docs.mapInArrow(run, "doc_id long, n long, digest binary, block int"), "scan")
 
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, total = None, np.zeros(1 << BLOCK, np.int64)
 
-def _shapes(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFrame:
+        def level() -> pa.RecordBatch:
+            mean = total.mean()
+            out = np.where(total > mean + 6 * np.sqrt(mean) + 3, np.frexp(total.astype(float))[1], 0).astype(np.uint8)
+            return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([out.tobytes()], pa.binary())], names=["block", "level"])
+
+        for b in batches:
+            for i, v in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if i != at:
+                    if at is not None:
+                        yield level()
+                    at, total = i, np.zeros(1 << BLOCK, np.int64)
+                total += np.frombuffer(v, np.uint8)
+        if at is not None:
+            yield level()
+
+    blocks = both.filter("block is not null").select("block", "digest").repartition(1 << (SKETCH - BLOCK), "block").sortWithinPartitions("block")
+    level = np.zeros((1 << (SKETCH - BLOCK), 1 << BLOCK), np.uint8)
+    for r in blocks.mapInArrow(add, "block int, level binary").toLocalIterator():  # 2**SKETCH bytes
+        level[r.block] = np.frombuffer(r.level, np.uint8)
+    return both.filter("block is null").drop("block"), level.ravel()
+
+
+def _classes(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFrame:
+    """(digest, id, n, sig, low, prefix) of every distinct set; ``id`` is its least document's."""
     shared = docs.sparkSession.sparkContext.broadcast(level)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             both = shingle_sets(b.column(1), k, True)
-            sets = [s for s, _ in both]
-            first = [s[np.lexsort((-size, shared.value[cell(s)]))][: prefix_size(len(s), percent)] if len(s) else s for s, size in both]
+            some = [i for i, (s, _) in enumerate(both) if len(s)]
+            both = [both[i] for i in some]
+            first = [s[np.lexsort((-size, shared.value[cell(s)]))][: prefix_size(len(s), percent)] for s, size in both]
             low = [(s[size >= LONG] if np.count_nonzero(size >= LONG) >= LOW else s)[:LOW] for s, size in both]
+            many = lambda x: pa.array([s.view(np.int64) for s in x], pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([digest(s) for s in sets], pa.binary()), pa.array([bitmap(s).tobytes() if len(s) else None for s in sets], pa.binary()), pa.array([s.view(np.int64) for s in low], pa.list_(pa.int64())), pa.array([s.view(np.int64) for s in first], pa.list_(pa.int64()))],
+                [b.column(0).take(pa.array(some, pa.int64())), pa.array([len(s) for s, _ in both], pa.int64()), pa.array([digest(s) for s, _ in both], pa.binary()), pa.array([bitmap(s).tobytes() for s, _ in both], pa.binary()), many(low), many(first)],
                 names=["doc_id", "n", "digest", "sig", "low", "prefix"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, sig binary, low array<long>, prefix array<long>")
+    each = docs.mapInArrow(run, "doc_id long, n long, digest binary, sig binary, low array<long>, prefix array<long>")
+    out = stored(each.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), *[F.first(c).alias(c) for c in ("n", "sig", "low", "prefix")]), "classes")
+    shared.unpersist()
+    return out
 
 
 def _bloom(keys: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
-    """A test that holds for every value of a long column and for few others; 16 MB at most,
-    made in so few tasks that what they return stays under 64 MB."""
+    """A test that holds for every value of a long column and for few others: two bits a value in
+    32 times as many, 16 MB at most.  Tasks make parts of it that don't overlap; the driver
+    takes one after the other."""
     n = keys.count()
-    bits = int(np.clip(int(16 * n + 1).bit_length(), 16, 27))
+    bits, deal = int(np.clip(int(32 * n + 1).bit_length(), 16, 27)), 4
+
+    def places(v: np.ndarray) -> tuple[np.ndarray, ...]:
+        return tuple((v.view(np.uint64) * np.uint64(m) >> np.uint64(64 - bits)).astype(np.int64) for m in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F))
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            at = np.concatenate(places(b.column(0).to_numpy(zero_copy_only=False)))
+            yield pa.RecordBatch.from_arrays([pa.array((at >> (bits - deal)).astype(np.int32)), pa.array(at)], names=["part", "at"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(1 << bits, bool)
+        parts: dict[int, np.ndarray] = {}
         for b in batches:
-            v = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
-            out[(v * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([np.packbits(out).tobytes()], pa.binary())], names=["bits"])
-
-    few = max(1, min(16, (1 << 29) >> bits))
-    whole = np.zeros((1 << bits) // 8, np.uint8)
-    for r in keys.select(column).repartition(few).mapInArrow(run, "bits binary").collect():
-        whole |= np.frombuffer(r.bits, np.uint8)
+            part, at = b.column(0).to_numpy(), b.column(1).to_numpy()
+            for p in np.unique(part).tolist():
+                parts.setdefault(p, np.zeros(1 << (bits - deal), bool))[at[part == p] & ((1 << (bits - deal)) - 1)] = True
+        yield pa.RecordBatch.from_arrays([pa.array(list(parts), pa.int32()), pa.array([np.packbits(x).tobytes() for x in parts.values()], pa.binary())], names=["part", "bits"])
+
+    whole = np.zeros((1 << deal, (1 << bits - deal) // 8), np.uint8)
+    made = keys.select(column).mapInArrow(place, "part int, at long").repartition(1 << deal, "part").mapInArrow(run, "part int, bits binary")
+    for r in made.toLocalIterator():
+        whole[r.part] = np.frombuffer(r.bits, np.uint8)
+    whole = whole.ravel()
     shared = keys.sparkSession.sparkContext.broadcast(whole)
 
     def test(v: np.ndarray) -> np.ndarray:
-        at = (v.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(64 - bits)).astype(np.int64)
-        return (shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool)
+        one, two = ((shared.value[at >> 3] >> (7 - (at & 7)).astype(np.uint8) & 1).astype(bool) for at in places(v))
+        return one & two
 
     return test
 
 
+def _picked(classes: DataFrame, wanted: DataFrame) -> DataFrame:
+    """Classes whose digest is in ``wanted``, and few others: spares a join the rest's bitmaps."""
+    test = _bloom(wanted.select(F.xxhash64("digest").alias("h")).distinct(), "h")
+    columns = ["digest", "id", "n", "sig"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(test(b.column(0).to_numpy(zero_copy_only=False)))).select(columns)
+
+    return classes.select(F.xxhash64("digest").alias("h"), *columns).mapInArrow(run, classes.select(*columns).schema)
+
+
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, a_id, b, b_id) of classes whose sets reach the threshold, as (u, v)."""
     pairs = stored(pairs.withColumn("s", F.pmod(F.hash("b"), F.lit(1 << 30))), "pairs")
@@ -265,8 +321,11 @@ def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFr
     return stored(dealt.mapInArrow(compare, "u binary, v binary").distinct(), "links")
 
 
-def _near_bound(pairs: DataFrame, percent: int) -> DataFrame:
-    """Pairs whose sizes and bitmaps allow the threshold."""
+def _near_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """(a, a_id, b, b_id) of the pairs (a, b) whose sizes and whole bitmaps allow the threshold."""
+    picked = _picked(classes, pairs.select(F.col("a").alias("digest")).union(pairs.select("b")))
+    side = lambda x: picked.select(F.col("digest").alias(x), F.col("id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig"))
+    pairs = pairs.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -286,7 +345,7 @@ def _near_bound(pairs: DataFrame, percent: int) -> DataFrame:
 
 
 def _meetings(rows: DataFrame, percent: int) -> DataFrame:
-    """Candidate pairs of rows (key, i, j, side, digest, id, n, sig, label), sorted by meeting."""
+    """Candidate pairs (a, b) of rows (key, i, j, side, digest, id, n, sig, label), sorted by meeting."""
 
     def pairs(group: list[tuple], i: int, j: int) -> Iterator[tuple[tuple, tuple]]:
         label = {g: c for c, g in enumerate(dict.fromkeys(r[8] for r in group))}
@@ -312,11 +371,10 @@ def _meetings(rows: DataFrame, percent: int) -> DataFrame:
         def close() -> None:
             if len(group) > 1 and len({r[8] for r in group}) > 1:
                 for p, q in pairs(group, group[0][1], group[0][2]):
-                    a, b = ((p[5], p[4]), (q[5], q[4])) if (p[5], p[4]) < (q[5], q[4]) else ((q[5], q[4]), (p[5], p[4]))
-                    out.append((a[1], a[0], b[1], b[0]))
+                    out.append((p[4], q[4]) if (p[5], p[4]) < (q[5], q[4]) else (q[4], p[4]))
 
         def batch(part: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in part], t) for i, t in enumerate((pa.binary(), pa.int64(), pa.binary(), pa.int64()))], names=["a", "a_id", "b", "b_id"])
+            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in part], pa.binary()) for i in (0, 1)], names=["a", "b"])
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
@@ -330,7 +388,7 @@ def _meetings(rows: DataFrame, percent: int) -> DataFrame:
         close()
         yield batch(list(dict.fromkeys(out)))
 
-    return rows.mapInArrow(run, "a binary, a_id long, b binary, b_id long").distinct()
+    return rows.mapInArrow(run, "a binary, b binary").distinct()
 
 
 def jaccard_components(documents: DataFrame, *, k: int = 4, percent: int = 85) -> DataFrame:
@@ -340,22 +398,19 @@ def jaccard_components(documents: DataFrame, *, k: int = 4, percent: int = 85) -
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    shapes = stored(_shapes(docs, k, percent, _sketch(docs, k)), "shapes")
-    full = shapes.filter("digest is not null")
-    classes = stored(full.groupBy("digest").agg(F.coalesce(F.min("doc_id"), F.lit(NO_ID)).alias("id"), F.first("n").alias("n"), F.first("sig").alias("sig"), F.first("low").alias("low"), F.first("prefix").alias("prefix")), "classes")
+    shapes, level = _scan(docs, k)
+    classes = _classes(docs, k, percent, level)
 
     # each class with the least class that shares one of its least hashes
     low = classes.select("digest", "id", F.explode("low").alias("key"))
     hub = low.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("h"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("h.digest").alias("a"))
-    near = low.join(hub, "key").filter("digest != a").select("a", F.col("digest").alias("b")).distinct()
-    side = lambda x: classes.select(F.col("digest").alias(x), F.col("id").alias(f"{x}_id"), F.col("n").alias(f"{x}_n"), F.col("sig").alias(f"{x}_sig"))
-    first = near.join(side("a"), "a").join(side("b"), "b").filter(f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n)")
-    links = _verified(docs, _near_bound(first, percent), k, percent)
+    near = stored(low.join(hub, "key").filter("digest != a").select("a", F.col("digest").alias("b")).distinct(), "near")
+    links = _verified(docs, _near_bound(near, classes, percent), k, percent)
 
     # labels: the least hub a class was linked with, then that hub's own
     own = links.groupBy(F.col("v").alias("digest")).agg(F.min("u").alias("l"))
-    label = own.join(own.select(F.col("digest").alias("l"), F.col("l").alias("l2")), "l", "left").select("digest", F.coalesce("l2", "l").alias("label"))
-    known = stored(classes.select("digest", "id", "n", "sig", "prefix").join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest")), "known")
+    label = stored(own.join(own.select(F.col("digest").alias("l"), F.col("l").alias("l2")), "l", "left").select("digest", F.coalesce("l2", "l").alias("label")), "labels")
+    known = classes.select("digest", "id", "n", "sig", "prefix").join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
     # hashes under which classes of more than one label meet
     meet = stored(known.select("label", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).filter("x != y").select("key", F.ceil(F.col("c") / CELL).cast("int").alias("deal")), "meet")
@@ -368,18 +423,21 @@ def jaccard_components(documents: DataFrame, *, k: int = 4, percent: int = 85) -
             owner = np.repeat(np.arange(b.num_rows), np.diff(keys.offsets.to_numpy()))
             ok = wanted(flat)
             some = pa.array(owner[ok])
-            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), *(b.column(b.schema.get_field_index(c)).take(some) for c in ("digest", "id", "n", "sig", "label"))], names=["key", "digest", "id", "n", "sig", "label"])
+            small = pa.array([folded(np.frombuffer(x, np.uint64)[None], WIDTH).tobytes() for x in b.column(b.schema.get_field_index("sig")).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(flat[ok]), small.take(some), *(b.column(b.schema.get_field_index(c)).take(some) for c in ("digest", "id", "n", "label"))], names=["key", "sig", "digest", "id", "n", "label"])
 
-    rows = known.mapInArrow(spread, "key long, digest binary, id long, n long, sig binary, label binary").join(meet, "key")
-    rows = rows.withColumn("side", F.pmod(F.hash("digest"), F.col("deal")).cast("int"))
+    hot = meet.filter("deal > 1")  # the few dealt out; other rows need no look at the table
+    rows = known.mapInArrow(spread, "key long, sig binary, digest binary, id long, n long, label binary").join(hot, "key", "left")
+    rows = rows.withColumn("deal", F.coalesce("deal", F.lit(1))).withColumn("side", F.pmod(F.hash("digest"), F.col("deal")).cast("int"))
     rows = rows.withColumn("o", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)))
     rows = rows.select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "digest", "id", "n", "sig", "label")
     rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    links = links.union(_verified(docs, _meetings(rows, percent), k, percent))
+    near = stored(_meetings(rows, percent), "near")
+    links = links.union(_verified(docs, _near_bound(near, classes, percent), k, percent))
 
     groups = components(links)
     least = groups.withColumnRenamed("node", "digest").join(classes.select("digest", "id"), "digest")
     ids = least.groupBy("label").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("c"))
     grouped = stored(classes.select("digest", "id").join(groups.withColumnRenamed("node", "digest"), "digest", "left").join(ids, "label", "left").select("digest", F.coalesce("c", F.when(F.col("id") != NO_ID, F.col("id"))).alias("c")), "grouped")
-    out = full.select("doc_id", "n", "digest").join(grouped, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
+    out = shapes.filter("digest is not null").join(grouped, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
     return out.union(shapes.filter("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))

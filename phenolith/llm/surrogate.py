@@ -60,8 +60,8 @@ _ENTITY = re.compile(
         r"(?P<access>(?<!\w)AKIA[0-9A-Z]{12,20}(?!\w))",
         r"(?P<bank>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
         r"(?P<social>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))",
+        r"(?P<card>(?<![\w.+])\d(?:[ \-]?\d){12,18}(?!\w))",
         r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-]|\.\d)|(?<!\w)\+\d{7,15}(?!\w))",
-        r"(?P<card>(?<![\w.])\d(?:[ \-]?\d){12,18}(?!\w))",
         r"(?P<person>(?<!\w)(?P<title>" + "|".join(sorted(_TITLE, key=len, reverse=True)) + rf")(?P<gap>\.? +)(?P<named>{_NAME}(?: +{_NAME})?))",
         r"(?P<given>(?<!\w)(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf") +{_NAME})",
     ])

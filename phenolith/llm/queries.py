@@ -109,5 +109,26 @@ FROM dw LEFT JOIN words USING (r) LEFT JOIN items USING (r)
 """
 
 
+#: The checksum goes over a text's bytes with a table of 256 entries made by eight shifts each.
+OP9_SQL = f"""
+WITH t AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, x: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END)) AS tab),
+b AS (SELECT doc_id, coalesce(CAST(doc_id AS VARCHAR), 'null') AS k, CASE WHEN text IS NULL THEN 1 ELSE octet_length(encode(text)) + 1 END AS size, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: CAST('0x' || h AS BIGINT)) AS bytes FROM documents),
+c AS (SELECT row_number() OVER () AS r, doc_id, k, CAST(size AS BIGINT) AS size, xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), bytes), lambda a, x: xor(a >> 8, tab[(xor(a, x) & 255) + 1])), 4294967295) AS text_crc32 FROM b, t),
+h AS (SELECT r, j, CAST('0x' || substr(md5(k || '|' || j), 1, 13) AS BIGINT) AS h FROM c, range({SHARDS + 1}) g(j)),
+o AS (SELECT r, arg_max(j, h) FILTER (j < {SHARDS}) AS shard, arg_max(j, h) AS grown FROM h GROUP BY r)
+SELECT doc_id, size, text_crc32, 'key' AS law, CAST(shard AS INTEGER) AS shard, row_number() OVER (PARTITION BY shard ORDER BY md5(k || '|' || size || '|' || text_crc32), doc_id, size, text_crc32) - 1 AS slot, CAST(grown AS INTEGER) AS grown_shard FROM c JOIN o USING (r)
+"""
+
+OP10_SQL = rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT r, array_to_string(w[p:p + 3], ' ') AS g FROM (SELECT r, w, unnest(range(1, greatest(len(w) - 2, 2))) AS p FROM d WHERE len(w) > 0)),
+n AS (SELECT r, count(*) AS n FROM s GROUP BY r),
+p AS (SELECT a.r AS x, b.r AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.r <> b.r GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n u ON x = u.r JOIN n v ON y = v.r WHERE 100 * i >= 85 * (u.n + v.n - i)),
+c AS (SELECT r, r AS q FROM d UNION SELECT c.r, l.y FROM c JOIN l ON c.q = l.x)
+SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, m.component_id FROM d LEFT JOIN n USING (r) JOIN (SELECT c.r, min(e.doc_id) AS component_id FROM c JOIN d e ON c.q = e.r GROUP BY c.r) m USING (r)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontaminate": OP4_SQL}
+    return {"op4_decontaminate": OP4_SQL, "op9_rendezvous": OP9_SQL, "op10_jaccard": OP10_SQL}

@@ -2,22 +2,25 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenolith.functions.exprs import col, number
+from phenolith.functions.exprs import col, number, unique_name
 from phenolith.functions.linalg import tau_b
 from phenolith.functions.schema import features_of
 from phenolith.operators.aggregate import aggregate, check_operation
 from phenolith.sources.readers import load_profiles
 from phenolith.sources.sinks import sink
 
-#: Rows of a group that are correlated with all others at a time.
+#: Rows of a group that are correlated with all others at a time; larger groups are dealt out in blocks.
 BLOCK = 512
+#: Most rows and numbers of a block.
+MOST_ROWS, MOST_CELLS = 4096, 1 << 21
 
 
 def _ranks(x: np.ndarray) -> np.ndarray:
@@ -57,24 +60,42 @@ def modz_profile(x: np.ndarray, method: str = "spearman", min_weight: float = 0.
         raise ValueError("a group needs at least one row")
     if len(x) == 1:
         return np.nan_to_num(x[0])
-    raw = np.empty(len(x))
-    for lo in range(0, len(x), BLOCK):
-        c = correlations(x[lo : lo + BLOCK], x, method)
-        c[np.arange(len(c)), np.arange(lo, lo + len(c))] = np.nan
+    total, have = agreement(x, None, method)[:2]
+    raw = _raw(total, have, min_weight)
+    return _weighted(x, raw, np.nansum(raw), len(x), precision)
+
+
+def agreement(a: np.ndarray, b: np.ndarray | None, method: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Sums and counts of the correlations of a's rows with b's, negative ones as 0, for a's rows and for b's; without b with a's other rows."""
+    other = a if b is None else b
+    total, have, total_b, have_b = np.zeros(len(a)), np.zeros(len(a), np.int64), np.zeros(len(other)), np.zeros(len(other), np.int64)
+    for lo in range(0, len(a), BLOCK):
+        c = correlations(a[lo : lo + BLOCK], other, method)
+        if b is None:
+            c[np.arange(len(c)), np.arange(lo, lo + len(c))] = np.nan
         c = np.maximum(c, 0)
-        have = (~np.isnan(c)).sum(1)
-        raw[lo : lo + len(c)] = np.where(have > 0, np.nansum(c, 1) / np.maximum(have, 1), np.nan)
-    raw = np.maximum(raw, min_weight)
-    total = np.nansum(raw)
-    weight = np.full(len(x), 1 / len(x)) if total == 0 else raw / total
+        known = ~np.isnan(c)
+        total[lo : lo + len(c)], have[lo : lo + len(c)] = np.nansum(c, 1), known.sum(1)
+        total_b += np.nansum(c, 0)
+        have_b += known.sum(0)
+    return total, have, total_b, have_b
+
+
+def _raw(total: np.ndarray, have: np.ndarray, min_weight: float) -> np.ndarray:
+    return np.maximum(np.where(have > 0, total / np.maximum(have, 1), np.nan), min_weight)
+
+
+def _weighted(x: np.ndarray, raw: np.ndarray, total: float, n: int, precision: int) -> np.ndarray:
+    """The part of these rows in the profile of a group of n rows."""
+    weight = np.full(len(x), 1 / n) if total == 0 else raw / total
     return np.nansum(x * np.round(weight, precision)[:, None], axis=0)
 
 
 def modz(df: DataFrame, replicate_columns: str | Sequence[str], features: str | Sequence[str] = "infer", method: str = "spearman", min_weight: float = 0.01, precision: int = 4) -> DataFrame:
     """The weighted consensus of each group; null keys form groups of their own.
 
-    A group of replicates is a handful of profiles; it is handled in one task, which
-    correlates a block of its rows at a time.
+    A group of up to BLOCK rows is handled in one task.  The rows of a larger group are
+    dealt into blocks, and each pair of blocks is correlated in a task of its own.
     """
     if method.lower() not in ("pearson", "spearman", "kendall"):
         raise ValueError("method must be pearson, spearman or kendall")
@@ -90,7 +111,75 @@ def modz(df: DataFrame, replicate_columns: str | Sequence[str], features: str |
         y = modz_profile(x, method.lower(), min_weight, precision)
         return pa.Table.from_arrays([*[pa.array([k.as_py()], k.type) for k in key], *[pa.array([v]) for v in y]], names=[*keys, *features])
 
-    return chosen.groupBy(*[col(k) for k in keys]).applyInArrow(run, schema)
+    small = lambda rows: rows.groupBy(*[col(k) for k in keys]).applyInArrow(run, schema)
+    n = unique_name("n", [*keys, *features])
+    large = chosen.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias(n)).filter(col(n) > BLOCK)
+    if not features or large.isEmpty():
+        return small(chosen)
+    marked = _beside(chosen, large, keys, "left")
+    few = marked.filter(col(n).isNull()).select(*[col(c) for c in chosen.columns])
+    return small(few).unionByName(_blocks(marked.filter(col(n).isNotNull()), keys, features, n, schema, method.lower(), min_weight, precision))
+
+
+def _beside(df: DataFrame, groups: DataFrame, keys: list[str], how: str) -> DataFrame:
+    """Columns of large groups beside their rows; there are fewer groups than one in BLOCK rows, so they are broadcast."""
+    names = {k: unique_name(f"key{i}", [*df.columns, *groups.columns]) for i, k in enumerate(keys)}
+    right = F.broadcast(groups.select(*[col(c).alias(names.get(c, c)) for c in groups.columns]))
+    same = F.lit(True)
+    for k, r in names.items():
+        same = same & col(k).eqNullSafe(col(r))
+    return df.join(right, same, how).drop(*names.values())
+
+
+def _blocks(rows: DataFrame, keys: list[str], features: list[str], n: str, schema: T.StructType, method: str, min_weight: float, precision: int) -> DataFrame:
+    """The profiles of large groups.  A row's weight doesn't depend on the block it is dealt to."""
+    block, blocks, lo, hi, x, total, have, size = (unique_name(c, [*keys, *features, n]) for c in ("block", "blocks", "lo", "hi", "x", "total", "have", "size"))
+    by, width = [col(k) for k in keys], len(features)
+    key_fields = [rows.schema[k] for k in keys]
+    binary, number_, long_ = T.BinaryType(), T.DoubleType(), T.LongType()
+    fields = lambda *pairs: T.StructType([*key_fields, *[T.StructField(c, kind) for c, kind in pairs]])
+    each = F.least(F.greatest(F.lit(BLOCK), F.ceil(col(n) / 64)), F.lit(MOST_ROWS), F.lit(max(1, MOST_CELLS // width)))
+    dealt = rows.withColumn(blocks, F.ceil(col(n) / each)).withColumn(block, F.pmod(F.xxhash64(F.monotonically_increasing_id()), col(blocks)))
+    dealt = dealt.select(*by, col(blocks), col(block), F.array(*[col(c) for c in features]).alias(x))
+
+    def packed(key: tuple, table: pa.Table) -> pa.Table:
+        flat = table.column(x).combine_chunks().flatten().to_numpy(zero_copy_only=False).astype(float)
+        return pa.Table.from_arrays([*[pa.array([v.as_py()], v.type) for v in key], pa.array([flat.tobytes()], pa.binary())], names=[*keys, blocks, block, x])
+
+    def matrix(raw: bytes) -> np.ndarray:
+        return np.frombuffer(raw).reshape(-1, width)
+
+    def correlated(key: tuple, table: pa.Table) -> pa.Table:
+        first, last = (v.as_py() for v in key[len(keys) :])
+        of = {b: matrix(raw) for b, raw in zip(table.column(block).to_pylist(), table.column(x).to_pylist(), strict=True)}
+        out = []
+        if first == last:
+            out = [(first, *agreement(of[first], None, method)[:2], of[first].tobytes())]
+        elif len(of) == 2:
+            t, h, u, v = agreement(of[first], of[last], method)
+            out = [(first, t, h, None), (last, u, v, None)]
+        columns = [pa.array([r[0] for r in out], pa.int64()), *[pa.array([r[i].tobytes() for r in out], pa.binary()) for i in (1, 2)], pa.array([r[3] for r in out], pa.binary())]
+        return pa.Table.from_arrays([*[pa.array([v.as_py()] * len(out), v.type) for v in key[: len(keys)]], *columns], names=[*keys, block, total, have, x])
+
+    def summed(key: tuple, table: pa.Table) -> pa.Table:
+        add = lambda name, kind: sum(np.frombuffer(v.as_py(), kind) for v in table.column(name))
+        raw = _raw(add(total, np.float64), add(have, np.int64), min_weight)
+        own = next(v for v in table.column(x).to_pylist() if v is not None)
+        return pa.Table.from_arrays([*[pa.array([v.as_py()], v.type) for v in key[: len(keys)]], pa.array([own], pa.binary()), pa.array([raw.tobytes()], pa.binary()), pa.array([float(np.nansum(raw))]), pa.array([len(raw)], pa.int64())], names=[*keys, x, have, total, size])
+
+    def weighted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            of = dict(zip(b.schema.names, b.columns, strict=True))
+            parts = [_weighted(matrix(m), np.frombuffer(r), t, s, precision) for m, r, t, s in zip(*(of[c].to_pylist() for c in (x, have, total, size)), strict=True)]
+            yield pa.RecordBatch.from_arrays([*[of[k] for k in keys], *[pa.array(v) for v in np.array(parts).reshape(-1, width).T]], names=[*keys, *features])
+
+    one = dealt.groupBy(*by, col(blocks), col(block)).applyInArrow(packed, fields((blocks, long_), (block, long_), (x, binary)))
+    pairs = one.select(*by, col(block), col(x), F.explode(F.sequence(F.lit(0).cast("long"), col(blocks) - 1)).alias(hi))
+    pairs = pairs.select(*by, F.least(col(block), col(hi)).alias(lo), F.greatest(col(block), col(hi)).alias(hi), col(block), col(x))
+    raw = pairs.groupBy(*by, col(lo), col(hi)).applyInArrow(correlated, fields((block, long_), (total, binary), (have, binary), (x, binary))).groupBy(*by, col(block)).applyInArrow(summed, fields((x, binary), (have, binary), (total, number_), (size, long_)))
+    totals = raw.groupBy(*by).agg(F.sum(col(total)).alias(total), F.sum(col(size)).alias(size))
+    parts = _beside(raw.select(*by, col(x), col(have)), totals, keys, "inner").mapInArrow(weighted, schema)
+    return parts.groupBy(*by).agg(*[F.sum(col(c)).alias(c) for c in features])
 
 
 @sink

@@ -297,11 +297,21 @@ SELECT v.g AS Metadata_label, {} FROM v JOIN n ON v.vec_id = n.a GROUP BY v.g
 
 @query("consensus_modz_vectors", _MODZ_PAIRS)
 def _(spark, d):
-    """Groups are labels; the fixture is the first 200 vectors, as groups of replicates are small."""
-    df = read(spark, d, "embeddings").filter("vec_id < 200").select(F.col("label").alias("Metadata_label"), *[F.col("embedding")[i].cast("double").alias(f"Cells_{i}") for i in range(64)])
+    """Groups are labels; a subset, the first 200 vectors, as its SQL has it.  ``consensus_modz_all_vectors`` takes them all."""
+    return _modz_labels(read(spark, d, "embeddings").filter("vec_id < 200"))
+
+
+def _modz_labels(vectors: DataFrame) -> DataFrame:
+    df = vectors.select(F.col("label").alias("Metadata_label"), *[F.col("embedding")[i].cast("double").alias(f"Cells_{i}") for i in range(64)])
     return rounded(consensus(df, "Metadata_label", operation="modz", modz_args={"method": "pearson"}))
 
 
+@query("consensus_modz_all_vectors", _MODZ_PAIRS.replace(" WHERE vec_id < 200", ""))
+def _(spark, d):
+    """Groups are labels, over the whole table."""
+    return _modz_labels(read(spark, d, "embeddings"))
+
+
 # single cells: orders are images, lines are objects
 
 

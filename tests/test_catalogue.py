@@ -29,5 +29,9 @@ def test_query_equals_its_sql(spark, name):
     assert key(df.select(*columns).collect()) == key(want.fetchall())
 
 
+def test_modz_of_all_vectors_equals_its_sql(spark):
+    test_query_equals_its_sql(spark, "consensus_modz_all_vectors")
+
+
 def test_every_query_has_a_name_and_most_have_sql():
     assert set(ORACLE_SQL) <= set(QUERIES) and len(ORACLE_SQL) >= 0.8 * len(QUERIES)

@@ -1,5 +1,6 @@
 """The five verbs on small frames with known results."""
 
+import importlib
 import math
 
 import numpy as np
@@ -279,6 +280,31 @@ def test_modz(spark):
     assert [tuple(r) for r in consensus(df, ["Metadata_g"], operation="mean").orderBy("Metadata_g").collect()][1] == ("a", 1, 5, 2)
 
 
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_modz_of_large_groups_in_blocks(spark, monkeypatch, method):
+    """Groups beyond a block are correlated block by block: no task holds a group, and the profile is that of all rows."""
+    module = importlib.import_module("phenolith.operators.consensus")
+    rng = np.random.default_rng(5)
+    groups = {"a": rng.normal(size=(61, 6)), None: rng.normal(size=(23, 6)), "small": rng.normal(size=(7, 6)), "copies": np.tile(rng.normal(size=6), (40, 1)), "flat": np.ones((30, 6))}
+    groups["a"][3, 2] = groups["a"][17] = np.nan
+    df = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], "Metadata_g string, " + ", ".join(f"Cells_{i} double" for i in range(6))).repartition(5)
+    want = {g: modz_profile(x, method) for g, x in groups.items()}
+    brute = {}
+    for g, x in groups.items():
+        r = pd.DataFrame(x).T.corr(method=method, min_periods=2).to_numpy(copy=True)
+        np.fill_diagonal(r, np.nan)
+        raw = np.maximum(pd.DataFrame(np.maximum(r, 0)).mean().to_numpy(), 0.01)
+        brute[g] = np.nansum(x * np.round(raw / np.nansum(raw) if np.nansum(raw) else np.full(len(x), 1 / len(x)), 4)[:, None], axis=0)
+    monkeypatch.setattr(module, "BLOCK", 8)
+    made = module._blocks
+    called = []
+    monkeypatch.setattr(module, "_blocks", lambda *a: called.append(1) or made(*a))
+    got = {r.Metadata_g: np.array(tuple(r)[1:]) for r in consensus(df, "Metadata_g", operation="modz", modz_args={"method": method}).collect()}
+    assert called and set(got) == set(groups)
+    for g in groups:
+        assert np.allclose(want[g], brute[g]) and np.allclose(got[g], want[g])
+
+
 def test_partition_invariance(drugs):
     df, _ = drugs
     for n in (1, 8):

@@ -151,6 +151,29 @@ def test_restoring_and_scoring(spark):
     assert toxicity.score(documents(spark, odd).limit(0), model).count() == 0
 
 
+def test_every_table_entry_reaches_the_decoder(spark):
+    """Each sign, separator and repetition of the decoder's tables, in a text's score."""
+    bad = ["moronic", "worthless", "stupidly", "crazy", "scumbag", "idiotic", "stitch"]
+    rng = np.random.default_rng(8)
+    rows = [(i, prose(i, 60)) for i in range(300)] + [(1000 + i, " ".join(np.insert(prose(2000 + i, 40).split(), 7, rng.choice(bad, 3)))) for i in range(400)]
+    model = toxicity.fit(documents(spark, rows), spark.createDataFrame([(i, int(i >= 1000)) for i, _ in rows], "doc_id long, toxic int"))
+    tried = [(next(w for w in bad if c in w).replace(c, sign, 1), next(w for w in bad if c in w)) for sign, letters in toxicity.RESEMBLES.items() for c in letters]
+    tried += [(sep.join(w), w) for sep in toxicity.SEPARATORS for w in ("idiotic", "scumbag")]
+    tried += [("iiddiioottiicc", "idiotic"), ("scuumbag", "scumbag"), ("*diotic", "idiotic"), ("$+!+(#", "stitch"), ("s ¢ u m b a g".replace("¢", "("), "scumbag"), ("w o r t h l € s s", "worthless"), ("$ + ! + ( #", "stitch"), ("idiotic\u200b", "idiotic")]
+    texts = [t for t, _ in tried] + bad + ["there"]
+    got = {texts[r.doc_id]: r for r in toxicity.score(documents(spark, [(i, "you " + t) for i, t in enumerate(texts)]), model).collect()}
+    assert min(got[w].score for w in bad) > 5 * got["there"].score  # as written, without any disguise
+    missed = [(t, got[t].restored, got[t].score) for t, w in tried if w not in got[t].restored or got[t].score < got[w].score - 1e-9]
+    assert not missed
+
+
+def test_plain_words_are_no_disguise():
+    """Sentence marks alone leave a word as it is; a text's first byte doesn't repeat the last of the one before."""
+    gate = lambda *texts: toxicity.disguised(kernel.words(pa.array(texts), kernel.NONSPACE))
+    assert gate("one, two. 'four' -- ...", "ab", "ba") == [] and gate("") == []
+    assert gate("être né", "idio*", "*diot", "st\\upid", "tra§h", "i·d", "$#!+", "all", "éé") == [(i, i + 1) for i in range(2, 10)]
+
+
 def test_viterbi_equals_all_paths():
     model = toxicity.CharModel(Counter(g for w in ["scum bag", "some sum", "cum"] * 20 for g in toxicity.trigrams(w)))
 

@@ -2,7 +2,8 @@
 
 Entities are found by form (addresses of mail and hosts, telephone, card, bank
 and social-security numbers, credentials) and names by title or by a list of
-given names.  Each is replaced by the next element of a keyed cycle over all
+given names; the parts of a name so found are then replaced wherever the text
+has them, as kinds ``name`` and ``surname``.  Each is replaced by the next element of a keyed cycle over all
 strings of its format: a Feistel network over mixed radices, whose digits keep
 the class of every character (decimal digit, case, vowel or consonant, script),
 numbered, stepped by one and numbered back.  Such a map is one to one and has no
@@ -52,6 +53,14 @@ _GENDER = {n: (s, g) for (s, g), names in GIVEN.items() for n in names}
 _FAMILY = {n: s for s, names in FAMILY.items() for n in names}
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts}
 _NAME = r"[A-ZÀ-ÖØ-ÞĀ-ŽА-Я][\w'’]*[^\W\d_](?:-[A-ZÀ-ÖØ-ÞА-Я]\w+)?"
+#: Telephone numbers grouped as in Europe: after a country code other than 1, with a trunk 0 (pairs, or an area and a number), and Spanish ones.
+_NATIONAL = r"(?<![\w.+\-])(?:" + "|".join([
+    r"\+(?!1\b)\d{1,3}(?:[ .\-]?\(0\))?(?:[ .\-]\(?\d{1,8}\)?){2,5}",
+    r"0\d(?:[ .\-]\d{2}){4}",
+    r"(?:\(0\d{1,4}\) ?|0\d{1,4}[ /\-])\d{5,8}",
+    r"(?:\(0\d{1,4}\) ?|0\d{1,4}[ /\-])\d{2,4}(?:[ \-]\d{2,4}){1,3}",
+    r"[6-9]\d(?: \d{3})(?: \d{2}){2}|[6-9]\d{2}(?: \d{2}){3}",
+]) + r")(?![\w\-]|\.\d)"
 _ENTITY = re.compile(
     "|".join([
         r"(?P<mail>(?<![\w.%+\-])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+)",
@@ -61,7 +70,7 @@ _ENTITY = re.compile(
         r"(?P<bank>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
         r"(?P<social>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))",
         r"(?P<card>(?<![\w.+])\d(?:[ \-]?\d){12,18}(?!\w))",
-        r"(?P<phone>(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-]|\.\d)|(?<!\w)\+\d{7,15}(?!\w))",
+        r"(?P<phone>" + _NATIONAL + r"|(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-]|\.\d)|(?<!\w)\+\d{7,15}(?!\w))",
         r"(?P<person>(?<!\w)(?P<title>" + "|".join(sorted(_TITLE, key=len, reverse=True)) + rf")(?P<gap>\.? +)(?P<named>{_NAME}(?: +{_NAME})?))",
         r"(?P<given>(?<!\w)(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf") +{_NAME})",
     ])
@@ -201,6 +210,7 @@ class Surrogates:
     def _phone(self, s: str) -> str:
         digits = re.sub(r"\D", "", s)
         code = len(re.sub(r"\D", "", re.match(r"\+\d{1,3}(?=[ .\-(])|", s)[0])) or (max(0, len(digits) - 10) if s[0] == "+" else 0)
+        code += digits[code : code + 1] == "0" and len(digits) - code > 8  # a trunk 0 stays, so both ways to write a number agree
         own = digits[code:]
         lead = (0, 3) if len(own) == 10 else (0,)
         return _refill(s, digits[:code] + self.cycle["phone"].text(own, lead))
@@ -261,7 +271,7 @@ class Surrogates:
 
     def apply(self, text: str) -> tuple[str, list[tuple[str, int, int, str]]]:
         """The text with surrogates, and (kind, start, length, surrogate) of each entity in the original."""
-        out, found, at = [], [], 0
+        found = []
         for m in _ENTITY.finditer(text):
             kind = m.lastgroup if m.lastgroup in KINDS else next(k for k in KINDS if m[k] is not None)
             start, end = m.span(kind)
@@ -274,14 +284,38 @@ class Surrogates:
                     end -= 1
             elif kind == "person":
                 start, end = m.span("named")
+            elif kind == "phone" and not 7 <= sum(c.isdigit() for c in m[0]) <= 15:
+                continue
             elif kind == "host" and any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in m[0].split(".")):
                 continue
-            new = self.replace(kind, text[start:end])
+            found.append((kind, start, end - start, self.replace(kind, text[start:end])))
+        found += self._mentions(text, found)
+        found.sort(key=lambda f: f[1])
+        out, at = [], 0
+        for _, start, length, new in found:
             out += [text[at:start], new]
-            found.append((kind, start, end - start, new))
-            at = end
+            at = start + length
         return ("".join(out) + text[at:] if found else text), found
 
+    def _mentions(self, text: str, found: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
+        """Bare given and family names of the persons found, wherever else the text has them, with the surrogates they have there."""
+        kinds: dict[str, str] = {}
+        for kind, start, length, _ in found:
+            if kind in ("person", "given"):
+                first, *last = text[start : start + length].split()
+                if last or first in _GENDER:
+                    kinds.setdefault(first, "name")
+                for x in last or [first]:
+                    kinds.setdefault(x, "surname")
+        if not kinds:
+            return []
+        taken = np.zeros(len(text), bool)
+        for _, start, length, _ in found:
+            taken[start : start + length] = True
+        names = re.compile(r"(?<![\w\-])(?:" + "|".join(map(re.escape, sorted(kinds, key=len, reverse=True))) + r")(?![\w\-])")
+        new = lambda x: "-".join(self.replace("surname", y) for y in x.split("-")) if kinds[x] == "surname" else self.replace("name", x)
+        return [(kinds[m[0]], m.start(), m.end() - m.start(), new(m[0])) for m in names.finditer(text) if not taken[m.start() : m.end()].any()]
+
 
 def _trigger_words() -> np.ndarray:
     w = words(pa.array([" ".join([*_TITLE, *_GENDER, *CREDENTIALS, "akia"])]), LETTERS)

@@ -366,6 +366,22 @@ def test_surrogates_keep_form_and_differ():
         surrogate.Surrogates(b"")
 
 
+def test_national_numbers_and_bare_names():
+    s = surrogate.Surrogates(b"key")
+    numbers = ["+49 30 1234567", "+49 170 1234567", "+33 1 23 45 67 89", "01 23 45 67 89", "+34 91 123 45 67", "91 123 45 67", "612 34 56 78", "030 1234567", "(030) 1234567", "0170/1234567", "020 7946 0958"]
+    for number in numbers:
+        out, found = s.apply(f"Call {number}, now.")
+        assert [(k, n) for k, _, n, _ in found] == [("phone", len(number))] and number not in out, number
+        assert [c.isdigit() for c in found[0][3]] == [c.isdigit() for c in number]
+    one = lambda t: re.sub(r"\D", "", s.apply(t)[1][0][3])
+    assert one("+49 30 1234567")[2:] == one("030 1234567")[1:]
+    assert s.apply("Since 1999-2004, 0.25 12345678 and 12 34 rows in 2019 2020.")[1] == []
+    out, found = s.apply("Smith was late. Dr John Smith met Ms Jane Zuk-Hall. John left; Smith's car, Zuk-Hall and Jane stayed, the smith and Johnson too.")
+    new = {k: v for k, v in zip(["John", "Smith", "Jane", "Zuk-Hall"], [x for f in found if f[0] == "person" for x in f[3].split()], strict=True)}
+    assert out == f"{new['Smith']} was late. Dr {new['John']} {new['Smith']} met Ms {new['Jane']} {new['Zuk-Hall']}. {new['John']} left; {new['Smith']}'s car, {new['Zuk-Hall']} and {new['Jane']} stayed, the smith and Johnson too."
+    assert [f[1] for f in found] == sorted(f[1] for f in found)
+
+
 def test_cycles_are_one_to_one():
     c = surrogate.Cycle(b"k", "x")
     for form in ([f"{i:03d}" for i in range(1000)], [a + b + d for a in "aeiou" for b in "bcdfg" for d in "0123456789"]):

@@ -26,15 +26,23 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group stays; of equal rows with one id, one stays."""
-    groups = stored(sigtree.jaccard_components(docs, k=WORDS, percent=PERCENT), "groups")
-    others = stored(groups.filter("component_id != doc_id").select("doc_id").distinct(), "others")
-    again = stored(groups.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id"), "again")
-    left = docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    """The document with the smallest id of each group stays; of rows with one id and one text, one stays.
+
+    Rows that share an id but not the text are documents of their own: then a hash of both stands for the id.
+    """
+    again = docs.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1")
     if again.isEmpty():
-        return left
-    once = left.join(again, "doc_id", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
-    return left.join(again, "doc_id", "left_anti").select(*docs.columns).unionByName(once)
+        groups = stored(sigtree.jaccard_components(docs, k=WORDS, percent=PERCENT), "groups")
+        others = stored(groups.filter("component_id != doc_id").select("doc_id").distinct(), "others")
+        return docs.join(others, "doc_id", "left_anti").select(*docs.columns)
+    key = F.when(F.col("doc_id").isNotNull(), F.xxhash64("doc_id", "text"))
+    keyed = docs.select("doc_id", "text", key.alias("_row_key"))
+    groups = stored(sigtree.jaccard_components(keyed.select(F.col("_row_key").alias("doc_id"), "text"), k=WORDS, percent=PERCENT), "groups")
+    member = groups.filter("doc_id is not null").select(F.col("doc_id").alias("_row_key"), "component_id").distinct()
+    first = member.join(keyed.select("_row_key", "doc_id").distinct(), "_row_key").groupBy("component_id").agg(F.min(F.struct("doc_id", "_row_key")).alias("first"))
+    kept = stored(first.select(F.col("first._row_key").alias("_row_key")), "kept")
+    left = docs.withColumn("_row_key", key).join(kept, "_row_key", "left_semi").select(*docs.columns).dropDuplicates(["doc_id", "text"])
+    return left.unionByName(docs.filter("doc_id is null"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -52,6 +52,17 @@ def test_stages(spark, tables):
         assert np.frombuffer(r.ids, "<u4").tolist() == lib.encode(after[r.doc_id] or "", add_bos=True, add_eos=True)
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    a, b, c = prose(1, 60), prose(2, 60), prose(3, 60)
+    rows = [(1, a), (5, edited(a, 1, 1)), (5, b), (7, c), (7, edited(c, 2, 1)), (7, c), (8, edited(c, 3, 1)), (9, None), (9, ""), (9, None), (None, a), (None, a)]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in rows], COLUMNS)
+    kept = [(r.doc_id, r.text) for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()]
+    alike = lambda k, t: {0: t == a, 1: t == b, 2: t in {x for i, x in rows if i == 7}}[k]
+    assert [i for i, t in kept if t and i is not None and alike(0, t)] == [1] and (5, b) in kept
+    assert len([1 for i, t in kept if t and alike(2, t)]) == 1 and (5, edited(a, 1, 1)) not in kept
+    assert sorted(i for i, _ in kept if i is not None) == [1, 5, 7, 9, 9] and kept.count((None, a)) == 2
+
+
 def test_run_and_empty_input(spark, tables, tmp_path):
     d, rows, _ = tables
     out = corpus_pipeline.run(spark, d)

@@ -109,11 +109,25 @@ SELECT DISTINCT n_name AS Metadata_n_name, c_nationkey AS Metadata_nation, c_acc
 FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN (SELECT * FROM orders WHERE o_orderpriority = '1-URGENT') ON o_custkey = c_custkey
 """)
 def _(spark, d):
+    """External metadata of one priority only, so some customers have no match."""
+    return _annotated_customers(spark, d, read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'"))
+
+
+def _annotated_customers(spark: SparkSession, d: str, orders: DataFrame) -> DataFrame:
     profiles = read(spark, d, "customer").selectExpr("c_custkey AS Metadata_customer", "c_nationkey AS Metadata_nation", "c_acctbal AS Cells_balance")
-    extra = read(spark, d, "orders").filter("o_orderpriority = '1-URGENT'").select(F.col("o_custkey").alias("Metadata_customer"), "o_orderstatus", "o_orderpriority")
+    extra = orders.select(F.col("o_custkey").alias("Metadata_customer"), "o_orderstatus", "o_orderpriority")
     return annotate(profiles, read(spark, d, "nation").select("n_nationkey", "n_name"), join_on=["Metadata_n_nationkey", "Metadata_nation"], external_metadata=extra, external_join_on="Metadata_customer")
 
 
+@query("annotate_external_all", """
+SELECT DISTINCT n_name AS Metadata_n_name, c_nationkey AS Metadata_nation, c_acctbal AS Cells_balance, c_custkey AS Metadata_customer, o_orderstatus AS Metadata_o_orderstatus, o_orderpriority AS Metadata_o_orderpriority
+FROM customer JOIN nation ON n_nationkey = c_nationkey LEFT JOIN orders ON o_custkey = c_custkey
+""")
+def _(spark, d):
+    """The whole external table; ``annotate_external`` takes one priority, which leaves customers without a match."""
+    return _annotated_customers(spark, d, read(spark, d, "orders"))
+
+
 @query("annotate_cmap", """
 WITH p AS (SELECT p_partkey, CASE WHEN p_size < 10 THEN 'DMSO' WHEN p_size < 20 THEN 'empty' WHEN p_size < 30 THEN NULL ELSE 'BRD-' || upper(substr(p_brand, 1, 1)) || p_partkey || '-x' END AS s, p_size * 0.5 AS dose FROM part)
 SELECT p_partkey AS Metadata_Well, 'brand' AS Metadata_note, nullif(regexp_extract(s, '(BRD[-N][A-Z0-9]+)', 1), '') AS Metadata_pert_id, s AS Metadata_pert_mfc_id, p_partkey AS Metadata_pert_well, '' AS Metadata_pert_id_vendor, 'A549' AS Metadata_cell_id,

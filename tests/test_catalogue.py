@@ -33,5 +33,11 @@ def test_modz_of_all_vectors_equals_its_sql(spark):
     test_query_equals_its_sql(spark, "consensus_modz_all_vectors")
 
 
+def test_external_metadata_of_all_orders_equals_its_sql(spark):
+    test_query_equals_its_sql(spark, "annotate_external_all")
+    priorities = {r[0] for r in QUERIES["annotate_external_all"](spark, DATA).select("Metadata_o_orderpriority").distinct().collect()}
+    assert len(priorities - {None}) > 1
+
+
 def test_every_query_has_a_name_and_most_have_sql():
     assert set(ORACLE_SQL) <= set(QUERIES) and len(ORACLE_SQL) >= 0.8 * len(QUERIES)

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from phenolith.functions.exprs import col, number, unique_name
+from phenolith.functions.ranks import codes, value_counts_of
 
 #: Matrices of more columns than this aren't collected.
 WIDEST = 8192
@@ -68,10 +69,41 @@ def _summed(df: DataFrame, columns: list[str], parts, count: int) -> list[np.nda
     return [out[i * d : (i + 1) * d] for i in range(count)]
 
 
-def gram(df: DataFrame, columns: list[str], center: np.ndarray | None = None) -> np.ndarray:
-    """X'X of the (centred) columns; rows with missing values make it NaN there."""
-    shift = np.zeros(len(columns)) if center is None else center
-    return _summed(df, columns, lambda x: [(x - shift).T @ (x - shift)], 1)[0]
+def triangle(df: DataFrame, columns: list[str], center: np.ndarray | None = None, scale: np.ndarray | None = None) -> np.ndarray:
+    """R of the QR decomposition of the (centred, scaled) columns: it has the matrix's singular
+    values and right singular vectors.
+
+    Each task decomposes its rows block by block and gives the rows of its R; about the square
+    root of that many tasks stack them and decompose them again, and the driver the rest.
+    """
+    d = len(columns)
+    if d > WIDEST:
+        raise ValueError(f"{d} columns; at most {WIDEST} are decomposed")
+    shift, by = (np.zeros(d) if center is None else center), (np.ones(d) if scale is None else scale)
+    chosen = df.select(*[number(c).alias(c) for c in columns])
+    block = max(4096, 2 * d)
+
+    def folded(parts: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        r = np.zeros((0, d))
+        for x in parts:
+            for lo in range(0, len(x), block):
+                r = np.linalg.qr(np.concatenate([r, x[lo : lo + block]]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array([v.tobytes() for v in r], pa.binary())], names=["v"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from folded((matrix(b, columns) - shift) / by for b in batches)
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from folded(np.frombuffer(b"".join(b.column(0).to_pylist())).reshape(-1, d) for b in batches if b.num_rows)
+
+    made = chosen.mapInArrow(first, "v binary")
+    fewer = made.repartition(max(1, int(df.sparkSession.sparkContext.defaultParallelism**0.5))).mapInArrow(again, "v binary")
+    r = np.zeros((0, d))
+    for row in fewer.toLocalIterator():
+        r = np.concatenate([r, np.frombuffer(row.v)[None]])
+        if len(r) >= 2 * d:
+            r = np.linalg.qr(r, mode="r")
+    return np.linalg.qr(r, mode="r") if len(r) else r
 
 
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -81,12 +113,20 @@ def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndar
     return row[0], np.array([nan(v) for v in row[1::2]]), np.array([nan(v) for v in row[2::2]])
 
 
-def pearson(df: DataFrame, columns: list[str]) -> np.ndarray:
-    """Correlations over the rows where both columns are present; constant columns give NaN."""
-    _, mean, _ = moments(df, columns)
-    mean = np.nan_to_num(mean)
+def pearson(df: DataFrame, columns: list[str], ranks: list[tuple[np.ndarray, np.ndarray]] | None = None) -> np.ndarray:
+    """Correlations over the rows where both columns are present; constant columns give NaN.
+    With ``ranks`` (sorted codes of each column's values, and what stands for each), of those."""
+    if ranks is None:
+        mean = np.nan_to_num(moments(df, columns)[1])
+    else:
+        mean = np.array([(r[0] + r[-1]) / 2 if len(r) else 0.0 for _, r in ranks])
+        shared = df.sparkSession.sparkContext.broadcast(ranks)
 
     def parts(x: np.ndarray) -> list[np.ndarray]:
+        if ranks is not None:
+            known = ~np.isnan(x)
+            for j, (code, rank) in enumerate(shared.value):
+                x[known[:, j], j] = rank[np.searchsorted(code, codes(x[known[:, j], j]))]
         have = (~np.isnan(x)).astype(float)
         z = np.where(have > 0, x - mean, 0.0)
         return [have.T @ have, z.T @ have, (z * z).T @ have, z.T @ z]
@@ -102,6 +142,25 @@ def pearson(df: DataFrame, columns: list[str]) -> np.ndarray:
     return np.clip(out, -1, 1)
 
 
+#: Distinct values of all columns together up to which their ranks are sent to every task.
+RANKS = 1 << 21
+
+
+def rank_tables(df: DataFrame, columns: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
+    """For each column its values' codes and average ranks, or None if there are more than ``RANKS`` of them."""
+    table = value_counts_of(df, columns).limit(RANKS + 1).toArrow()
+    if table.num_rows > RANKS:
+        return None
+    j, code, n = (table.column(i).to_numpy() for i in range(3))
+    code = code.view(np.uint64) ^ np.uint64(1 << 63)
+    out = []
+    for k in range(len(columns)):
+        at = np.flatnonzero(j == k)
+        at = at[np.argsort(code[at])]
+        out.append((code[at], np.cumsum(n[at]) - (n[at] - 1) / 2))
+    return out
+
+
 def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     """Columns replaced by their average ranks: one sort of (column, value) pairs, no column in one task.
 
@@ -116,7 +175,7 @@ def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     totals = spread.groupBy("_c", "_p").agg(F.sum("_n").alias("_t"))
     before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     inside = Window.partitionBy("_c", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = spread.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(F.broadcast(before.select("_c", "_p", "_b")), ["_c", "_p"]).select("_c", "_v", (F.col("_b") + F.col("_in") + (F.col("_n") + 1) / 2).alias("_r"))
+    ranked = spread.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(before.select("_c", "_p", "_b"), ["_c", "_p"]).select("_c", "_v", (F.col("_b") + F.col("_in") + (F.col("_n") + 1) / 2).alias("_r"))
     return long.join(ranked, ["_c", "_v"]).groupBy(key).pivot("_c", list(range(len(columns)))).agg(F.first("_r")).select(*[F.col(str(i)).alias(c) for i, c in enumerate(columns)])
 
 
@@ -124,12 +183,14 @@ def spearman(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Correlations of ranks.  With missing values ranks must be taken anew for each pair."""
     row = df.agg(*[F.count("*")], *[F.count(number(c)) for c in columns]).first()
     if all(v == row[0] for v in row[1:]):
-        return pearson(average_ranks(df, columns), columns)
+        tables = rank_tables(df, columns)
+        return pearson(average_ranks(df, columns), columns) if tables is None else pearson(df, columns, tables)
     out = np.eye(len(columns))
     for i, a in enumerate(columns):
         for j in range(i):
             both = df.select(number(a).alias("a"), number(columns[j]).alias("b")).dropna()
-            out[i, j] = out[j, i] = pearson(average_ranks(both, ["a", "b"]), ["a", "b"])[0, 1]
+            tables = rank_tables(both, ["a", "b"])
+            out[i, j] = out[j, i] = (pearson(average_ranks(both, ["a", "b"]), ["a", "b"]) if tables is None else pearson(both, ["a", "b"], tables))[0, 1]
     return out
 
 

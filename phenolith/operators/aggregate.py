@@ -6,13 +6,18 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from phenolith.functions.exprs import col, number, unique_name
+from phenolith.functions.ranks import order_statistics
 from phenolith.functions.schema import features_of
 from phenolith.sources.sinks import sink
 
 #: Features of one aggregation; wider tables are aggregated in pieces and joined.
 CHUNK = 400
+#: Rows of a stratum up to which a task may hold its values for a median, and values of a stratum that
+#: one aggregation holds.  Medians of larger strata come from counts over all tasks.
+LARGE, CELLS = 1 << 18, 1 << 22
 
 
 def check_operation(operation: str, allowed: Sequence[str] = ("mean", "median")) -> str:
@@ -33,6 +38,14 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(right, cond, how).drop(*marks)
 
 
+def _sizes(df: DataFrame, strata: Sequence[str]) -> tuple[int, list[tuple]]:
+    """(features of one aggregation, keys of the strata of more than ``LARGE`` rows)."""
+    n = unique_name("_n", strata)
+    sizes = df.groupBy(*[col(k) for k in strata]).agg(F.count("*").alias(n))
+    row = sizes.agg(F.max(F.when(col(n) <= LARGE, col(n))), F.collect_list(F.when(col(n) > LARGE, F.struct(*[col(k) for k in strata])))).first()
+    return max(1, min(CHUNK, CELLS // (row[0] or 1))), [tuple(k) for k in row[1]]
+
+
 @sink
 def aggregate(
     population_df: DataFrame,
@@ -62,11 +75,23 @@ def aggregate(
         for k in keys:
             known = known & k.isNotNull()
         counts = [F.count(F.when(known, col(object_feature))).alias("Metadata_Object_Count")]
-    pieces = [features[i : i + CHUNK] for i in range(0, len(features), CHUNK)] or [[]]
+    width, large = _sizes(population_df, strata) if how == "median" and features else (CHUNK, [])
+    whole = population_df
+    if large:
+        group = unique_name("_group", population_df.columns)
+        of = population_df.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(large)], T.StructType([*[population_df.schema[k] for k in strata], T.StructField(group, T.IntegerType())]))
+        whole = null_safe(population_df, F.broadcast(of), strata, "left")  # at most a stratum for each LARGE rows
+        population_df = whole.filter(col(group).isNull()).drop(group)
+    pieces = [features[i : i + width] for i in range(0, len(features), width)] or [[]]
     out = None
     for i, piece in enumerate(pieces):
         one = population_df.groupBy(*keys).agg(*(counts if i == 0 else []), *[measure(number(c)).alias(c) for c in piece])
         out = one if out is None else null_safe(out, one, strata, "inner")
+    if large:
+        some = whole.filter(col(group).isNotNull())
+        found = order_statistics(some, features, (0.5,), group)
+        medians = some.sparkSession.createDataFrame([(g, *[None if v != v else float(v) for v in x[0]]) for g, x in found.items()], T.StructType([T.StructField(group, T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in features]]))
+        out = out.unionByName(some.groupBy(col(group), *keys).agg(*(counts or [F.count("*").alias(group + "n")])).join(F.broadcast(medians), group, "left").select(*[col(c) for c in out.columns]))
     if compute_object_count:
         any_null = F.lit(False)
         for k in strata:

@@ -1,7 +1,7 @@
 """Normalization: statistics of a reference subset, applied to every row.
 
-Fitting is one aggregation (two for the median of deviations, one pass of cross
-products for whitening); applying is a projection, or a map over Arrow batches
+Fitting is one aggregation, some passes of counts for exact percentiles, or a
+distributed QR decomposition for whitening; applying is a projection, or a map over Arrow batches
 where the transform mixes columns or tables are very wide.
 """
 
@@ -18,7 +18,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenolith.functions.exprs import col, number, subset
-from phenolith.functions.linalg import gram, matrix, moments
+from phenolith.functions.linalg import matrix, moments, triangle
+from phenolith.functions.ranks import order_statistics
 from phenolith.functions.schema import features_of, infer_features
 from phenolith.sources.readers import load_profiles
 from phenolith.sources.sinks import sink
@@ -106,15 +107,7 @@ def inverse_normal(p: np.ndarray) -> np.ndarray:
 
 def _percentiles(df: DataFrame, columns: Sequence[str], at: Sequence[float]) -> np.ndarray:
     """Exact, linearly interpolated percentiles: a row each, NaN for columns without values."""
-    out = np.full((len(at), len(columns)), np.nan)
-    step = max(1, min(CHUNK, 200_000 // len(at)))
-    for lo in range(0, len(columns), step):
-        part = columns[lo : lo + step]
-        row = df.agg(*[F.percentile(number(c), F.array(*[F.lit(float(p)) for p in at])).alias(f"_{i}") for i, c in enumerate(part)]).first()
-        for i, v in enumerate(row):
-            if v is not None:
-                out[:, lo + i] = v
-    return out
+    return order_statistics(df, columns, at)[0]
 
 
 def _means(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
@@ -149,10 +142,6 @@ def fit_inverse_normal(df: DataFrame, columns: list[str], n_quantiles: int = 100
     return Quantiles(_percentiles(df, columns, np.linspace(0, 1, n).tolist()))
 
 
-#: Cells of a matrix that is decomposed as it is; larger ones by way of their cross products.
-DIRECT = 4_000_000
-
-
 def fit_spherize(df: DataFrame, columns: list[str], center: bool = True, method: str = "ZCA-cor", epsilon: float = 1e-6, svd_on: str = "raw") -> Whiten:
     """Whitening by PCA or ZCA of the covariance, or of the correlation (``-cor``).
 
@@ -175,18 +164,11 @@ def fit_spherize(df: DataFrame, columns: list[str], center: bool = True, method:
     else:
         scale = np.ones(d)
         mean = mean if center else np.zeros(d)
-    if n * d <= DIRECT:
-        raw = np.array([list(r) for r in df.select(*[number(c) for c in columns]).collect()], float).reshape(n, d)
-        changed = (raw - mean) / scale
-        rank = np.linalg.matrix_rank(changed)
-        _, s, vt = np.linalg.svd(raw if svd_on == "raw" else changed, full_matrices=True)
-        s = np.concatenate([s, np.zeros(d - len(s))])
-    else:
-        g = gram(df, columns, mean) / np.outer(scale, scale)
-        values = np.linalg.eigvalsh(g)
-        rank = int((values > values[-1] * max(n, d) * np.finfo(float).eps).sum())
-        values, vectors = np.linalg.eigh(gram(df, columns) if svd_on == "raw" else g)
-        s, vt = np.sqrt(np.maximum(values[::-1], 0)), vectors[:, ::-1].T
+    changed = triangle(df, columns, mean, scale)  # as many rows as columns, with the singular values of the whole matrix
+    top = np.linalg.svd(changed, compute_uv=False)
+    rank = int((top > top.max(initial=0.0) * max(n, d) * np.finfo(float).eps).sum())
+    _, s, vt = np.linalg.svd(triangle(df, columns) if svd_on == "raw" else changed, full_matrices=True)
+    s = np.concatenate([s, np.zeros(d - len(s))])
     least = n - 1 if center else n
     if rank not in (d, least):
         raise ValueError(f"the matrix has rank {rank}; {d} (columns) or {least} (rows) is needed: remove columns that depend on others")
@@ -209,8 +191,10 @@ def apply(df: DataFrame, model, keep: Sequence[str], columns: Sequence[str], nam
         for b in batches:
             for lo in range(0, b.num_rows, 4096):
                 part = b.slice(lo, 4096)
-                y = model.array(matrix(part, inputs))
-                cols = [part.column(i) for i in range(len(keep))] + [pa.array(np.ascontiguousarray(y[:, j]), from_pandas=True) for j in range(y.shape[1])]
+                x = matrix(part, inputs)
+                y = model.array(x)  # missing values stay missing; what arithmetic makes of others stays as it is
+                missing = np.isnan(x) | np.isnan(model.center) if isinstance(model, Shift) else np.isnan(y)
+                cols = [part.column(i) for i in range(len(keep))] + [pa.array(np.ascontiguousarray(y[:, j]), mask=missing[:, j]) for j in range(y.shape[1])]
                 yield pa.RecordBatch.from_arrays(cols, schema=pa.schema([*[b.schema.field(i) for i in range(len(keep))], *[(c, pa.float64()) for c in names]]))
 
     return chosen.mapInArrow(run, schema)

@@ -104,13 +104,15 @@ def noise_removal(df: DataFrame, noise_removal_perturb_groups: str | Sequence[st
         if group not in df.columns:
             raise ValueError(f"{group} is not a column")
     else:
-        labels, group = list(noise_removal_perturb_groups), unique_name("_group", df.columns)
-        spark = df.sparkSession
-        at = T.StructType([*rows.schema.fields, T.StructField("_at", T.LongType())])
-        numbered = spark.createDataFrame(rows.rdd.zipWithIndex().map(lambda t: (*t[0], t[1])), at)
-        if numbered.count() != len(labels):
+        labels, group = [str(x) for x in noise_removal_perturb_groups], unique_name("_group", df.columns)
+        at, part = unique_name("_at", df.columns), unique_name("_part", df.columns)
+        numbered = rows.withColumn(at, F.monotonically_increasing_id())  # the partition, and the row's place in it
+        sizes = {r[0]: r[1] for r in numbered.groupBy(F.shiftright(at, 33).alias(part)).agg(F.count("*")).collect()}
+        if sum(sizes.values()) != len(labels):
             raise ValueError("noise_removal_perturb_groups must have a label for each row")
-        rows = numbered.join(spark.createDataFrame(list(enumerate(map(str, labels))), f"_at long, {group} string"), "_at")
+        places = [(p << 33) + i for p in sorted(sizes) for i in range(sizes[p])]
+        named = df.sparkSession.createDataFrame(list(zip(places, labels, strict=True)), T.StructType([T.StructField(at, T.LongType()), T.StructField(group, T.StringType())]))
+        rows = numbered.join(named, at)
     spread: dict[str, float | None] = {}
     for lo in range(0, len(features), CHUNK):
         part = features[lo : lo + CHUNK]

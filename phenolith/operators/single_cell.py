@@ -5,10 +5,11 @@ from __future__ import annotations
 import os
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenolith.functions.exprs import col
+from phenolith.functions.exprs import col, unique_name
+from phenolith.functions.ranks import repeatable_rank
 from phenolith.functions.schema import COMPARTMENTS, METADATA, infer_features
 from phenolith.operators.aggregate import aggregate, check_operation, null_safe
 from phenolith.operators.annotate import annotate
@@ -43,19 +44,21 @@ def link_names(links: Mapping[str, Mapping[str, str]] = LINKS) -> dict[str, str]
 
 
 def sample_fraction(df: DataFrame, strata: Sequence[str], fraction: float, seed: int) -> DataFrame:
-    """Exactly round(fraction * rows) rows of each stratum, without replacement."""
+    """Exactly round(fraction * rows) rows of each stratum, without replacement; a rerun draws the same."""
     keys = [col(k) for k in strata]
-    order = Window.partitionBy(*keys).orderBy(F.rand(seed))
-    sized = df.withColumn("_n", F.count("*").over(Window.partitionBy(*keys))).withColumn("_r", F.row_number().over(order))
-    return sized.filter(F.col("_r") <= F.bround(F.col("_n") * fraction)).drop("_n", "_r")
+    place, size = (unique_name(x, df.columns) for x in ("_place", "_size"))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias(size))
+    ranked = null_safe(repeatable_rank(df, keys, seed, place), sizes, strata, "inner")
+    return ranked.filter(F.col(place) <= F.bround(F.col(size) * fraction)).select(*[col(c) for c in df.columns])
 
 
 def sample_number(df: DataFrame, strata: Sequence[str], n: int, seed: int) -> DataFrame:
-    """n rows of each stratum, with replacement."""
+    """n rows of each stratum, with replacement; a rerun draws the same."""
     keys = [col(k) for k in strata]
-    numbered = df.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.rand(seed)))).withColumn("_n", F.count("*").over(Window.partitionBy(*keys)))
-    drawn = df.groupBy(*keys).agg(F.count("*").alias("_m")).withColumn("_i", F.explode(F.sequence(F.lit(1), F.lit(n)))).withColumn("_r", (F.floor(F.rand(seed + 1) * F.col("_m")) + 1).cast("int")).drop("_m", "_i")
-    return null_safe(numbered.drop("_n"), drawn, [*strata, "_r"], "inner").drop("_r")
+    place, size, draw = (unique_name(x, df.columns) for x in ("_place", "_size", "_draw"))
+    sizes = df.groupBy(*keys).agg(F.count("*").alias(size)).withColumn(draw, F.explode(F.sequence(F.lit(1), F.lit(n))))
+    drawn = sizes.select(*keys, (F.pmod(F.xxhash64(F.lit(seed), *keys, F.col(draw)), F.col(size)) + 1).alias(place))
+    return null_safe(repeatable_rank(df, keys, seed, place), drawn, [*strata, place], "inner").select(*[col(c) for c in df.columns])
 
 
 class SingleCells:

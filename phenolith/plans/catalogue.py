@@ -129,9 +129,9 @@ def _(spark, d):
 
 
 @query("annotate_cmap", """
-WITH p AS (SELECT p_partkey, CASE WHEN p_size < 10 THEN 'DMSO' WHEN p_size < 20 THEN 'empty' WHEN p_size < 30 THEN NULL ELSE 'BRD-' || upper(substr(p_brand, 1, 1)) || p_partkey || '-x' END AS s, p_size * 0.5 AS dose FROM part)
+WITH p AS (SELECT p_partkey, CASE WHEN p_size < 10 THEN 'DMSO' WHEN p_size < 20 THEN 'empty' WHEN p_size < 30 THEN NULL ELSE 'BRD-' || upper(substr(p_brand, 1, 1)) || p_partkey || '-x' END AS s, CAST(p_size AS DOUBLE) / 2 AS dose FROM part)
 SELECT p_partkey AS Metadata_Well, 'brand' AS Metadata_note, nullif(regexp_extract(s, '(BRD[-N][A-Z0-9]+)', 1), '') AS Metadata_pert_id, s AS Metadata_pert_mfc_id, p_partkey AS Metadata_pert_well, '' AS Metadata_pert_id_vendor, 'A549' AS Metadata_cell_id,
-CASE WHEN s IS NULL OR s = 'DMSO' THEN 'control' WHEN s = 'empty' THEN 'empty' ELSE 'trt' END AS Metadata_broad_sample_type, coalesce(s, 'DMSO') AS Metadata_broad_sample, CASE WHEN s IS NULL OR s = 'DMSO' THEN 0 ELSE dose END AS Metadata_mmoles_per_liter,
+CASE WHEN s IS NULL OR s = 'DMSO' THEN 'control' WHEN s = 'empty' THEN 'empty' ELSE 'trt' END AS Metadata_broad_sample_type, coalesce(s, 'DMSO') AS Metadata_broad_sample, CASE WHEN s IS NULL OR s = 'DMSO' THEN 0.0 ELSE dose END AS Metadata_mmoles_per_liter,
 CASE WHEN s IS NULL OR s = 'DMSO' THEN 'control' WHEN s = 'empty' THEN 'empty' ELSE 'trt' END AS Metadata_pert_type, dose AS Cells_x FROM p
 """)
 def _(spark, d):
@@ -301,29 +301,23 @@ def _(spark, d):
     return rounded(consensus(lines(spark, d), ["Metadata_order"], operation="modz", modz_args={"method": "pearson"}))
 
 
-_MODZ_PAIRS = """
-WITH v AS (SELECT label AS g, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings WHERE vec_id < 200),
-c AS (SELECT a.g, a.vec_id AS a, b.vec_id AS b, corr(a.x, b.x) AS r FROM v a JOIN v b ON a.g = b.g AND a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL),
+#: Weights of the replicates of a label: each one's mean correlation with the others, negative ones as 0.
+_MODZ_SQL = """
+WITH v AS (SELECT label AS g, vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) AS i FROM embeddings),
+k AS ({values}), c AS (SELECT a.g, a.vec_id AS a, b.vec_id AS b, corr(a.x, b.x) AS r FROM k a JOIN k b ON a.g = b.g AND a.i = b.i AND a.vec_id <> b.vec_id GROUP BY ALL),
 w AS (SELECT g, a, greatest(avg(greatest(r, 0)), 0.01) AS w FROM c GROUP BY ALL), n AS (SELECT g, a, round_even(w / sum(w) OVER (PARTITION BY g), 4) AS w FROM w)
-SELECT v.g AS Metadata_label, {} FROM v JOIN n ON v.vec_id = n.a GROUP BY v.g
-""".format(", ".join(f"round(sum(CASE WHEN i = {k + 1} THEN x * w END), 4) + 0.0 AS Cells_{k}" for k in range(64)))
-
-
-@query("consensus_modz_vectors", _MODZ_PAIRS)
-def _(spark, d):
-    """Groups are labels; a subset, the first 200 vectors, as its SQL has it.  ``consensus_modz_all_vectors`` takes them all."""
-    return _modz_labels(read(spark, d, "embeddings").filter("vec_id < 200"))
-
-
-def _modz_labels(vectors: DataFrame) -> DataFrame:
-    df = vectors.select(F.col("label").alias("Metadata_label"), *[F.col("embedding")[i].cast("double").alias(f"Cells_{i}") for i in range(64)])
-    return rounded(consensus(df, "Metadata_label", operation="modz", modz_args={"method": "pearson"}))
+SELECT v.g AS Metadata_label, {columns} FROM v JOIN n ON v.vec_id = n.a GROUP BY v.g
+"""
+_MODZ_COLUMNS = ", ".join(f"round(sum(CASE WHEN i = {k + 1} THEN x * w END), 4) + 0.0 AS Cells_{k}" for k in range(64))
+_MODZ_VALUES = {"pearson": "SELECT * FROM v", "spearman": "SELECT g, vec_id, i, rank() OVER (PARTITION BY vec_id ORDER BY x) + (count(*) OVER (PARTITION BY vec_id, x) - 1) / 2.0 AS x FROM v"}
 
+for _how in _MODZ_VALUES:
 
-@query("consensus_modz_all_vectors", _MODZ_PAIRS.replace(" WHERE vec_id < 200", ""))
-def _(spark, d):
-    """Groups are labels, over the whole table."""
-    return _modz_labels(read(spark, d, "embeddings"))
+    @query(f"consensus_modz_{_how}", _MODZ_SQL.format(values=_MODZ_VALUES[_how], columns=_MODZ_COLUMNS))
+    def _(spark, d, how=_how):
+        """Groups are labels, over the whole table of vectors."""
+        df = read(spark, d, "embeddings").select(F.col("label").alias("Metadata_label"), *[F.col("embedding")[i].cast("double").alias(f"Cells_{i}") for i in range(64)])
+        return rounded(consensus(df, "Metadata_label", operation="modz", modz_args={"method": how}))
 
 
 # single cells: orders are images, lines are objects

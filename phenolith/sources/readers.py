@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import csv
 import io
 import os
 import sqlite3
-from collections.abc import Iterator, Sequence
+import tempfile
+from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -150,24 +154,45 @@ def _files(paths: Sequence[str]) -> DataFrame | None:
     return spark.read.format("binaryFile").load(there).select("path", "content") if there else None
 
 
+def _shapes(files: DataFrame, fallback: str) -> list:
+    """The distinct (prefix, width, metadata names, columns of locations) of all archives; archives without rows don't count."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            found = set()
+            for blob in b.column(1):
+                x, meta, at = _npz(blob.as_py())
+                if len(x):
+                    found.add((_prefix(meta, fallback), x.shape[1], "\n".join(meta), -1 if at is None else at.shape[1]))
+            yield pa.RecordBatch.from_arrays([pa.array([f[i] for f in found], kind) for i, kind in enumerate((pa.string(), pa.int32(), pa.string(), pa.int32()))], names=["prefix", "width", "meta", "centres"])
+
+    return files.mapInArrow(run, "prefix string, width int, meta string, centres int").distinct().orderBy("prefix", "width", "meta").collect()
+
+
+def _prefix(meta: dict[str, str], fallback: str) -> str:
+    return meta.get("Model") or meta.get(f"{METADATA}Model") or fallback
+
+
 def load_npz(paths: str | Sequence[str], fallback_feature_prefix: str = "DP", metadata: bool = True, locations: bool = False, x_idx: int = 0, y_idx: int = 1) -> DataFrame:
     """Rows of NPZ archives: ``Metadata_*`` strings, cell centres on demand, then features.
 
     Features are named by the archive's ``Metadata_Model``, else by the fallback
-    prefix.  Missing files give no rows; the width comes from the first archive.
+    prefix.  Missing files give no rows.  The columns are those of all archives together,
+    found in a pass of its own; what an archive hasn't got is null.
     Archives are read one at a time in as many tasks as there are files.
     """
     spark = session()
     files = _files([paths] if isinstance(paths, str) else list(paths))
-    first = files.limit(1).collect() if files is not None else []
-    if not first:
+    shapes = _shapes(files, fallback_feature_prefix) if files is not None else []
+    if not shapes:
         return spark.createDataFrame([], T.StructType([]))
-    features, meta, centres = _npz(bytes(first[0].content))
-    if locations and centres is not None and max(x_idx, y_idx) >= centres.shape[1]:
-        raise IndexError(f"locations have {centres.shape[1]} columns")
-    meta_names = [f"{METADATA}{k}" for k in meta] if metadata else []
-    prefix = meta.get("Model") or meta.get(f"{METADATA}Model") or fallback_feature_prefix
-    names = [f"{prefix}_{i}" for i in range(features.shape[1])]
+    if locations and (narrow := [s.centres for s in shapes if 0 <= s.centres <= max(x_idx, y_idx)]):
+        raise IndexError(f"locations have {min(narrow)} columns")
+    meta_names = list(dict.fromkeys(f"{METADATA}{k}" for s in shapes for k in s.meta.split("\n") if k)) if metadata else []
+    widths: dict[str, int] = {}
+    for s in shapes:
+        widths[s.prefix] = max(widths.get(s.prefix, 0), s.width)
+    names = [f"{p}_{i}" for p, w in widths.items() for i in range(w)]
     centre_names = ["Location_Center_X", "Location_Center_Y"] if locations else []
     schema = T.StructType([T.StructField("_file", T.StringType())] + [T.StructField(c, T.StringType()) for c in meta_names] + [T.StructField(c, T.DoubleType()) for c in [*centre_names, *names]])
 
@@ -181,7 +206,8 @@ def load_npz(paths: str | Sequence[str], fallback_feature_prefix: str = "DP", me
                 cols = [pa.array([path] * n), *[pa.array([own.get(c.removeprefix(METADATA))] * n, pa.string()) for c in meta_names]]
                 if locations:
                     cols += [pa.array(np.full(n, np.nan) if at is None else np.asarray(at[:, i], float)) for i in (x_idx, y_idx)]
-                cols += [pa.array(np.ascontiguousarray(x[:, j], dtype=float)) for j in range(len(names))]
+                prefix = _prefix(own, fallback_feature_prefix)
+                cols += [pa.array(np.ascontiguousarray(x[:, j], dtype=float)) if p == prefix and j < x.shape[1] else pa.nulls(n, pa.float64()) for p, w in widths.items() for j in range(w)]
                 yield pa.RecordBatch.from_arrays(cols, names=[f.name for f in schema])
 
     return files.mapInArrow(run, schema)
@@ -202,9 +228,31 @@ def load_npz_locations(path: str, x_idx: int = 0, y_idx: int = 1) -> DataFrame:
 _KINDS = {"INTEGER": T.LongType(), "REAL": T.DoubleType(), "TEXT": T.StringType(), "BLOB": T.BinaryType()}
 
 
+_FETCHED: dict[str, str] = {}
+
+
+def fetched(path: str) -> str:
+    """A local path of a file: itself, or a copy that this process makes once of a file in a store (``s3://`` without
+    credentials, or any that Arrow opens).  SQLite reads by position, so it needs one."""
+    if "://" not in path:
+        return path
+    if path not in _FETCHED:
+        store, inner = (pafs.S3FileSystem(anonymous=True), path.split("://", 1)[1]) if path.startswith(("s3://", "s3a://")) else pafs.FileSystem.from_uri(path)
+        with store.open_input_stream(inner) as source, tempfile.NamedTemporaryFile(prefix="phenolith-", suffix=".sqlite", delete=False) as out:
+            while part := source.read(1 << 24):
+                out.write(part)
+        _FETCHED[path] = out.name
+        atexit.register(lambda: os.path.exists(out.name) and os.unlink(out.name))
+    return _FETCHED[path]
+
+
+def _open(path: str) -> sqlite3.Connection:
+    return sqlite3.connect(f"file:{fetched(path)}?mode=ro", uri=True)
+
+
 def sqlite_columns(path: str, table: str) -> dict[str, T.DataType]:
     """Columns of a table with the widest type that its declaration, or else its values, show."""
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    with _open(path) as db:
         out: dict[str, T.DataType] = {}
         for _, name, declared, *_ in db.execute(f'PRAGMA table_info("{table}")').fetchall():
             kind = (declared or "").upper()
@@ -216,12 +264,12 @@ def sqlite_columns(path: str, table: str) -> dict[str, T.DataType]:
 
 
 def sqlite_count(path: str, table: str) -> int:
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    with _open(path) as db:
         return db.execute(f'SELECT count(*) FROM "{table}"').fetchone()[0]
 
 
 def read_sqlite(path: str, table: str, columns: Sequence[str] | None = None, where: str | None = None, partitions: int | None = None) -> DataFrame:
-    """A table of a SQLite file that all executors can open, read in ranges of its row ids.
+    """A table of a SQLite file that all executors can open or fetch from a store, read in ranges of its row ids.
 
     ``columns`` and ``where`` (SQL) are evaluated by SQLite.
     """
@@ -231,7 +279,7 @@ def read_sqlite(path: str, table: str, columns: Sequence[str] | None = None, whe
     if missing := [c for c in names if c not in kinds]:
         raise ValueError(f"no columns {missing} in {table}")
     schema = T.StructType([T.StructField(c, kinds[c]) for c in names])
-    with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+    with _open(path) as db:
         lo, hi = db.execute(f'SELECT min(rowid), max(rowid) FROM "{table}"').fetchone()
     if lo is None:
         return spark.createDataFrame([], schema)
@@ -243,7 +291,7 @@ def read_sqlite(path: str, table: str, columns: Sequence[str] | None = None, whe
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in b.column(0).to_pylist():
-                with sqlite3.connect(f"file:{path}?mode=ro", uri=True) as db:
+                with _open(path) as db:
                     cursor = db.execute(query, (lo + i * step, lo + (i + 1) * step))
                     while rows := cursor.fetchmany(5000):
                         cols = []
@@ -265,6 +313,8 @@ def load_index(path: str) -> DataFrame:
 
 def load_location_metadata(source: str | DataFrame, image_key: Sequence[str]) -> DataFrame:
     """A table of images as text columns; a path must end in .csv or .parquet."""
+    if str(source).startswith("s3a://"):
+        anonymous_s3(session())
     if isinstance(source, DataFrame):
         df = source
     elif str(source).endswith(".csv"):
@@ -285,12 +335,13 @@ def anonymous_s3(spark: SparkSession) -> None:
 
 def collated(folder: str, plate: str, tables: Sequence[str] = ("Image", "Cells", "Cytoplasm", "Nuclei")) -> dict[str, DataFrame]:
     """Tables of a plate from ``folder``/<site>/<table>.csv, columns but keys prefixed by their
-    compartment, with the plate's name; TableNumber tells sites apart."""
+    compartment, with the plate's name; TableNumber is the site's place in the sorted folder."""
     spark, out = session(), {}
+    sites = _children(spark, folder)[1]
+    number = F.element_at(F.create_map(*[x for i, s in enumerate(sites) for x in (F.lit(s), F.lit(i + 1).cast("long"))]), F.element_at(F.split(F.input_file_name(), "/"), -2))
     for t in tables:
-        df = spark.read.csv(f"{folder}/*/{t}.csv", header=True, inferSchema=True)
-        site = F.element_at(F.split(F.input_file_name(), "/"), -2)
-        df = df.withColumn("TableNumber", F.crc32(site.cast("binary")))
+        df = spark.read.csv(f"{folder}/*/{t}.csv", header=True, inferSchema=True, enforceSchema=False)
+        df = df.withColumn("TableNumber", number)
         keys = {"ImageNumber", "ObjectNumber", "TableNumber"}
         if t.lower() == "image":
             df = df.withColumn(f"{METADATA}Plate", F.lit(plate))
@@ -298,3 +349,38 @@ def collated(folder: str, plate: str, tables: Sequence[str] = ("Image", "Cells",
             df = df.toDF(*[c if c in keys or c.startswith(f"{t}_") else f"{t}_{c}" for c in df.columns])
         out[t.lower()] = df
     return out
+
+
+_DECLARED = {T.LongType: "INTEGER", T.IntegerType: "INTEGER", T.ShortType: "INTEGER", T.ByteType: "INTEGER", T.BooleanType: "INTEGER", T.DoubleType: "REAL", T.FloatType: "REAL"}
+
+
+def write_sqlite(tables: Mapping[str, DataFrame], output_file: str, indexes: Sequence[tuple[str, Sequence[str]]] = ()) -> str:
+    """A SQLite file of the tables, with an index for each (table, columns).
+
+    One file has one writer: the driver takes a partition at a time and puts the file in place when it is whole.
+    """
+    os.makedirs(os.path.dirname(os.path.abspath(output_file)), exist_ok=True)
+    part = f"{output_file}.part"
+    if os.path.exists(part):
+        os.unlink(part)
+    with contextlib.closing(sqlite3.connect(part)) as db:
+        for name, df in tables.items():
+            plain = df.select(*[F.col(f"`{f.name}`") if type(f.dataType) in _DECLARED else F.col(f"`{f.name}`").cast("string").alias(f.name) for f in df.schema])
+            columns = ", ".join(f'"{f.name}" {_DECLARED.get(type(f.dataType), "TEXT")}' for f in df.schema)
+            db.execute(f'CREATE TABLE "{name}" ({columns})')
+            db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(df.columns))})', (tuple(r) for r in plain.toLocalIterator()))
+        for i, (name, columns) in enumerate(indexes):
+            listed = ", ".join(f'"{c}"' for c in columns)
+            db.execute(f'CREATE INDEX "{name}_index_{i}" ON "{name}" ({listed})')
+        db.commit()
+    os.replace(part, output_file)
+    return output_file
+
+
+def collate(folder: str, plate: str, output_file: str, tables: Sequence[str] = ("Image", "Cells", "Cytoplasm", "Nuclei")) -> str:
+    """The SQLite file of a plate, with indexes on the keys that compartments are joined by."""
+    frames = {t.title(): df for t, df in collated(folder, plate, tables).items()}
+    image = [("Image", ["TableNumber", "ImageNumber"]), ("Image", [f"{METADATA}Plate", f"{METADATA}Well"])]
+    indexes = [(t, c) for t, c in image if t in frames and set(c) <= set(frames[t].columns)]
+    indexes += [(t, c) for t in frames if t != "Image" for c in (["TableNumber", "ImageNumber"], ["TableNumber", "ImageNumber", "ObjectNumber"])]
+    return write_sqlite(frames, output_file, indexes)

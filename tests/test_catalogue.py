@@ -29,8 +29,9 @@ def test_query_equals_its_sql(spark, name):
     assert key(df.select(*columns).collect()) == key(want.fetchall())
 
 
-def test_modz_of_all_vectors_equals_its_sql(spark):
-    test_query_equals_its_sql(spark, "consensus_modz_all_vectors")
+@pytest.mark.parametrize("method", ["pearson", "spearman"])
+def test_modz_of_all_vectors_equals_its_sql(spark, method):
+    test_query_equals_its_sql(spark, f"consensus_modz_{method}")
 
 
 def test_external_metadata_of_all_orders_equals_its_sql(spark):

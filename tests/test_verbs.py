@@ -10,16 +10,17 @@ from pyspark.sql import functions as F
 
 from phenolith import aggregate, annotate, consensus, feature_select, normalize
 from phenolith.functions.exprs import predicate
-from phenolith.functions.linalg import correlation, tau_b
+from phenolith.functions.linalg import correlation, tau_b, triangle
 from phenolith.functions.schema import infer_features, with_prefix
 from phenolith.operators.consensus import modz_profile
 from phenolith.operators.normalize import Quantiles, fit_spherize, inverse_normal
 from phenolith.operators.select import correlation_threshold, count_na, frequency_threshold, na_columns, noise_removal, outlier_features, variance_threshold
+from phenolith.operators.single_cell import sample_fraction, sample_number
 
 
 @pytest.fixture(scope="module")
 def cells(spark):
-    return spark.createDataFrame([("a", 1, 1.0, 3.0), ("a", 2, 3.0, 1.0), ("a", 3, 8.0, 5.0), ("b", 4, 1.0, 3.0), ("b", 5, 3.0, 1.0), ("b", 6, 5.0, 8.0)], "g string, Metadata_ObjectNumber long, Cells_x double, Nuclei_y double")
+    return spark.createDataFrame([("a", 1, 2.0, 6.0), ("a", 2, 9.0, 4.0), ("a", 3, 4.0, 11.0), ("b", 4, 7.0, 1.0), ("b", 5, 2.0, 9.0), ("b", 6, 6.0, 2.0)], "g string, Metadata_ObjectNumber long, Cells_x double, Nuclei_y double")
 
 
 def rows(df, by):
@@ -27,8 +28,8 @@ def rows(df, by):
 
 
 def test_aggregate(cells):
-    assert rows(aggregate(cells, strata=["g"]), "g") == [("a", 3, 3), ("b", 3, 3)]
-    assert rows(aggregate(cells, strata=["g"], operation="MEAN"), "g") == [("a", 4, 3), ("b", 3, 4)]
+    assert rows(aggregate(cells, strata=["g"]), "g") == [("a", 4, 6), ("b", 6, 2)]
+    assert rows(aggregate(cells, strata=["g"], operation="MEAN"), "g") == [("a", 5, 7), ("b", 5, 4)]
     counted = aggregate(cells, strata=["g"], compute_object_count=True)
     assert counted.columns == ["g", "Metadata_Object_Count", "Cells_x", "Nuclei_y"]
     assert [r[1] for r in rows(counted, "g")] == [3, 3]
@@ -44,7 +45,7 @@ def test_aggregate_missing_and_null_strata(spark):
 
 def test_aggregate_subset_multiplicity(spark, cells):
     twice = spark.createDataFrame([(1,), (1,), (3,)], "Metadata_ObjectNumber long")
-    assert rows(aggregate(cells, strata=["g"], operation="mean", subset_data_df=twice), "g") == [("a", pytest.approx(10 / 3), pytest.approx(11 / 3))]
+    assert rows(aggregate(cells, strata=["g"], operation="mean", subset_data_df=twice), "g") == [("a", pytest.approx(8 / 3), pytest.approx(23 / 3))]
 
 
 def test_aggregate_wide_pieces(spark, monkeypatch):
@@ -84,14 +85,14 @@ def test_predicate(spark):
 
 @pytest.fixture(scope="module")
 def plate(spark):
-    return spark.createDataFrame([("A01", 1, 8), ("A02", 3, 1), ("B01", 8, 3)], "Metadata_Well string, x long, y long")
+    return spark.createDataFrame([("A01", 4, 6), ("A02", 7, 2), ("B01", 5, 9)], "Metadata_Well string, x long, y long")
 
 
 def test_annotate(spark, plate):
     platemap = spark.createDataFrame([("A01", "p"), ("A02", "q"), ("B01", "r"), ("C01", "s")], "well_position string, gene string")
     out = annotate(plate, platemap)
     assert out.columns == ["Metadata_gene", "Metadata_Well", "x", "y"]
-    assert rows(out, "Metadata_Well") == [("p", "A01", 1, 8), ("q", "A02", 3, 1), ("r", "B01", 8, 3)]
+    assert rows(out, "Metadata_Well") == [("p", "A01", 4, 6), ("q", "A02", 7, 2), ("r", "B01", 5, 9)]
     extra = spark.createDataFrame([("p", "one"), ("p", "one"), ("q", "two")], "gene string, pathway string")
     out = annotate(plate, platemap, external_metadata=extra, external_join_on="Metadata_gene")
     assert [r.Metadata_pathway for r in out.orderBy("Metadata_Well").collect()] == ["one", "two", None]
@@ -118,7 +119,7 @@ def test_cmap_modes(spark, plate):
 
 @pytest.fixture(scope="module")
 def drugs(spark):
-    data = pd.DataFrame({"Metadata_plate": ["a"] * 8, "Metadata_treatment": ["drug"] * 4 + ["control"] * 4, "Cells_x": [1, 2, 8, 2, 5, 5, 5, 1], "Cytoplasm_y": [3, 1, 7, 4, 5, 9, 6, 1], "Nuclei_z": [1, 8, 2, 5, 6, 22, 2, 2], "Nuclei_c": [4.0] * 8})
+    data = pd.DataFrame({"Metadata_plate": ["a"] * 8, "Metadata_treatment": ["drug"] * 4 + ["control"] * 4, "Cells_x": [2, 9, 4, 4, 7, 7, 7, 3], "Cytoplasm_y": [6, 2, 8, 5, 4, 11, 9, 2], "Nuclei_z": [3, 11, 7, 2, 15, 4, 4, 9], "Nuclei_c": [4.0] * 8})
     return spark.createDataFrame(data), data
 
 
@@ -162,19 +163,27 @@ def test_qc_tokens_and_payload(spark):
 
 
 @pytest.mark.parametrize("method", ["PCA", "ZCA", "PCA-cor", "ZCA-cor"])
-def test_spherize_whitens(spark, method, monkeypatch):
+def test_spherize_whitens(spark, method):
     rng = np.random.default_rng(0)
     x = rng.normal(size=(200, 4)) @ rng.normal(size=(4, 4)) + 5
     df = spark.createDataFrame(pd.DataFrame(x, columns=[f"Cells_{i}" for i in range(4)]).assign(Metadata_id=range(200)))
     out = normalize(df, method="spherize", spherize_method=method, spherize_svd_on="transformed", spherize_epsilon=0).drop("Metadata_id").toPandas()
     assert np.allclose(np.cov(out.T), np.eye(4), atol=1e-8)
     assert list(out.columns) == ([f"PC{i}" for i in range(1, 5)] if method.startswith("PCA") else [f"Cells_{i}" for i in range(4)])
-    from phenolith.operators import normalize as module
+    for n in (2, 150):  # few rows a task, and more tasks than rows in a block: the decomposition is the same
+        again = fit_spherize(df.repartition(n), [f"Cells_{i}" for i in range(4)], method=method).weight
+        assert np.allclose(np.abs(again), np.abs(fit_spherize(df, [f"Cells_{i}" for i in range(4)], method=method).weight), atol=1e-9)
 
-    direct = fit_spherize(df, [f"Cells_{i}" for i in range(4)], method=method).weight
-    monkeypatch.setattr(module, "DIRECT", 0)
-    gram = fit_spherize(df, [f"Cells_{i}" for i in range(4)], method=method).weight
-    assert np.allclose(np.abs(direct), np.abs(gram), atol=1e-7)
+
+def test_whitening_keeps_all_digits(spark):
+    """Columns that differ in the ninth digit are told apart, whatever the number of rows, and constant ones refused."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    x[:, 1] = x[:, 0] + 1e-9 * x[:, 1]
+    df = spark.createDataFrame(pd.DataFrame(x, columns=["Cells_a", "Cells_b", "Cells_c"])).repartition(7)
+    got = triangle(df, df.columns)
+    assert np.allclose(np.linalg.svd(got, compute_uv=False), np.linalg.svd(x, compute_uv=False), rtol=1e-6)
+    assert fit_spherize(df, df.columns).weight.shape == (3, 3)
 
 
 def test_spherize_errors(spark):
@@ -197,7 +206,7 @@ def test_inverse_normal(spark):
 
 @pytest.fixture(scope="module")
 def four(spark):
-    return spark.createDataFrame(pd.DataFrame({"x": [1, 3, 8, 5, 2, 2], "y": [1, 2, 8, 5, 2, 1], "z": [9, 3, 8, 9, 2, 9], "zz": [0, -3, 8, 9, 6, 9]}).astype(float).assign(g=["a", "a", "a", "b", "b", "b"]))
+    return spark.createDataFrame(pd.DataFrame({"x": [2, 7, 4, 8, 5, 5], "y": [1, 7, 4, 8, 5, 6], "z": [9, 4, 8, 8, 1, 9], "zz": [1, -4, 7, 8, 5, 9]}).astype(float).assign(g=["a", "a", "a", "b", "b", "b"]))
 
 
 def test_correlation(spark, four):
@@ -233,15 +242,18 @@ def _spearman(df):
 
 def test_selection_rules(spark, four):
     names = ["x", "y", "z", "zz"]
-    assert correlation_threshold(four, names, threshold=0.9) == ["y"]
-    assert set(correlation_threshold(four, names, threshold=0.2)) == {"x", "y", "zz"}
+    r = four.toPandas()[names].corr()
+    weight = r.abs().sum()
+    for threshold in (0.9, 0.2):
+        want = {max(a, b, key=lambda c: weight[c]) for a in names for b in names if a < b and r[a][b] > threshold}
+        assert want and set(correlation_threshold(four, names, threshold=threshold)) == want
     spread = {c: four.toPandas().groupby("g")[c].std(ddof=0).mean() for c in names}
     assert noise_removal(four, "g", names, noise_removal_stdev_cutoff=2.5) == [c for c in names if spread[c] > 2.5]
     assert noise_removal(four, ["a"] * 3 + ["b"] * 3, names, noise_removal_stdev_cutoff=2.5) == [c for c in names if spread[c] > 2.5]
     assert outlier_features(four, names, outlier_cutoff=8.5) == ["z", "zz"]
-    holes = four.withColumn("x", F.when(F.col("x") > 2, F.col("x"))).withColumn("y", F.when(F.col("y") > 1, F.col("y")).otherwise(float("nan")))
+    holes = four.withColumn("x", F.when(F.col("x") > 5, F.col("x"))).withColumn("y", F.when(F.col("y") > 1, F.col("y")).otherwise(float("nan")))
     assert na_columns(holes, names, cutoff=0.4) == ["x"] and na_columns(holes, names, cutoff=0.1) == ["x", "y"]
-    assert {r.feature: r.num_na for r in count_na(holes, names).collect()} == {"x": 3, "y": 2, "z": 0, "zz": 0}
+    assert {r.feature: r.num_na for r in count_na(holes, names).collect()} == {"x": 4, "y": 1, "z": 0, "zz": 0}
     low = spark.createDataFrame([(1.0, float(i)) for i in range(6)], "low double, high double")
     assert variance_threshold(low, ["low", "high"]) == ["low"]
     with pytest.raises(ValueError):
@@ -270,14 +282,14 @@ def test_feature_select(spark):
 
 
 def test_modz(spark):
-    df = spark.createDataFrame([("a", 1, 5, 2), ("a", 1, 5, 2), ("b", 4, 2, -1), ("b", 4, 2, 0), (None, 7, 8, 9)], "Metadata_g string, Cells_x long, Cytoplasm_y long, Nuclei_z long")
+    df = spark.createDataFrame([("a", 3, 6, 4), ("a", 3, 6, 4), ("b", 7, 3, -2), ("b", 7, 3, 1), (None, 6, 8, 9)], "Metadata_g string, Cells_x long, Cytoplasm_y long, Nuclei_z long")
     out = {r.Metadata_g: tuple(r)[1:] for r in consensus(df, "Metadata_g", operation="MODZ").collect()}
-    assert out["a"] == (1, 5, 2) and out["b"] == (4, 2, -0.5) and out[None] == (7, 8, 9)
+    assert out["a"] == (3, 6, 4) and out["b"] == (7, 3, -0.5) and out[None] == (6, 8, 9)
     flat = np.array([[1.0, 1, 1], [1, 2, 3], [1, 2, 4]])
     assert np.allclose(modz_profile(flat, "pearson"), 0.5 * flat[1] + 0.5 * flat[2])
     opposite = np.array([[1.0, 2], [2, 1]])
     assert np.allclose(modz_profile(opposite, "pearson", min_weight=0), [1.5, 1.5])
-    assert [tuple(r) for r in consensus(df, ["Metadata_g"], operation="mean").orderBy("Metadata_g").collect()][1] == ("a", 1, 5, 2)
+    assert [tuple(r) for r in consensus(df, ["Metadata_g"], operation="mean").orderBy("Metadata_g").collect()][1] == ("a", 3, 6, 4)
 
 
 @pytest.mark.parametrize("method", ["pearson", "spearman"])
@@ -309,3 +321,67 @@ def test_partition_invariance(drugs):
     df, _ = drugs
     for n in (1, 8):
         assert np.allclose(normalize(df.repartition(n)).orderBy("Cells_x", "Nuclei_z").toPandas()["Nuclei_z"], normalize(df).orderBy("Cells_x", "Nuclei_z").toPandas()["Nuclei_z"])
+
+
+def test_wide_and_narrow_transforms_agree(spark, monkeypatch):
+    """A scale of 0, infinite and missing values give the same in a projection and in a map over batches."""
+    module = importlib.import_module("phenolith.operators.normalize")
+    df = spark.createDataFrame([(i, 4.0, None if i == 2 else float(i), math.inf if i == 3 else float(i), None) for i in range(6)], "Metadata_i int, Cells_flat double, Cells_x double, Cells_far double, Cells_none double")
+    both = []
+    for wide in (600, 1):
+        monkeypatch.setattr(module, "WIDE", wide)
+        both.append([tuple("nan" if v is not None and v != v else v for v in r) for r in normalize(df, method="mad_robustize", mad_robustize_epsilon=0).orderBy("Metadata_i").collect()])
+    assert both[0] == both[1] and both[0][0][1] == "nan" and both[0][2][2] is None and both[0][3][3] == math.inf and both[0][0][4] is None
+
+
+@pytest.mark.parametrize("rows", [1 << 21, 40])
+def test_order_statistics(spark, monkeypatch, rows):
+    """Exact percentiles by counts of leading bits, in one pass or in many, by group and with missing values."""
+    module = importlib.import_module("phenolith.functions.ranks")
+    monkeypatch.setattr(module, "ROWS", rows)
+    monkeypatch.setattr(module, "FIRST", 12 if rows > 40 else 3)
+    rng = np.random.default_rng(1)
+    data = pd.DataFrame({"g": rng.integers(0, 3, 400), "a": rng.normal(size=400), "b": rng.integers(-3, 3, 400).astype(float), "c": 10 ** rng.uniform(-30, 30, 400) * rng.choice([-1, 1], 400)})
+    data.loc[data.g == 2, "b"] = np.nan
+    data.loc[5, "a"] = np.nan
+    df = spark.createDataFrame(data).repartition(5)
+    p = [0, 0.1, 0.25, 0.5, 0.77, 1]
+    for key, got in module.order_statistics(df, ["a", "b", "c"], p).items():
+        assert key == 0 and np.allclose(got, data[["a", "b", "c"]].quantile(p), rtol=1e-12, equal_nan=True)
+    got = module.order_statistics(df, ["a", "b", "c"], p, "g")
+    assert set(got) == {0, 1, 2} and all(np.allclose(got[g], data[data.g == g][["a", "b", "c"]].quantile(p), rtol=1e-12, equal_nan=True) for g in got)
+    assert np.isnan(module.order_statistics(df.limit(0), ["a"], [0.5])[0]).all()
+
+
+def test_medians_of_large_strata(spark, monkeypatch):
+    """Strata beyond a size are counted over all tasks, and give what smaller ones give."""
+    module = importlib.import_module("phenolith.operators.aggregate")
+    rng = np.random.default_rng(2)
+    data = pd.DataFrame({"Metadata_g": ["big"] * 200 + ["small"] * 7 + [None] * 90 + ["none"] * 80, "Cells_x": rng.normal(size=377), "Nuclei_y": rng.integers(0, 9, 377).astype(float)})
+    data.loc[data.Metadata_g == "none", ["Cells_x", "Nuclei_y"]] = np.nan
+    df = spark.createDataFrame(data).replace(float("nan"), None).repartition(6)
+    want = sorted(map(str, aggregate(df, strata=["Metadata_g"], compute_object_count=True, object_feature="Metadata_g").collect()))
+    monkeypatch.setattr(module, "LARGE", 50)
+    monkeypatch.setattr(module, "CELLS", 8)
+    got = aggregate(df, strata=["Metadata_g"], compute_object_count=True, object_feature="Metadata_g")
+    assert sorted(map(str, got.collect())) == want and len(want) == 4
+
+
+def test_samples_are_repeatable(spark):
+    """The same seed draws the same rows, however they are dealt; columns of any name stay."""
+    df = spark.createDataFrame([("a" if i < 70 else None if i < 90 else "b", i, i % 4, 1) for i in range(101)], "g string, _n int, _r int, _place int")
+    for n in (1, 9):
+        for draw, size in ((lambda d: sample_fraction(d, ["g"], 0.3, 5), {"a": 21, None: 6, "b": 3}), (lambda d: sample_number(d, ["g"], 12, 5), {"a": 12, None: 12, "b": 12})):
+            rows = sorted(map(str, draw(df.repartition(n)).collect()))
+            assert rows == sorted(map(str, draw(df).collect())) and draw(df).columns == df.columns
+            assert {r.g: r["count"] for r in draw(df).groupBy("g").count().collect()} == size
+    assert sample_fraction(df, ["g"], 0.3, 6).exceptAll(sample_fraction(df, ["g"], 0.3, 5)).count()
+    assert sample_fraction(df, ["g"], 0.3, 5).distinct().count() == 30
+
+
+@pytest.mark.parametrize("limit", [1 << 21, 3])
+def test_spearman_with_few_and_many_values(spark, monkeypatch, four, limit):
+    module = importlib.import_module("phenolith.functions.linalg")
+    monkeypatch.setattr(module, "RANKS", limit)
+    data = four.toPandas()[["x", "y", "z", "zz"]]
+    assert np.allclose(correlation(four, list(data.columns), "spearman"), data.rank().corr())

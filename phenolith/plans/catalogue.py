@@ -8,17 +8,18 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from phenolith.functions.linalg import pairwise
+from phenolith.functions.linalg import moments, pairwise, triangle
 from phenolith.operators.aggregate import aggregate
 from phenolith.operators.annotate import annotate
 from phenolith.operators.consensus import consensus
 from phenolith.operators.images import aggregate_image_features, count_fields, extract_image_features
 from phenolith.operators.locations import nested_centres
-from phenolith.operators.normalize import normalize
+from phenolith.operators.normalize import _AS241, inverse_normal, normalize
 from phenolith.operators.select import correlation_threshold, count_na, feature_select, frequency_threshold, na_columns, noise_removal, outlier_features, value_counts, variance_threshold
 from phenolith.operators.single_cell import SingleCells, sample_fraction, sample_number
 
@@ -182,7 +183,29 @@ def _(spark, d):
     return rounded(normalize(df))
 
 
-@query("normalize_inverse_normal")
+def _horner(powers: tuple[float, ...], x: str) -> str:
+    out = repr(powers[-1])
+    for c in reversed(powers[:-1]):
+        out = f"({out} * {x} + {c!r})"
+    return out
+
+
+def _quantile_sql() -> str:
+    """The normal's quantiles of the places of values among 1,000 quantiles, by the same rational approximations."""
+    ratio = lambda k, x: f"({_horner(_AS241[k][0], x)} / {_horner(_AS241[k][1], x)})"
+    low = float(inverse_normal(np.array([1e-7 - np.spacing(1)]))[0])
+    parts = []
+    for c in FEATURES:
+        parts.append(f"""
+g_{c} AS (SELECT q, min(k) AS f, max(k) AS l FROM (SELECT unnest(list_transform(range(1000), lambda i: i)) AS k, unnest(x) AS q FROM (SELECT quantile_cont({c}, [{", ".join(repr(float(p)) for p in np.linspace(0, 1, 1000))}]) AS x FROM lines)) GROUP BY q),
+n_{c} AS (SELECT *, lead(q) OVER (ORDER BY q) AS next, min(q) OVER () AS least, max(q) OVER () AS most FROM g_{c}),
+y_{c} AS (SELECT v, CASE WHEN v + 1e-7 > most THEN 1 WHEN v - 1e-7 < least THEN 0 WHEN v = q THEN (f + l) / 2.0 / 999 ELSE (l + (v - q) / (next - q)) / 999 END AS y FROM (SELECT DISTINCT {c} AS v FROM lines) ASOF JOIN n_{c} ON v >= q),
+p_{c} AS (SELECT v, p, p - 0.5 AS d, sqrt(-ln(least(p, 1 - p))) AS r FROM (SELECT v, least(greatest(y, 1e-8), 1 - 1e-8) AS p FROM y_{c})),
+z_{c} AS (SELECT v, round(least(greatest(CASE WHEN abs(d) <= 0.425 THEN d * {ratio(0, "(0.180625 - d * d)")} ELSE sign(d) * CASE WHEN r <= 5 THEN {ratio(1, "(r - 1.6)")} ELSE {ratio(2, "(r - 5)")} END END, {low!r}), {-low!r}), 4) + 0.0 AS z FROM p_{c})""")
+    return f"WITH {LINES}, {', '.join(parts)} SELECT {_KEYS}, {', '.join(f'z_{c}.z AS {c}' for c in FEATURES)} FROM lines l {' '.join(f'JOIN z_{c} ON l.{c} = z_{c}.v' for c in FEATURES)}"
+
+
+@query("normalize_inverse_normal", _quantile_sql())
 def _(spark, d):
     return rounded(normalize(lines(spark, d), method="inverse_normal"))
 
@@ -191,9 +214,23 @@ def vectors(spark: SparkSession, d: str) -> DataFrame:
     return read(spark, d, "embeddings").select(F.col("vec_id").alias("Metadata_id"), *[F.col("embedding")[i].cast("double").alias(f"Cells_{i}") for i in range(64)])
 
 
-@query("normalize_spherize")
+@query("normalize_spherize", f"""WITH {LINES}, s AS (SELECT {_STATS}, corr(Cells_quantity, Cells_price) AS r, count(*) AS n FROM lines),
+w AS (SELECT *, sqrt(n - 1) / (sqrt(n * (1 + r)) + 1e-6) AS a, sqrt(n - 1) / (sqrt(n * (1 - r)) + 1e-6) AS b FROM s),
+x AS (SELECT l.*, a, b, (l.Cells_quantity - m_Cells_quantity) / s_Cells_quantity AS q, (l.Cells_price - m_Cells_price) / s_Cells_price AS p FROM lines l, w)
+SELECT {_KEYS}, round((a + b) / 2 * q + (a - b) / 2 * p, 4) + 0.0 AS Cells_quantity, round((a - b) / 2 * q + (a + b) / 2 * p, 4) + 0.0 AS Cells_price FROM x""")
+def _(spark, d):
+    """Two features, for which the whitening matrix has a closed form."""
+    return rounded(normalize(lines(spark, d), features=["Cells_quantity", "Cells_price"], method="spherize", spherize_method="ZCA-cor", spherize_svd_on="transformed"))
+
+
+@query("normalize_spherize_vectors", "SELECT i::INTEGER AS i, j::INTEGER AS j, CASE WHEN i = j THEN 1.0::DOUBLE ELSE 0.0 END AS covariance FROM range(64) a(i), range(64) b(j) WHERE i <= j")
 def _(spark, d):
-    return rounded(normalize(vectors(spark, d), method="spherize", spherize_method="ZCA-cor"), 6)
+    """Whitened vectors have the identity as their covariance."""
+    white = normalize(vectors(spark, d), method="spherize", spherize_method="ZCA-cor", spherize_svd_on="transformed")
+    names = [f"Cells_{i}" for i in range(64)]
+    r, n = triangle(white, names, moments(white, names)[1]), white.count()
+    covariance = r.T @ r / (n - 1)
+    return rounded(spark.createDataFrame([(i, j, float(covariance[i, j])) for i in range(64) for j in range(i, 64)], "i int, j int, covariance double"))
 
 
 @query("normalize_payload", f"WITH {LINES}, s AS (SELECT avg(Cells_price) AS m, stddev_pop(Cells_price) AS s FROM lines) SELECT {_KEYS}, Nuclei_discount AS Image_payload, round((Cells_price - m) / s, 4) + 0.0 AS Cells_price FROM lines, s")
@@ -267,6 +304,15 @@ def _(spark, d):
     return _pairs(spark, _related(spark, d), "pearson")
 
 
+_PART = ["p_partkey", "p_size", "p_retailprice"]
+
+
+@query("correlation_kendall", "WITH p AS (SELECT row_number() OVER () AS r, * FROM part) " + " UNION ALL ".join(f"SELECT '{a}' AS pair_a, '{b}' AS pair_b, round(sum(sign(x.{a} - y.{a}) * sign(x.{b} - y.{b})) / (sqrt(count(*) FILTER (x.{a} <> y.{a})) * sqrt(count(*) FILTER (x.{b} <> y.{b}))), 5) + 0.0 AS correlation FROM p x JOIN p y ON x.r < y.r" for i, a in enumerate(_PART) for b in _PART[:i]))
+def _(spark, d):
+    pairs = pairwise(read(spark, d, "part"), _PART, "kendall")[1]
+    return spark.createDataFrame([(a, b, round(r, 5) + 0.0) for a, b, r in pairs], "pair_a string, pair_b string, correlation double")
+
+
 _RANKS = ", ".join(f"rank() OVER (ORDER BY {c}) + (count(*) OVER (PARTITION BY {c}) - 1) / 2.0 AS {c}" for c in _RELATED)
 
 
@@ -295,10 +341,14 @@ for _how, _sql in (("median", "median"), ("mean", "avg")):
     query(f"consensus_{_how}", f"WITH {LINES} SELECT Metadata_status, {_each('round(' + _sql + '({c}), 4)')} FROM lines GROUP BY ALL")(lambda spark, d, how=_how: rounded(consensus(lines(spark, d), ["Metadata_status"], operation=how)))
 
 
-@query("consensus_modz")
+@query("consensus_modz", f"""WITH {LINES}, n AS (SELECT row_number() OVER () AS r, * FROM lines),
+v AS ({" UNION ALL ".join(f"SELECT Metadata_order AS g, r, {i} AS i, {c} AS x FROM n" for i, c in enumerate(FEATURES))}),
+c AS (SELECT a.g, a.r AS a, b.r AS b, corr(a.x, b.x) AS r FROM v a JOIN v b ON a.g = b.g AND a.i = b.i AND a.r <> b.r GROUP BY ALL),
+w AS (SELECT g, a, greatest(avg(greatest(r, 0)), 0.01) AS w FROM c GROUP BY ALL), k AS (SELECT g, a, round_even(w / sum(w) OVER (PARTITION BY g), 4) AS w FROM w)
+SELECT Metadata_order, {_each("round(sum({c} * coalesce(w, 1)), 6) + 0.0")} FROM n LEFT JOIN k ON n.r = k.a GROUP BY Metadata_order""")
 def _(spark, d):
     """Orders are the replicate groups, up to seven lines each."""
-    return rounded(consensus(lines(spark, d), ["Metadata_order"], operation="modz", modz_args={"method": "pearson"}))
+    return rounded(consensus(lines(spark, d), ["Metadata_order"], operation="modz", modz_args={"method": "pearson"}), 6)
 
 
 #: Weights of the replicates of a label: each one's mean correlation with the others, negative ones as 0.

@@ -73,11 +73,14 @@ def main(argv: Sequence[str] | None = None) -> str:
     SparkSession.builder.appName("phenolith").getOrCreate()
     name = args.pop("verb")
     if name == "collate":
-        from phenolith.sources.readers import collated
+        from phenolith.sources.readers import collate, collated
 
-        for table, df in collated(args["folder"], args["plate"], args["tables"]).items():
-            df.write.mode("overwrite").parquet(f"{args['output_folder']}/{table}.parquet")
         path = args["output_folder"]
+        if path.endswith(".sqlite"):
+            collate(args["folder"], args["plate"], path, args["tables"])
+        else:
+            for table, df in collated(args["folder"], args["plate"], args["tables"]).items():
+                df.write.mode("overwrite").parquet(f"{path}/{table}.parquet")
     elif name == "cell_locations":
         from phenolith.operators.locations import add_cell_locations
 

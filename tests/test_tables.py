@@ -15,7 +15,7 @@ from phenolith.operators.locations import add_cell_locations
 from phenolith.operators.single_cell import LINKS, SingleCells, check_links
 from phenolith.sources.anndata import is_anndata
 from phenolith.sources.blocklist import Blocklist, blocked
-from phenolith.sources.readers import infer_delimiter, load_npz_features, load_npz_locations, load_platemap, load_profiles, load_warehouse, read_sqlite, sqlite_count
+from phenolith.sources.readers import fetched, infer_delimiter, load_npz, load_npz_features, load_npz_locations, load_platemap, load_profiles, load_warehouse, read_sqlite, sqlite_count
 from phenolith.sources.sinks import write, write_gct
 
 
@@ -197,6 +197,35 @@ def test_deep(spark, tmp_path):
     assert cells.count() == 12 and cells.columns[:2] == ["Location_Center_X", "Location_Center_Y"]
 
 
+def test_archives_of_unequal_width(spark, tmp_path):
+    """The columns are those of all archives together, whichever is read first."""
+    _npz(tmp_path / "P/A01_1.npz", np.ones((2, 4)), np.zeros((2, 2)), Model="CNN", Batch="b")
+    _npz(tmp_path / "P/A02_1.npz", np.full((3, 2), 2.0), np.zeros((3, 2)), Model="CNN", Compound="c")
+    _npz(tmp_path / "P/A03_1.npz", np.full((1, 3), 3.0), np.zeros((1, 2)))
+    _npz(tmp_path / "P/A04_1.npz", np.zeros((0, 9)), np.zeros((0, 2)), Model="Other")
+    out = load_npz([str(tmp_path / f"P/A0{i}_1.npz") for i in range(1, 6)])
+    assert set(out.columns) == {"_file", "Metadata_Model", "Metadata_Batch", "Metadata_Compound", *[f"CNN_{i}" for i in range(4)], *[f"DP_{i}" for i in range(3)]}
+    rows = out.collect()
+    assert len(rows) == 6 and sum(r.CNN_3 is None for r in rows) == 4 and sum(r.DP_2 == 3 for r in rows) == 1
+    assert {r.Metadata_Compound for r in rows if r.CNN_0 == 2} == {"c"} and {r.Metadata_Batch for r in rows if r.CNN_0 == 1} == {"b"}
+
+
+def test_collation(spark, tmp_path):
+    """CSV files by site become one SQLite file with indexes; sites are numbered, repeated keys of different sites stay apart."""
+    for site, k in (("s1", 1), ("s2", 2)):
+        (tmp_path / "csv" / site).mkdir(parents=True)
+        (tmp_path / f"csv/{site}/Image.csv").write_text(f"ImageNumber,Metadata_Well\n1,W{k}\n")
+        (tmp_path / f"csv/{site}/Cells.csv").write_text("ObjectNumber,ImageNumber,Area\n" + "".join(f"{i},1,{10.5 * k + i}\n" for i in range(3)))
+    path = main(["collate", str(tmp_path / "csv"), "plate", str(tmp_path / "out/plate.sqlite"), "--tables", "Image,Cells"])
+    with sqlite3.connect(path) as db:
+        assert db.execute("SELECT TableNumber, ImageNumber, Metadata_Well, Metadata_Plate FROM Image ORDER BY 1").fetchall() == [(1, 1, "W1", "plate"), (2, 1, "W2", "plate")]
+        assert len(db.execute("SELECT name FROM sqlite_master WHERE type = 'index'").fetchall()) == 4
+        assert "USING INDEX" in db.execute("EXPLAIN QUERY PLAN SELECT * FROM Cells WHERE TableNumber = 1 AND ImageNumber = 1").fetchall()[0][3]
+    cells = SingleCells(path, compartments=["Cells"], compartment_linking_cols={}, image_table_name="Image", image_cols=["TableNumber", "ImageNumber"], aggregation_operation="mean").aggregate_compartment("Cells")
+    assert {(r.Metadata_Well, r.Cells_Area) for r in cells.collect()} == {("W1", 11.5), ("W2", 22.0)}
+    assert read_sqlite(f"file://{path}", "Cells").count() == 6 and fetched(f"file://{path}") == fetched(f"file://{path}") != path
+
+
 def test_command_line(spark, wells, tmp_path, capsys):
     wells.write.parquet(str(tmp_path / "w.parquet"))
     path = main(["aggregate", str(tmp_path / "w.parquet"), str(tmp_path / "out"), "--strata", "Metadata_Well", "--output_type", "parquet", "--operation", "mean"])

@@ -32,34 +32,41 @@ def clean_names(profiles: DataFrame) -> DataFrame:
     return profiles.withColumnsRenamed({a: b for a, b in _IMAGE_NAMES.items() if a in profiles.columns and b not in profiles.columns})
 
 
+#: Columns of the Connectivity Map layout, and the marks of samples in it.
+_SAMPLE, _KIND, _PERT = "Metadata_broad_sample", "Metadata_broad_sample_type", "Metadata_pert_type"
+_ID, _ID_FORM = "Metadata_pert_id", r"(BRD[-N][A-Z0-9]+)"
+_COPIES = {"Metadata_pert_iname": ("Metadata_pert_mfc_desc", "Metadata_pert_name")}
+_DOSES, _VEHICLE = ("Metadata_mmoles_per_liter", "Metadata_mg_per_ml"), ("Metadata_solvent", "Metadata_pert_vehicle")
+_SOLVENT, _NOTHING, _NO_GENE = "DMSO", "empty", "EMPTY"
+_MODES = ("none", "chemical", "genetic")
+
+
 def annotate_cmap(annotated: DataFrame, join_on: str, cell_id: str = "unknown", perturbation_mode: str = "none") -> DataFrame:
-    """Columns of the Connectivity Map layout, from the sample names."""
-    if perturbation_mode not in ("none", "chemical", "genetic"):
-        raise ValueError("perturbation mode must be none, chemical or genetic")
-    if "Metadata_broad_sample" not in annotated.columns:
-        raise ValueError("column Metadata_broad_sample is needed")
-    sample = F.col("Metadata_broad_sample")
-    found = F.regexp_extract(sample, r"(BRD[-N][A-Z0-9]+)", 1)
-    new = {"Metadata_pert_id": F.when(found != "", found), "Metadata_pert_mfc_id": sample, "Metadata_pert_well": col(join_on), "Metadata_pert_id_vendor": F.lit("")}
-    if "Metadata_pert_iname" in annotated.columns:
-        new |= {"Metadata_pert_mfc_desc": F.col("Metadata_pert_iname"), "Metadata_pert_name": F.col("Metadata_pert_iname")}
-    if "Metadata_cell_id" not in annotated.columns:
-        new["Metadata_cell_id"] = F.lit(cell_id)
-    out = annotated.withColumns(new)
+    """Columns of the Connectivity Map layout, from the sample names.
+
+    All are expressions over the given columns, put on in one projection: identifiers in every mode, the
+    kind of a sample by its name (chemical) or its gene (genetic), and for solvents a dose of 0.
+    """
+    if perturbation_mode not in _MODES:
+        raise ValueError(f"perturbation mode must be one of {_MODES}")
+    if _SAMPLE not in annotated.columns:
+        raise ValueError(f"column {_SAMPLE} is needed")
+    have, sample = set(annotated.columns), F.col(_SAMPLE)
+    found = F.regexp_extract(sample, _ID_FORM, 1)
+    rules = {_ID: F.when(found != "", found), "Metadata_pert_mfc_id": sample, "Metadata_pert_well": col(join_on), "Metadata_pert_id_vendor": F.lit("")}
+    rules |= {new: F.col(old) for old, copies in _COPIES.items() if old in have for new in copies}
+    rules |= {} if "Metadata_cell_id" in have else {"Metadata_cell_id": F.lit(cell_id)}
+    kind = F.col(_KIND) if _KIND in have else F.lit("")
     if perturbation_mode == "chemical":
-        control = sample.isNull() | (sample == "DMSO")
-        kind = F.when(control, "control").when(sample == "empty", "empty").otherwise("trt")
-        new = {"Metadata_broad_sample_type": kind, "Metadata_broad_sample": F.when(control, "DMSO").otherwise(sample)}
-        new |= {c: F.when(control, F.lit(0).cast(out.schema[c].dataType)).otherwise(col(c)) for c in ("Metadata_mmoles_per_liter", "Metadata_mg_per_ml") if c in out.columns}
-        if "Metadata_solvent" in out.columns:
-            new["Metadata_pert_vehicle"] = F.col("Metadata_solvent")
-        out = out.withColumns(new)
-    if perturbation_mode == "genetic" and "Metadata_pert_name" in out.columns:
-        name = F.col("Metadata_pert_name")
-        out = out.withColumn("Metadata_broad_sample_type", F.when(name == "EMPTY", "control").otherwise("trt"))
-    if "Metadata_broad_sample_type" in out.columns:
-        return out.withColumn("Metadata_pert_type", F.col("Metadata_broad_sample_type"))
-    return out.withColumns({"Metadata_pert_type": F.lit(""), "Metadata_broad_sample_type": F.lit("")})
+        control = sample.isNull() | (sample == _SOLVENT)
+        kind = F.when(control, "control").when(sample == _NOTHING, _NOTHING).otherwise("trt")
+        rules[_SAMPLE] = F.when(control, _SOLVENT).otherwise(sample)
+        rules |= {c: F.when(control, F.lit(0).cast(annotated.schema[c].dataType)).otherwise(col(c)) for c in _DOSES if c in have}
+        rules |= {_VEHICLE[1]: F.col(_VEHICLE[0])} if _VEHICLE[0] in have else {}
+    elif perturbation_mode == "genetic" and {"Metadata_pert_iname", "Metadata_pert_name"} & have:
+        gene = F.col("Metadata_pert_iname" if "Metadata_pert_iname" in have else "Metadata_pert_name")
+        kind = F.when(gene == _NO_GENE, "control").otherwise("trt")
+    return annotated.withColumns(rules | {_KIND: kind, _PERT: kind})
 
 
 @sink

@@ -24,8 +24,12 @@ from phenolith.streaming.aggregate import aggregate_stream
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder for what a query writes: in ``spark.checkpoint.dir`` where it is set, else a temporary one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    """A new folder for what a query writes: in ``spark.checkpoint.dir`` where it is set, else, on local masters only, a temporary one."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        base = tempfile.gettempdir()
     path = f"{base.removeprefix('file://')}/phenolith-files/{uuid.uuid4().hex}"
     os.makedirs(path, exist_ok=True)
     return path

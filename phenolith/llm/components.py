@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenolith.llm.runtime import stored
+from phenolith.llm.runtime import forget, stored
 
 
 def _least(edges: DataFrame) -> DataFrame:
@@ -27,7 +27,8 @@ def components(edges: DataFrame, *, u: str = "u", v: str = "v", max_steps: int =
         large = both.join(_least(both), "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u != v").distinct()
         small = large.join(_least(large), "u")
         down = small.select("u", F.col("m").alias("v")).union(small.select(F.col("v").alias("u"), F.col("m").alias("v"))).filter("u != v").distinct()
-        now = stored(down, "edges")
+        last, now = now, stored(down, "edges")
+        forget(last)
         state = tuple(now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first())
         if state == before:
             break

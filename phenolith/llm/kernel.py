@@ -8,6 +8,7 @@ never cut, so the bound is the larger of SLICE and the longest text.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -16,7 +17,6 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 SLICE = 1 << 20
-_BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 _U = np.uint64
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -30,19 +30,9 @@ LETTERS[48:58] = False
 NONSPACE = np.ones(256, bool)
 NONSPACE[9:14] = NONSPACE[32] = False
 
-_pow = np.ones(1, np.uint64)
-_inv = np.ones(1, np.uint64)
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _pow, _inv
-    if len(_pow) < n:
-        n = max(n, SLICE + 4096)
-        inverse = _U(pow(int(_BASE), -1, 1 << 64))
-        with np.errstate(over="ignore"):
-            _pow = np.concatenate(([_U(1)], np.cumprod(np.full(n, _BASE))))
-            _inv = np.concatenate(([_U(1)], np.cumprod(np.full(n, inverse))))
-    return _pow, _inv
+#: Random 64-bit numbers for each byte at each place modulo ``PLACES`` of a word.
+PLACES = 64
+_TABLE = np.random.default_rng(0x5EED).integers(0, 1 << 64, PLACES * 256, np.uint64)
 
 
 def mix(h: np.ndarray) -> np.ndarray:
@@ -69,6 +59,16 @@ def buffers(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return data, off - off[0]
 
 
+_LIBC = ctypes.CDLL(None)
+
+
+def release() -> None:
+    """Give freed memory back to the system: workers are kept between tasks, and others need it meanwhile."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_LIBC, "malloc_trim"):
+        _LIBC.malloc_trim(0)
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) -> Iterator[pa.RecordBatch]:
     """The batches, cut between rows so that each slice has about ``limit`` bytes of text."""
     for batch in batches:
@@ -81,6 +81,7 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE) ->
             to = min(max(to, at + 1), batch.num_rows)
             yield batch.slice(at, to - at)
             at = to
+    release()
 
 
 @dataclass
@@ -92,7 +93,7 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # len(texts) + 1
-    total: np.ndarray  # running sums that hashes of any byte range come from
+    total: np.ndarray  # running sums that hashes of words and of their beginnings come from
 
     def bytes_of(self, i: int) -> bytes:
         return self.data[self.start[i] : self.end[i]].tobytes()
@@ -101,8 +102,7 @@ class Words:
         """(words of more than n bytes, hashes of their first n bytes)."""
         at = np.flatnonzero(self.end - self.start > n)
         begin = self.start[at]
-        h = (self.total[begin + n] - self.total[begin]) * _powers(len(self.data) + 1)[1][begin]
-        return at, mix(h + _U(n << 32))
+        return at, mix(self.total[begin + n] - self.total[begin] + _U(n << 32))
 
     @property
     def doc(self) -> np.ndarray:
@@ -126,11 +126,16 @@ def words(col: pa.Array, is_word: np.ndarray) -> Words:
     stops[edge - 1] = inside[1:-1][edge - 1]
     start = np.flatnonzero(begins)
     end = np.flatnonzero(stops) + 1
-    power, inverse = _powers(n + 1)
+    size = end - start
+    at = np.flatnonzero(inside[1:-1])
+    place = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)  # of each byte in its word
+    value = _TABLE[(place % PLACES << 8) | data[at]]
+    if len(size) and size.max() > PLACES:
+        value *= mix((place // PLACES).astype(np.uint64)) | _U(1)  # 1 for the first PLACES bytes
     total = np.zeros(n + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + _U(1)) * power[:n], out=total[1:])
-    h = (total[end] - total[start]) * inverse[start]
-    return Words(data, start, end, mix(h + (end - start).astype(np.uint64)), np.searchsorted(start, off), total)
+    total[at + 1] = value
+    np.cumsum(total, out=total)
+    return Words(data, start, end, mix(total[end] - total[start] + size.astype(np.uint64)), np.searchsorted(start, off), total)
 
 
 def grams(h: np.ndarray, n: int) -> np.ndarray:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import secrets
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 
 from phenolith.llm import bytecnn, maxent, mih, packing, rendezvous, sigtree, sp_bpe, surrogate, toxicity
 from phenolith.llm.decontam import decontaminate
-from phenolith.llm.runtime import table
+from phenolith.llm.runtime import merged, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -20,9 +21,13 @@ def tokenizer_path(name: str = "piece_bpe_32k.model") -> str:
     return public_tokenizers.path(name)
 
 
+def _documents(spark: SparkSession, d: str) -> DataFrame:
+    return merged(table(spark, d, "documents"))
+
+
 def op1_sentencepiece(spark: SparkSession, d: str) -> DataFrame:
     model = sp_bpe.model_bytes(tokenizer_path())
-    ids = sp_bpe.encode(table(spark, d, "documents").select("doc_id", "text"), model).select("doc_id", "ids")
+    ids = sp_bpe.encode(_documents(spark, d).select("doc_id", "text"), model).select("doc_id", "ids")
     both = sp_bpe.decode(ids, model)
     return both.select("doc_id", (F.octet_length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
 
@@ -31,7 +36,7 @@ def op2_packing(spark: SparkSession, d: str) -> DataFrame:
     import public_tokenizers
 
     encoder = packing.tiktoken_encoder(tokenizer_path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
-    return packing.pack(table(spark, d, "documents"), encoder, vocabulary=50256, end=50256, pad=50256)
+    return packing.pack(_documents(spark, d), encoder, vocabulary=50256, end=50256, pad=50256)
 
 
 def _share(modulus: int):
@@ -40,22 +45,29 @@ def _share(modulus: int):
 
 
 def op3_toxicity(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "text")
+    docs = _documents(spark, d).select("doc_id", "text")
     held_out = F.coalesce(_share(3) == 1, F.lit(False))
-    model = toxicity.fit(docs.filter(~held_out), table(spark, d, "labels"))
+    model = toxicity.fit(docs.filter(~held_out), table(spark, d, "labels").filter(~held_out))
     return toxicity.score(docs, model).select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
 def op4_decontaminate(spark: SparkSession, d: str) -> DataFrame:
-    return decontaminate(table(spark, d, "documents"), table(spark, d, "benchmark")).drop("items")
+    return decontaminate(_documents(spark, d), table(spark, d, "benchmark")).drop("items")
+
+
+#: Session setting that holds the key of surrogates; jobs that must agree over sessions set it.
+KEY = "spark.phenolith.surrogate.key"
 
 
-#: Production jobs take their own key from their secret store.
-SURROGATE_KEY = b"phenolith surrogate key"
+def surrogate_key(spark: SparkSession) -> bytes:
+    """The session's key; where none is set, a random one that the session keeps."""
+    if not spark.conf.get(KEY, ""):
+        spark.conf.set(KEY, secrets.token_hex(32))
+    return spark.conf.get(KEY).encode()
 
 
 def op8_surrogates(spark: SparkSession, d: str) -> DataFrame:
-    out = surrogate.pseudonymize(table(spark, d, "documents").select("doc_id", "text"), SURROGATE_KEY)
+    out = surrogate.pseudonymize(_documents(spark, d).select("doc_id", "text"), surrogate_key(spark))
     return out.select("doc_id", F.size("entities").alias("n_entities"), F.col("entities.kind").alias("kinds"), "text")
 
 
@@ -68,12 +80,12 @@ def op9_rendezvous(spark: SparkSession, d: str) -> DataFrame:
 
 def op5_maxent(spark: SparkSession, d: str) -> DataFrame:
     learn = F.coalesce(_share(10) != 0, F.lit(False))
-    out = maxent.score(table(spark, d, "documents"), learn)
+    out = maxent.score(_documents(spark, d), learn)
     return out.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
 
 
 def op6_bytecnn(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents")
+    docs = _documents(spark, d)
     held_out = F.coalesce(_share(4) == 2, F.lit(False))
     net = bytecnn.fit(docs.filter(~held_out))
     return bytecnn.identify(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
@@ -84,7 +96,7 @@ def op7_multi_index(spark: SparkSession, d: str) -> DataFrame:
 
 
 def op10_jaccard(spark: SparkSession, d: str) -> DataFrame:
-    return sigtree.jaccard_components(table(spark, d, "documents"))
+    return sigtree.jaccard_components(_documents(spark, d))
 
 
 def queries() -> dict[str, Query]:

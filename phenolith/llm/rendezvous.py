@@ -21,7 +21,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenolith.llm.runtime import stored
+from phenolith.llm.runtime import written
 
 COUNTS = 1 << 20
 _DIGITS = 13  # hexadecimal, 52 bits: exact in a double
@@ -54,7 +54,7 @@ def shard(df: DataFrame, weights: Mapping[int, float], *, grown: Mapping[int, fl
     )
     digits = max(d for d in range(4) if d == 0 or len(weights) * 16**d <= COUNTS)
     name = F.md5(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.col("size").cast("string"), F.col("text_crc32").cast("string")).cast("binary"))
-    rows = stored(rows.withColumn("_o", name).withColumn("_b", F.substring("_o", 1, digits)), "shards")
+    rows = written(rows.withColumn("_o", name).withColumn("_b", F.substring("_o", 1, digits)), "shards")
     counts = rows.groupBy("shard", "_b").agg(F.count("*").alias("_n"))
     before = Window.partitionBy("shard").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select("shard", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"))

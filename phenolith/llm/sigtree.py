@@ -29,7 +29,8 @@ Links are kept between classes and components are found by alternating stars.
 Defined results: a null or empty text, or one without words, has an empty set
 and is linked with nothing; a text of fewer words than ``k`` has its whole
 sequence as one shingle; repeated rows are one class; rows without an id take
-part, and a component's id is the least id in it (null if it has none); an
+part, and a component's id is the least id in it (null if it has none; the id
+-2**63 counts as none); an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -45,7 +46,7 @@ from pyspark.sql import functions as F
 
 from phenolith.llm.components import components
 from phenolith.llm.kernel import NONSPACE, grams, slices, words
-from phenolith.llm.runtime import stored
+from phenolith.llm.runtime import forget, merged, stored
 
 SKETCH, BLOCK = 22, 16  # bits: cells of the count sketch, and of one block of it
 WIDTH = 32  # 64-bit words of a bitmap, at least
@@ -126,11 +127,10 @@ class Tree:
             self.levels.append((np.minimum.reduceat(lo, at), np.maximum.reduceat(hi, at), np.maximum.reduceat(e, at), np.bitwise_or.reduceat(s, at, axis=0), np.where(same, g[at], -1)))
 
 
-def walk(a: Tree, b: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
-    """Members (of a, of b) whose sets may reach the threshold and whose labels differ."""
+def walk(a: Tree, b: Tree, percent: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Members (of a, of b) whose sets may reach the threshold and whose labels differ, part by part."""
     la, lb = len(a.levels) - 1, len(b.levels) - 1
     x, y = (z.ravel() for z in np.meshgrid(np.arange(len(a.levels[la][0])), np.arange(len(b.levels[lb][0])), indexing="ij"))
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     work = [(la, lb, x, y)]
     step = 1 << 15
     while work:
@@ -150,7 +150,7 @@ def walk(a: Tree, b: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
         if not len(x):
             continue
         if not la and not lb:
-            found.append((a.order[x], b.order[y]))
+            yield a.order[x], b.order[y]
             continue
         down_a, down_b = (la > 0, lb > 0) if la == lb else (la > lb, lb > la)
         if down_a:
@@ -164,9 +164,6 @@ def walk(a: Tree, b: Tree, percent: int) -> tuple[np.ndarray, np.ndarray]:
             keep = kids < n
             y, x = kids[keep], np.repeat(x, keep.sum(1))
         work.append((la - down_a, lb - down_b, x, y))
-    if not found:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
-    return tuple(np.concatenate(z) for z in zip(*found, strict=True))
 
 
 def _scan(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
@@ -185,7 +182,7 @@ def _scan(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
         full = np.flatnonzero(blocks.any(1))
         yield pa.RecordBatch.from_arrays([pa.nulls(len(full), pa.int64()), pa.nulls(len(full), pa.int64()), pa.array([blocks[i].tobytes() for i in full], pa.binary()), pa.array(full, pa.int32())], names=["doc_id", "n", "digest", "block"])
 
-    both = stored(docs.mapInArrow(run, "doc_id long, n long, digest binary, block int"), "scan")
+    both = stored(docs, "scan", run, "doc_id long, n long, digest binary, block int")
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, total = None, np.zeros(1 << BLOCK, np.int64)
@@ -207,7 +204,7 @@ def _scan(docs: DataFrame, k: int) -> tuple[DataFrame, np.ndarray]:
 
     blocks = both.filter("block is not null").select("block", "digest").repartition(1 << (SKETCH - BLOCK), "block").sortWithinPartitions("block")
     level = np.zeros((1 << (SKETCH - BLOCK), 1 << BLOCK), np.uint8)
-    for r in blocks.mapInArrow(add, "block int, level binary").toLocalIterator():  # 2**SKETCH bytes
+    for r in blocks.mapInArrow(add, "block int, level binary").collect():  # 2**SKETCH bytes
         level[r.block] = np.frombuffer(r.level, np.uint8)
     return both.filter("block is null").drop("block"), level.ravel()
 
@@ -237,8 +234,7 @@ def _classes(docs: DataFrame, k: int, percent: int, level: np.ndarray) -> DataFr
 
 def _bloom(keys: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
     """A test that holds for every value of a long column and for few others: two bits a value in
-    32 times as many, 16 MB at most.  Tasks make parts of it that don't overlap; the driver
-    takes one after the other."""
+    32 times as many, 16 MB at most.  Tasks make parts of it that don't overlap."""
     n = keys.count()
     bits, deal = int(np.clip(int(32 * n + 1).bit_length(), 16, 27)), 4
 
@@ -260,7 +256,7 @@ def _bloom(keys: DataFrame, column: str) -> Callable[[np.ndarray], np.ndarray]:
 
     whole = np.zeros((1 << deal, (1 << bits - deal) // 8), np.uint8)
     made = keys.select(column).mapInArrow(place, "part int, at long").repartition(1 << deal, "part").mapInArrow(run, "part int, bits binary")
-    for r in made.toLocalIterator():
+    for r in made.collect():
         whole[r.part] = np.frombuffer(r.bits, np.uint8)
     whole = whole.ravel()
     shared = keys.sparkSession.sparkContext.broadcast(whole)
@@ -286,7 +282,7 @@ def _picked(classes: DataFrame, wanted: DataFrame) -> DataFrame:
 
 def _verified(docs: DataFrame, pairs: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, a_id, b, b_id) of classes whose sets reach the threshold, as (u, v)."""
-    pairs = stored(pairs.withColumn("s", F.pmod(F.hash("b"), F.lit(1 << 30))), "pairs")
+    pairs = pairs.withColumn("s", F.pmod(F.hash("b"), F.lit(1 << 30)))
     hubs = pairs.groupBy("a", "a_id").agg(F.count("*").alias("c")).withColumn("deal", F.ceil(F.col("c") / SALT).cast("int"))
     members = pairs.join(hubs.select("a", "deal"), "a").select("a", (F.col("s") % F.col("deal")).cast("int").alias("s"), F.lit(1).alias("role"), F.col("b").alias("digest"), F.col("b_id").alias("id"))
     heads = hubs.select("a", F.explode(F.sequence(F.lit(0), F.col("deal") - 1)).alias("s"), F.lit(0).alias("role"), F.col("a").alias("digest"), F.col("a_id").alias("id"))
@@ -341,7 +337,7 @@ def _near_bound(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame
                 ok[at] = overlap_bound(n[0][at], x, n[1][at], y) >= least_overlap(n[0][at], n[1][at], percent)
             yield b.filter(pa.array(ok)).select(["a", "a_id", "b", "b_id"])
 
-    return pairs.mapInArrow(run, "a binary, a_id long, b binary, b_id long")
+    return stored(pairs, "pairs", run, "a binary, a_id long, b binary, b_id long")
 
 
 def _meetings(rows: DataFrame, percent: int) -> DataFrame:
@@ -361,32 +357,33 @@ def _meetings(rows: DataFrame, percent: int) -> DataFrame:
                 if (i != j and one[1] == two[1]) or 100 * max(r[6] for r in left) < percent * min(r[6] for r in right):
                     continue
                 t = tree(left, one[0])
-                x, y = walk(t, t if left is right else tree(right, one[0]), percent)
-                yield from ((left[p], right[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True))
+                for x, y in walk(t, t if left is right else tree(right, one[0]), percent):
+                    yield from ((left[p], right[q]) for p, q in zip(x.tolist(), y.tolist(), strict=True))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         group: list[tuple] = []
-        out: list[tuple] = []
+        out: dict[tuple, None] = {}
 
-        def close() -> None:
+        def flushed() -> pa.RecordBatch:
+            part = pa.RecordBatch.from_arrays([pa.array([o[i] for o in out], pa.binary()) for i in (0, 1)], names=["a", "b"])
+            out.clear()
+            return part
+
+        def close() -> Iterator[pa.RecordBatch]:
             if len(group) > 1 and len({r[8] for r in group}) > 1:
                 for p, q in pairs(group, group[0][1], group[0][2]):
-                    out.append((p[4], q[4]) if (p[5], p[4]) < (q[5], q[4]) else (q[4], p[4]))
-
-        def batch(part: list[tuple]) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array([o[i] for o in part], pa.binary()) for i in (0, 1)], names=["a", "b"])
+                    out[(p[4], q[4]) if (p[5], p[4]) < (q[5], q[4]) else (q[4], p[4])] = None
+                    if len(out) >= 10_000:
+                        yield flushed()
 
         for b in batches:
             for r in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 if group and group[0][:3] != r[:3]:
-                    close()
+                    yield from close()
                     group = []
-                    if len(out) > 10_000:
-                        yield batch(list(dict.fromkeys(out)))
-                        out.clear()
                 group.append(r)
-        close()
-        yield batch(list(dict.fromkeys(out)))
+        yield from close()
+        yield flushed()
 
     return rows.mapInArrow(run, "a binary, b binary").distinct()
 
@@ -395,7 +392,7 @@ def jaccard_components(documents: DataFrame, *, k: int = 4, percent: int = 85) -
     """(doc_id, n_shingles, component_id): documents link when 100 |A & B| >= percent |A or B|."""
     if not 0 < percent <= 100 or k < 1:
         raise ValueError("percent must be in 1..100 and k positive")
-    docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    docs = merged(documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string")))
     spark = docs.sparkSession
     parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     shapes, level = _scan(docs, k)
@@ -405,7 +402,9 @@ def jaccard_components(documents: DataFrame, *, k: int = 4, percent: int = 85) -
     low = classes.select("digest", "id", F.explode("low").alias("key"))
     hub = low.groupBy("key").agg(F.min(F.struct("id", "digest")).alias("h"), F.count("*").alias("c")).filter("c > 1").select("key", F.col("h.digest").alias("a"))
     near = stored(low.join(hub, "key").filter("digest != a").select("a", F.col("digest").alias("b")).distinct(), "near")
-    links = _verified(docs, _near_bound(near, classes, percent), k, percent)
+    pairs = _near_bound(near, classes, percent)
+    links = _verified(docs, pairs, k, percent)
+    forget(near, pairs)
 
     # labels: the least hub a class was linked with, then that hub's own
     own = links.groupBy(F.col("v").alias("digest")).agg(F.min("u").alias("l"))
@@ -433,11 +432,15 @@ def jaccard_components(documents: DataFrame, *, k: int = 4, percent: int = 85) -
     rows = rows.select("key", F.least("side", "o").alias("i"), F.greatest("side", "o").alias("j"), "side", "digest", "id", "n", "sig", "label")
     rows = rows.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
     near = stored(_meetings(rows, percent), "near")
-    links = links.union(_verified(docs, _near_bound(near, classes, percent), k, percent))
-
-    groups = components(links)
+    forget(meet, label)
+    pairs = _near_bound(near, classes, percent)
+    more = _verified(docs, pairs, k, percent)
+    forget(near, pairs)
+    groups = components(links.union(more))
+    forget(links, more)
     least = groups.withColumnRenamed("node", "digest").join(classes.select("digest", "id"), "digest")
     ids = least.groupBy("label").agg(F.min(F.when(F.col("id") != NO_ID, F.col("id"))).alias("c"))
     grouped = stored(classes.select("digest", "id").join(groups.withColumnRenamed("node", "digest"), "digest", "left").join(ids, "label", "left").select("digest", F.coalesce("c", F.when(F.col("id") != NO_ID, F.col("id"))).alias("c")), "grouped")
+    forget(classes)
     out = shapes.filter("digest is not null").join(grouped, "digest", "left").select("doc_id", F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))
-    return out.union(shapes.filter("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id")))
+    return merged(out.union(shapes.filter("digest is null").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))), docs)

@@ -7,9 +7,8 @@ a ramp, and a softmax layer gives the window's languages; a text's are the mean
 of its windows' logits.  A filter over one-hot bytes is a sum of table rows, so
 pairs of neighbours are looked up in one table of both.
 
-It learns by Adam from at most about ``PER_LANG`` texts a language, drawn by a
-hash of the id at a rate from each language's count, and ``PER_TEXT`` windows of
-each.
+It learns by Adam from a bounded sample of labelled windows, about ``PER_LANG`` a language: every window
+of every labelled text is drawn, by a hash, at a rate from the language's number of windows.
 
 Defined results: a null text, or one without any letter, is ``und`` with score
 0; rows without a language are not learnt from; without any language all is
@@ -27,10 +26,10 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenolith.llm.kernel import buffers, slices
+from phenolith.llm.kernel import buffers, mix, slices
 
 WINDOW, WIDTHS, FILTERS = 128, (2, 3, 4), 16
-PER_LANG, PER_TEXT = 1200, 3
+PER_LANG = 3600
 _CLASS = np.zeros(256, np.int64)
 _CLASS[48:58] = 1
 _CLASS[65:91] = _CLASS[97:123] = np.arange(2, 28)
@@ -125,22 +124,23 @@ def _softmax(z: np.ndarray) -> np.ndarray:
 def fit(documents: DataFrame) -> Net:
     """Learn from the text and lang of ``documents``."""
     rows = documents.select(F.col("doc_id"), F.col("text").cast("string"), F.col("lang").cast("string")).filter("lang is not null and text is not null and text != ''")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.sum(F.ceil(F.octet_length("text") / WINDOW)).alias("n")).collect()}
     if not counts:
         return Net([])
     langs = sorted(counts)
-    rate = F.element_at(F.create_map(*[x for k in langs for x in (F.lit(k), F.lit(min(1.0, PER_LANG / counts[k])))]), F.col("lang"))
-    drawn = rows.filter(F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 20)) < rate * (1 << 20)).select("lang", "text")
+    rate = {k: min(1.0, PER_LANG / counts[k]) for k in langs}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches, "text"):
             x, owner = windows(b.column(1))
             n = np.bincount(owner, minlength=b.num_rows)
-            first = np.cumsum(n) - n
-            at = np.unique(np.concatenate([first + (n - 1) * j // max(1, PER_TEXT - 1) for j in range(PER_TEXT)]))
+            place = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
+            share = np.array([rate[k] for k in b.column(0).to_pylist()])
+            drawn = mix(b.column(2).to_numpy().view(np.uint64)[owner] + place.astype(np.uint64)) >> np.uint64(11)
+            at = np.flatnonzero(drawn < share[owner] * (1 << 53))
             yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(owner[at])), pa.array([r.tobytes() for r in x[at]], pa.binary())], names=["lang", "x"])
 
-    sample = drawn.mapInArrow(run, "lang string, x binary").collect()  # langs * PER_LANG * PER_TEXT windows
+    sample = rows.select("lang", "text", F.xxhash64("doc_id", "text")).mapInArrow(run, "lang string, x binary").collect()  # about langs * PER_LANG windows
     sample.sort(key=lambda r: (r.lang, r.x))
     net = Net(langs)
     net.train(np.frombuffer(b"".join(bytes(r.x) for r in sample), np.uint8).reshape(-1, WINDOW), np.array([langs.index(r.lang) for r in sample]))

@@ -10,6 +10,9 @@ double precision.  The radius comes from the sample: it holds ``SURE`` of its
 true neighbours, which lie farther off than those in all rows.  A query that
 finds fewer than k within r widens r until it has them.
 
+Vectors without structure need a radius of some 40 % of the bits, since their neighbours are hardly nearer than others;
+then probing looks at most buckets and the tables prune little (figures in the README).  What is found stays right.
+
 Learning takes at most ``SAMPLE`` vectors; every vector is indexed.  Queries
 and rows meet in cells of at most about ``ROWS`` rows and ``QUERIES`` queries, each
 cell keeps k a query.
@@ -70,7 +73,13 @@ class Codes:
         return np.packbits(bits, axis=1).view(np.uint16)
 
 
+def _tame(x: np.ndarray) -> np.ndarray:
+    """Vectors times a power of two each, so that squares neither overflow nor vanish; cosines stay as they are."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(1, initial=0.0))[1][:, None])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _tame(x)
     return x / np.sqrt((x * x).sum(1, keepdims=True))
 
 
@@ -109,6 +118,7 @@ class Tables:
 
 def search_cell(model: Codes, k: int, ids: np.ndarray, x: np.ndarray, qids: np.ndarray, q: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(query id, row ids, cosines) of the k nearest found among the rows."""
+    x, q = _tame(x), _tame(q)
     tables, codes = Tables(model(x)), model(q)
     norm = np.sqrt((x * x).sum(1))
     for i, v, code in zip(qids.tolist(), q, codes, strict=True):

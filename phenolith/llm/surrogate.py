@@ -1,27 +1,30 @@
 """Surrogates for personal data: keyed, type-consistent replacements.
 
 Entities are found by form (addresses of mail and hosts, telephone, card, bank
-and social-security numbers, credentials) and names by title or by a list of
+and social-security numbers, credentials, dates of birth after a word that says so) and names by title or by a list of
 given names; the parts of a name so found are then replaced wherever the text
 has them, as kinds ``name`` and ``surname``.  Each is replaced by the next element of a keyed cycle over all
 strings of its format: a Feistel network over mixed radices, whose digits keep
-the class of every character (decimal digit, case, vowel or consonant, script),
+the class of every character (decimal digit, case, vowel or consonant, script; letters of
+scripts without an alphabet here their block of code points),
 numbered, stepped by one and numbered back.  Such a map is one to one and has no
 fixed point, so different entities stay different, the same entity is the same
-everywhere in a corpus, and nothing stays as it was; elements of another kind
+everywhere in a corpus, and no entity with a digit or letter stays as it was; elements of another kind
 (a public address for a private one, a listed name for an unlisted one) are
 stepped over, which keeps all that.  Given names take their surrogate from
 the list of their gender and script; unlisted ones keep their last letter, which
 often carries gender.  Card and bank numbers get check digits that hold or fail
 as before.
 
-No state is shared: tasks need the key alone.  Defined results: a null text
+No state is shared: tasks need the key alone.  Each text's surrogates are checked to be distinct where the
+entities are, ``collisions`` checks a corpus.  Defined results: a masked secret (``****``) is none; a null text
 stays null and has no entities; an empty one stays empty; entities that overlap
 are taken from the left, the longest first; other columns stay as they are.
 """
 
 from __future__ import annotations
 
+import datetime
 import hashlib
 import re
 from collections.abc import Iterator
@@ -49,6 +52,9 @@ FAMILY = {
 TITLES = {"m": "Mr Sir Herr Monsieur Señor Sr Mister Lord господин".split(), "f": "Mrs Ms Miss Madam Frau Madame Mme Mlle Señora Sra Lady госпожа".split(), "": "Dr Prof Professor Doctor".split()}
 CREDENTIALS = "password passwd pwd secret token api_key apikey api-key access_key access-key".split()
 
+#: Words that a date of birth follows.
+BIRTH = ["born on", "born", "date of birth", "dob", "birthday", "geboren am", "geb.", "né le", "née le", "nacido el", "nacida el"]
+
 _GENDER = {n: (s, g) for (s, g), names in GIVEN.items() for n in names}
 _FAMILY = {n: s for s, names in FAMILY.items() for n in names}
 _TITLE = {t: g for g, ts in TITLES.items() for t in ts}
@@ -61,35 +67,51 @@ _NATIONAL = r"(?<![\w.+\-])(?:" + "|".join([
     r"(?:\(0\d{1,4}\) ?|0\d{1,4}[ /\-])\d{2,4}(?:[ \-]\d{2,4}){1,3}",
     r"[6-9]\d(?: \d{3})(?: \d{2}){2}|[6-9]\d{2}(?: \d{2}){3}",
 ]) + r")(?![\w\-]|\.\d)"
-_ENTITY = re.compile(
-    "|".join([
-        r"(?P<mail>(?<![\w.%+\-])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+)",
-        r"(?P<host>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))",
-        r"(?P<secret>(?i:(?<![A-Za-z0-9])(?:" + "|".join(map(re.escape, CREDENTIALS)) + r"))(?P<lead>\s?[=:]\s?[\"']?)(?P<value>[^\s\"']{4,}))",
-        r"(?P<access>(?<!\w)AKIA[0-9A-Z]{12,20}(?!\w))",
-        r"(?P<bank>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
-        r"(?P<social>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))",
-        r"(?P<card>(?<![\w.+])\d(?:[ \-]?\d){12,18}(?!\w))",
-        r"(?P<phone>" + _NATIONAL + r"|(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-]|\.\d)|(?<!\w)\+\d{7,15}(?!\w))",
-        r"(?P<person>(?<!\w)(?P<title>" + "|".join(sorted(_TITLE, key=len, reverse=True)) + rf")(?P<gap>\.? +)(?P<named>{_NAME}(?: +{_NAME})?))",
-        r"(?P<given>(?<!\w)(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf") +{_NAME})",
-    ])
-)
-KINDS = ("mail", "secret", "access", "bank", "social", "phone", "card", "host", "person", "given")
+#: Each kind's form, earlier ones first where two begin at one place.
+_FORMS = [
+    r"(?P<mail>(?<![\w.%+\-])[\w.%+\-]+@[\w\-]+(?:\.[\w\-]+)+)",
+    r"(?P<host>(?<![\w.])(?:\d{1,3}\.){3}\d{1,3}(?!\w|\.\d))",
+    r"(?P<host6>(?<![\w:.])(?:(?:[0-9A-Fa-f]{1,4}:){7}[0-9A-Fa-f]{1,4}|(?:[23][0-9A-Fa-f]{3}|[Ff][CDEcde][0-9A-Fa-f]{2})(?::[0-9A-Fa-f]{1,4}){0,6}::(?:[0-9A-Fa-f]{1,4}(?::[0-9A-Fa-f]{1,4}){0,5})?)(?![\w:]))",
+    r"(?P<birth>(?i:(?<!\w)(?:" + "|".join(map(re.escape, BIRTH)) + r"))(?P<span>[:\s]{1,3})(?P<date>\d{4}-\d{1,2}-\d{1,2}|\d{1,2}[./\-]\d{1,2}[./\-]\d{4})(?!\w))",
+    r"(?P<secret>(?i:(?<![A-Za-z0-9])(?:" + "|".join(map(re.escape, CREDENTIALS)) + r"))(?P<lead>\s?[=:]\s?[\"']?)(?P<value>[^\s\"']{4,}))",
+    r"(?P<access>(?<!\w)AKIA[0-9A-Z]{12,20}(?!\w))",
+    r"(?P<bank>(?<!\w)[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?!\w))",
+    r"(?P<social>(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-]))",
+    r"(?P<card>(?<![\w.+])\d(?:[ \-]?\d){12,18}(?!\w))",
+    r"(?P<phone>" + _NATIONAL + r"|(?<![\w.])(?:\+\d{1,3}[ .\-]?)?(?:\(\d{2,4}\)[ .\-]?|\d{2,4}[ .\-])\d{3,4}[ .\-]\d{3,4}(?![\w\-]|\.\d)|(?<!\w)\+\d{7,15}(?!\w))",
+    r"(?P<person>(?<!\w)(?P<title>" + "|".join(sorted(_TITLE, key=len, reverse=True)) + rf")(?P<gap>\.? +)(?P<named>{_NAME}(?: +{_NAME})?))",
+    r"(?P<given>(?<!\w)(?:" + "|".join(sorted(_GENDER, key=len, reverse=True)) + rf") +{_NAME})",
+]
+_ENTITY = re.compile("|".join(_FORMS))
+KINDS = ("host6", "birth", "mail", "secret", "access", "bank", "social", "phone", "card", "host", "person", "given")
 
 _ALPHABETS = ["0123456789", "aeiou", "bcdfghjklmnpqrstvwxyz", "AEIOU", "BCDFGHJKLMNPQRSTVWXYZ", "аеиоуыэюя", "бвгджзйклмнпрстфхцчшщ", "АЕИОУЫЭЮЯ", "БВГДЖЗЙКЛМНПРСТФХЦЧШЩ", "αεηιουω", "βγδζθκλμνξπρστφχψ", "ΑΕΗΙΟΥΩ", "ΒΓΔΖΘΚΛΜΝΞΠΡΣΤΦΧΨ", "áéíóúàèìòùâêîôûäëïöü", "ÁÉÍÓÚÀÈÌÒÙÂÊÎÔÛÄËÏÖÜ", "çñßřšžłđ"]
 _CLASS = {c: (a, i) for a in _ALPHABETS for i, c in enumerate(a)}
+#: First and last letters of scripts that are numbered by code point (hiragana, katakana, ideographs, Hangul, Hebrew, Arabic, Devanagari, Thai, Georgian, Armenian).
+_BLOCKS = [(0x3041, 0x3096), (0x30A1, 0x30FA), (0x4E00, 0x9FFF), (0xAC00, 0xD7A3), (0x05D0, 0x05EA), (0x0621, 0x064A), (0x0905, 0x0939), (0x0E01, 0x0E2E), (0x10D0, 0x10F0), (0x0561, 0x0586)]
 _LOWER = {u: l for u, l in zip("AEIOU", "aeiou", strict=True)} | {c: c.lower() for c in _ALPHABETS[4]}
 _HEX = {c: (a, i) for a in ("0123456789", "abcdef", "ABCDEF") for i, c in enumerate(a)}
 _HIGH = "23456789"  # leading digits of an area or exchange keep to one side of 2
 _LEAD = {c: ("01", i) for i, c in enumerate("01")} | {c: (_HIGH, i) for i, c in enumerate(_HIGH)}
 
 
+@lru_cache(4096)
+def _block(c: str) -> tuple[str, int] | None:
+    """The letters of a character's script and its place among them, where code points number it."""
+    return next(((_letters(lo, hi), ord(c) - lo) for lo, hi in _BLOCKS if lo <= ord(c) <= hi), None)
+
+
+@lru_cache(None)
+def _letters(lo: int, hi: int) -> str:
+    return "".join(map(chr, range(lo, hi + 1)))
+
+
 class Cycle:
     """The keyed cycle over tuples of digits of given radices."""
 
     def __init__(self, key: bytes, kind: str):
         self.key, self.kind = hashlib.blake2b(key, digest_size=32).digest(), kind.encode()[:16]
+        self.rings: dict[int, list[int]] = {}
 
     def _f(self, i: int, radices: tuple[int, ...], x: int, of: int) -> int:
         data = repr((i, radices, x)).encode()
@@ -103,7 +125,16 @@ class Cycle:
                 a = (a + (-1 if back else 1) * self._f(i, radices, b, na)) % na
         return a, b
 
+    def _ring(self, n: int) -> list[int]:
+        """What follows each of n numbers in a keyed round."""
+        if n not in self.rings:
+            order = sorted(range(n), key=lambda i: self._f(i, (n,), 0, 1 << 64))
+            self.rings[n] = [b for _, b in sorted(zip(order, [*order[1:], order[0]], strict=True))]
+        return self.rings[n]
+
     def next(self, digits: list[int], radices: tuple[int, ...]) -> list[int]:
+        if len(radices) == 1:  # no halves to mix
+            return [self._ring(radices[0])[digits[0]]]
         half = (len(radices) + 1) // 2
         na, nb = _product(radices[:half]), _product(radices[half:])
         a, b = self._feistel(_number(digits[:half], radices[:half]), _number(digits[half:], radices[half:]), na, nb, radices, False)
@@ -117,7 +148,7 @@ class Cycle:
         at, digits, radices, sets = [], [], [], []
         for i, c in enumerate(s):
             low = _LOWER.get(c, c) if fold else c
-            known = _LEAD.get(c) if i in lead else classes.get(low)
+            known = _LEAD.get(c) if i in lead else classes.get(low) or _block(low)
             if known and i not in fixed:
                 at.append(i)
                 digits.append(known[1])
@@ -177,6 +208,9 @@ def _refill(form: str, chars: str) -> str:
     return "".join(next(it) if c.isalnum() else c for c in form)
 
 
+_DAYS = range(datetime.date(1900, 1, 1).toordinal(), datetime.date(2100, 1, 2).toordinal())  # 150 x 487 days
+
+
 class Surrogates:
     def __init__(self, key: bytes):
         if not key:
@@ -242,6 +276,28 @@ class Surrogates:
         kept = 2 if now[:2] in ((192, 168), (169, 254)) else 1
         return ".".join(map(str, (*now[:kept], *self.cycle["host"].next(list(now[kept:]), (256,) * (4 - kept)))))
 
+    def _host6(self, s: str) -> str:
+        """Digits change within their kind and case; the first group, which tells the kind of net, stays."""
+        return self.cycle["host6"].text(s, fixed=tuple(range(s.index(":"))), classes=_HEX)
+
+    def _birth(self, s: str) -> str:
+        """Another day of the two centuries from 1900, written alike; dates that aren't any change digit by digit."""
+        a, x, b, y, c = re.match(r"(\d+)(\D)(\d+)(\D)(\d+)", s).groups()
+        place = (0, 1, 2) if len(a) == 4 else (2, 0, 1) if x == "/" and int(b) > 12 else (2, 1, 0)  # of year, month and day
+        given = [int((a, b, c)[p]) for p in place]
+        try:
+            day = datetime.date(*given).toordinal() - _DAYS.start
+        except ValueError:
+            day = -1
+        if not 0 <= day < len(_DAYS):
+            return self.cycle["birth"].text(s)
+        high, low = self.cycle["birth"].next([*divmod(day, 487)], (len(_DAYS) // 487, 487))
+        new = datetime.date.fromordinal(_DAYS.start + high * 487 + low)
+        out = ["", "", ""]
+        for p, v in zip(place, (new.year, new.month, new.day), strict=True):
+            out[p] = f"{v:0{4 if v > 31 else len((a, b, c)[p])}d}"
+        return f"{out[0]}{x}{out[1]}{y}{out[2]}"
+
     def _name(self, s: str) -> str:
         if s in _GENDER:
             return self.order[_GENDER[s]][s]
@@ -284,19 +340,33 @@ class Surrogates:
                     end -= 1
             elif kind == "person":
                 start, end = m.span("named")
+            elif kind == "birth":
+                start, end = m.span("date")
             elif kind == "phone" and not 7 <= sum(c.isdigit() for c in m[0]) <= 15:
                 continue
             elif kind == "host" and any(int(x) > 255 or (len(x) > 1 and x[0] == "0") for x in m[0].split(".")):
                 continue
-            found.append((kind, start, end - start, self.replace(kind, text[start:end])))
+            if (new := self.replace(kind, text[start:end])) != text[start:end]:
+                found.append((kind, start, end - start, new))
         found += self._mentions(text, found)
         found.sort(key=lambda f: f[1])
+        self._check(text, found)
         out, at = [], 0
         for _, start, length, new in found:
             out += [text[at:start], new]
             at = start + length
         return ("".join(out) + text[at:] if found else text), found
 
+    @staticmethod
+    def _check(text: str, found: list[tuple[str, int, int, str]]) -> None:
+        """Different entities have different surrogates, and an entity has one."""
+        there: dict[tuple[str, str], str] = {}
+        back: dict[tuple[str, str], str] = {}
+        for kind, start, length, new in found:
+            old = text[start : start + length]
+            if there.setdefault((kind, old), new) != new or back.setdefault((kind, new), old) != old:
+                raise ValueError(f"surrogates of kind {kind} collide")
+
     def _mentions(self, text: str, found: list[tuple[str, int, int, str]]) -> list[tuple[str, int, int, str]]:
         """Bare given and family names of the persons found, wherever else the text has them, with the surrogates they have there."""
         kinds: dict[str, str] = {}

@@ -11,6 +11,9 @@ room sizes finds it in a logarithm of the length.  A row of the result holds
 * ``positions``: as ``ids``, each place's position, which restarts at 0 with every segment;
 * ``doc_ids`` and ``offsets``: each segment's document and its place in that document's ids.
 
+``write_files`` puts the rows into binary matrix files with a manifest, ``read_files`` reads them.  Which pieces share a
+row, and a row's number, depend on how documents are dealt to partitions; what the rows hold together doesn't.
+
 A block holds up to ``block`` ids of one partition, which bounds a task's memory; a
 document longer than that makes a block of its own.
 
@@ -22,10 +25,13 @@ other columns are ignored.
 from __future__ import annotations
 
 import base64
+import contextlib
+import json
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.fs as pafs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -176,3 +182,66 @@ def unpack(packed: DataFrame, *, wide: bool = False) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(docs, pa.int64()), pa.array(offsets, pa.int64()), pa.array(parts, pa.list_(pa.int32()))], names=["doc_id", "offset", "ids"])
 
     return packed.mapInArrow(run, "doc_id long, offset long, ids array<int>")
+
+
+def write_files(packed: DataFrame, folder: str, *, wide: bool = False) -> dict:
+    """Binary files of the packed rows in ``folder`` (a path or URI that driver and executors share), and their manifest.
+
+    Each task writes four files: ``.ids``, the matrix of ids row by row; ``.positions``, shaped alike;
+    ``.cu_seqlens``, 32-bit cumulative lengths of each row's segments, one row after the other; and ``.bounds``, how
+    many of them each row has.  They get their names when the job has ended, those of failed attempts go, and
+    ``manifest.json`` (returned too) then lists the rows and the row length of each part.  No rows give no parts.
+    """
+    store, path = _store(folder)
+    store.create_dir(path, recursive=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task = TaskContext.get()
+        name, rows, length = f"part-{task.partitionId():06d}-{task.taskAttemptId()}", 0, 0
+        store, path = _store(folder)
+        with contextlib.ExitStack() as open_:
+            files = {}
+            for b in batches:
+                if b.num_rows and not files:
+                    files = {k: open_.enter_context(store.open_output_stream(f"{path}/_{name}.{k}")) for k in PARTS}
+                for k in ("ids", "positions"):
+                    for v in b.column(b.schema.get_field_index(k)):
+                        files[k].write(v.as_buffer())
+                        length = len(v.as_buffer()) // (4 if wide else 2)
+                cu = b.column(b.schema.get_field_index("cu_seqlens"))
+                if b.num_rows:
+                    files["cu_seqlens"].write(cu.flatten().to_numpy().astype("<u4").tobytes())
+                    files["bounds"].write(np.diff(cu.offsets.to_numpy()).astype("<u4").tobytes())
+                    rows += b.num_rows
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([rows]), pa.array([length], pa.int32())], names=["name", "rows", "length"])
+
+    done = packed.select("ids", "positions", "cu_seqlens").mapInArrow(run, "name string, rows long, length int").collect()  # a row for each task
+    for r in done:
+        for k in PARTS:
+            store.move(f"{path}/_{r.name}.{k}", f"{path}/{r.name}.{k}")
+    manifest = {"bytes": 4 if wide else 2, "parts": [{"name": r.name, "rows": r.rows, "length": r.length} for r in sorted(done)]}
+    for file in store.get_file_info(pafs.FileSelector(path)):
+        if file.base_name.startswith("_part-"):
+            store.delete_file(file.path)
+    with store.open_output_stream(f"{path}/manifest.json") as out:
+        out.write(json.dumps(manifest).encode())
+    return manifest
+
+
+PARTS = ("ids", "positions", "cu_seqlens", "bounds")
+
+
+def _store(folder: str) -> tuple[pafs.FileSystem, str]:
+    return pafs.FileSystem.from_uri(folder) if "://" in folder else (pafs.LocalFileSystem(), folder)
+
+
+def read_files(folder: str) -> Iterator[tuple[np.ndarray, np.ndarray, list[np.ndarray]]]:
+    """(matrix of ids, matrix of positions, bounds of each row) of each part that the manifest lists."""
+    store, path = _store(folder)
+    whole = lambda name: store.open_input_file(f"{path}/{name}").read()
+    manifest = json.loads(whole("manifest.json"))
+    for p in manifest["parts"]:
+        ids, positions = (np.frombuffer(whole(f"{p['name']}.{k}"), f"<u{manifest['bytes']}").reshape(p["rows"], p["length"]) for k in ("ids", "positions"))
+        cu, bounds = (np.frombuffer(whole(f"{p['name']}.{k}"), "<u4") for k in ("cu_seqlens", "bounds"))
+        yield ids, positions, np.split(cu, np.cumsum(bounds)[:-1])

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from phenolith.llm.kernel import ALNUM, Words, expand, grams, rolling, slices, words
@@ -58,7 +58,7 @@ class Index:
         self.window, self.k = window, k
         w = words(pa.array(texts, pa.large_string()), ALNUM)
         self.ids, self.hash, self.first = ids, w.hash, w.first
-        self.word = [w.bytes_of(i) for i in range(len(w.hash))]
+        self.bytes_of = w.bytes_of
         self.item = w.doc
         at, fp = winnow(w.hash, w.first, window, k) if len(w.hash) else (np.zeros(0, np.int64), w.hash)
         order = np.argsort(fp, kind="stable")
@@ -118,7 +118,7 @@ class Index:
             none = np.zeros(0, np.int64)
             return none, none, none
         lo, hi, j = (np.concatenate(x) for x in zip(*spans, strict=True))
-        same = np.fromiter((all(w.bytes_of(a + s) == self.word[c + s] for s in range(b - a)) for a, b, c in zip(lo.tolist(), hi.tolist(), j.tolist(), strict=True)), bool, len(lo))
+        same = np.fromiter((all(w.bytes_of(a + s) == self.bytes_of(c + s) for s in range(b - a)) for a, b, c in zip(lo.tolist(), hi.tolist(), j.tolist(), strict=True)), bool, len(lo))
         return lo[same], hi[same], self.item[j[same]]
 
 
@@ -158,8 +158,9 @@ def clean(documents: DataFrame, benchmark: DataFrame, *, window: int = 13, perce
     if shared is None:
         docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
         bad = _shuffled(docs, bench, window, percent).filter("contaminated").select("_key").distinct()
-        keyed = documents.withColumn("_key", F.xxhash64(F.col("doc_id").cast("long"), F.col("text").cast("string")))
-        return keyed.join(bad, "_key", "left_anti").select(*documents.columns)
+        key = unique_name("_key", documents.columns)
+        keyed = documents.withColumn(key, _key(F.col("doc_id").cast("long"), F.col("text").cast("string")))
+        return keyed.join(bad.withColumnRenamed("_key", key), key, "left_anti").select(*documents.columns)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = Index(*shared.value, window)
@@ -194,11 +195,22 @@ def _bench(benchmark: DataFrame, max_broadcast_bytes: int):
     return bench, benchmark.sparkSession.sparkContext.broadcast(([r.item_id for r in rows], [r.item_text for r in rows]))
 
 
+def unique_name(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
+
+
+def _key(id: Column, text: Column) -> Column:
+    """256 bits that stand for a document's id and text; a null text is as an empty one."""
+    return F.sha2(F.concat_ws("\n", F.coalesce(id.cast("string"), F.lit("-")), F.coalesce(text, F.lit(""))), 256)
+
+
 def _shuffled(docs: DataFrame, bench: DataFrame, window: int, percent: int) -> DataFrame:
     """The same rows when the benchmark is too large to send to every task: kept hashes
     (and whole short items) of both sides meet in a join, pairs of a document and an item that
     share one are extended on their texts."""
-    keyed = docs.withColumn("_key", F.xxhash64("doc_id", "text"))
+    keyed = docs.withColumn("_key", _key(F.col("doc_id"), F.col("text")))
     lengths = [r[0] for r in bench.select(F.size(F.regexp_extract_all(F.col("item_text"), F.lit(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"), F.lit(0))).alias("n")).filter(f"n between 1 and {window - 1}").distinct().collect()]
 
     def prints(text: str, key: str, of_items: bool):
@@ -219,7 +231,7 @@ def _shuffled(docs: DataFrame, bench: DataFrame, window: int, percent: int) -> D
 
         return run
 
-    left = keyed.select("_key", "text").distinct().mapInArrow(prints("text", "_key", False), "_key long, fp long")
+    left = keyed.select("_key", "text").distinct().mapInArrow(prints("text", "_key", False), "_key string, fp long")
     right = bench.select("item_id", "item_text").mapInArrow(prints("item_text", "item_id", True), "item_id string, fp long")
     pairs = left.join(right, "fp").select("_key", "item_id").distinct()
 
@@ -229,10 +241,10 @@ def _shuffled(docs: DataFrame, bench: DataFrame, window: int, percent: int) -> D
                 w = words(pa.array([text], pa.large_string()), ALNUM)
                 lo, hi, _ = Index([item], [item_text], window).hits(w)
                 at = np.unique(expand(lo, hi - lo)[1]) if len(lo) else lo
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), key)), pa.array([item] * len(at), pa.string()), pa.array(at)], names=["_key", "item_id", "pos"])
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(at), pa.string()), pa.array([item] * len(at), pa.string()), pa.array(at)], names=["_key", "item_id", "pos"])
 
     texts = keyed.select("_key", "text").dropDuplicates(["_key"])
-    spans = pairs.join(texts, "_key").join(bench, "item_id").select("_key", "item_id", "text", "item_text").mapInArrow(extend, "_key long, item_id string, pos long")
+    spans = pairs.join(texts, "_key").join(bench, "item_id").select("_key", "item_id", "text", "item_text").mapInArrow(extend, "_key string, item_id string, pos long")
     per_doc = spans.select("_key", "pos").distinct().groupBy("_key").agg(F.count("*").alias("n_hit"))
     per_item = spans.select("_key", "item_id").distinct().groupBy("_key").agg(F.array_sort(F.collect_set("item_id")).alias("items"))
 
@@ -240,6 +252,6 @@ def _shuffled(docs: DataFrame, bench: DataFrame, window: int, percent: int) -> D
         for b in slices(batches, "text"):
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(np.diff(words(b.column(1), ALNUM).first))], names=["doc_id", "_key", "n_words"])
 
-    out = keyed.mapInArrow(count, "doc_id long, _key long, n_words long").join(per_doc, "_key", "left").join(per_item, "_key", "left")
+    out = keyed.mapInArrow(count, "doc_id long, _key string, n_words long").join(per_doc, "_key", "left").join(per_item, "_key", "left")
     items, n_hit = F.coalesce("items", F.array().cast("array<string>")), F.coalesce("n_hit", F.lit(0))
     return out.select("_key", "doc_id", "n_words", n_hit.cast("long").alias("n_hit"), F.size(items).cast("long").alias("n_items"), F.sha2(F.array_join(items, ",").cast("binary"), 256).alias("items_sha256"), ((n_hit > 0) & (100 * n_hit >= percent * F.col("n_words"))).alias("contaminated"), items.alias("items"))

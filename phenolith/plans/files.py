@@ -12,12 +12,13 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from phenolith.cli import main
 from phenolith.operators.aggregate import aggregate
 from phenolith.operators.annotate import annotate
 from phenolith.operators.deep import DeepProfiles
 from phenolith.operators.locations import add_cell_locations
 from phenolith.operators.single_cell import SingleCells, sample_fraction
-from phenolith.plans.catalogue import _ONE, LINES, STRATA, _each, cells, lines, query, read, rounded
+from phenolith.plans.catalogue import _ONE, FEATURES, LINES, STRATA, _each, cells, lines, query, read, rounded
 from phenolith.sources.readers import collate, load_npz, load_platemap, load_profiles, load_warehouse, read_sqlite, write_sqlite
 from phenolith.sources.sinks import write, write_gct
 from phenolith.streaming.aggregate import aggregate_stream
@@ -140,18 +141,40 @@ def _archives(spark: SparkSession, d: str, width: int = 64) -> str:
     return folder
 
 
+def _index(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "embeddings").select(F.lit("P").alias("Metadata_Plate"), F.col("label").cast("string").alias("Metadata_Well"), (F.col("vec_id") % 2).cast("string").alias("Metadata_Site"))
+
+
 @query("deep_profiles", f"SELECT 'P' AS Metadata_Plate, CAST(label AS VARCHAR) AS Metadata_Well, {', '.join(f'round(avg(embedding[{i + 1}]::DOUBLE), 4) + 0.0 AS CNN_{i}' for i in range(64))} FROM embeddings GROUP BY label")
 def _(spark, d):
-    index = read(spark, d, "embeddings").select(F.lit("P").alias("Metadata_Plate"), F.col("label").cast("string").alias("Metadata_Well"), (F.col("vec_id") % 2).cast("string").alias("Metadata_Site"))
-    out = rounded(DeepProfiles(index, _archives(spark, d)).aggregate("mean", "well"))
+    out = rounded(DeepProfiles(_index(spark, d), _archives(spark, d)).aggregate("mean", "well"))
     return out.select("Metadata_Plate", "Metadata_Well", *[f"CNN_{i}" for i in range(64)])
 
 
 @query("deep_cells", f"SELECT vec_id::DOUBLE AS Location_Center_X, -vec_id::DOUBLE AS Location_Center_Y, 'P' AS Metadata_Plate, CAST(label AS VARCHAR) AS Metadata_Well, CAST(vec_id % 2 AS VARCHAR) AS Metadata_Site, 'CNN' AS Metadata_Model, CASE WHEN label % 2 = 1 THEN 'b' END AS Metadata_Batch, {', '.join(f'CASE WHEN label % 2 = 0 OR {i} < 20 THEN embedding[{i + 1}]::DOUBLE END AS CNN_{i}' for i in range(64))} FROM embeddings")
 def _(spark, d):
     """Archives of unequal width and metadata: what one hasn't got is null."""
-    index = read(spark, d, "embeddings").select(F.lit("P").alias("Metadata_Plate"), F.col("label").cast("string").alias("Metadata_Well"), (F.col("vec_id") % 2).cast("string").alias("Metadata_Site"))
-    return DeepProfiles(index, _archives(spark, d, 20)).single_cells()
+    return DeepProfiles(_index(spark, d), _archives(spark, d, 20)).single_cells()
+
+
+_STANDARD = ", ".join(f"round((embedding[{i + 1}]::DOUBLE - m[{i + 1}]) / s[{i + 1}], 4) + 0.0 AS CNN_{i}" for i in range(64))
+
+
+@query("deep_normalized", f"WITH e AS (SELECT [{', '.join(f'avg(embedding[{i + 1}]::DOUBLE)' for i in range(64))}] AS m, [{', '.join(f'stddev_pop(embedding[{i + 1}]::DOUBLE)' for i in range(64))}] AS s FROM embeddings) SELECT vec_id::DOUBLE AS Location_Center_X, CAST(label AS VARCHAR) AS Metadata_Well, {_STANDARD} FROM embeddings, e")
+def _(spark, d):
+    """All cells of all archives, standardized."""
+    out = DeepProfiles(_index(spark, d), _archives(spark, d)).normalize_single_cells()
+    return rounded(out.select("Location_Center_X", "Metadata_Well", *[f"CNN_{i}" for i in range(64)]))
+
+
+@query("deep_profiles_by_folder", f"SELECT 'P' AS Metadata_Plate, CAST(label AS VARCHAR) AS Metadata_Well, CAST(vec_id % 2 AS VARCHAR) AS Metadata_Site, {', '.join(f'round(median(embedding[{i + 1}]::DOUBLE), 4) + 0.0 AS CNN_{i}' for i in range(64))} FROM embeddings GROUP BY label, vec_id % 2")
+def _(spark, d):
+    """The index is a text file, and each site's profile goes into a folder of its own."""
+    folder = scratch(spark)
+    write(_index(spark, d).distinct(), f"{folder}/index.csv")
+    DeepProfiles(f"{folder}/index.csv", _archives(spark, d)).aggregate("median", "site", output_folder=f"{folder}/out")
+    out = spark.read.csv(f"{folder}/out", header=True, inferSchema=True)
+    return rounded(out.select(*[F.col(c).cast("string").alias(c) for c in ("Metadata_Plate", "Metadata_Well", "Metadata_Site")], *[f"CNN_{i}" for i in range(64)]))
 
 
 @query("npz_locations", "SELECT vec_id::DOUBLE AS Location_Center_X, -vec_id::DOUBLE AS Location_Center_Y FROM embeddings WHERE label = 0 AND vec_id % 2 = 0")
@@ -172,6 +195,16 @@ def _(spark, d):
     return each[0].unionByName(each[1])
 
 
+@query("command_line", f"WITH {LINES}, s AS (SELECT {', '.join(f'avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}' for c in FEATURES)} FROM lines WHERE Metadata_flag = 'A') SELECT Metadata_flag, {_each('round(avg((l.{c} - m_{c}) / s_{c}), 4) + 0.0')} FROM lines l, s GROUP BY Metadata_flag")
+def _(spark, d):
+    """Two verbs from a shell, one after the other."""
+    folder = scratch(spark)
+    write(lines(spark, d), f"{folder}/in.parquet", "parquet")
+    main(["normalize", f"{folder}/in.parquet", f"{folder}/normal.parquet", "--samples", "Metadata_flag == 'A'", "--output_type", "parquet"])
+    main(["consensus", f"{folder}/normal.parquet", f"{folder}/out.parquet", "--replicate_columns", "Metadata_flag", "--operation", "mean", "--output_type", "parquet"])
+    return rounded(spark.read.parquet(f"{folder}/out.parquet"))
+
+
 # single cells
 
 
@@ -182,6 +215,15 @@ def _(spark, d):
     return rounded(one.aggregate_compartment("cells"))
 
 
+@query("single_cells_counted", f"WITH {_ONE}, i AS (SELECT o_orderstatus AS Metadata_Plate, o_orderpriority AS Metadata_Well, sum(o_custkey)::BIGINT AS by_image FROM orders GROUP BY ALL), c AS (SELECT o_orderstatus AS Metadata_Plate, o_orderpriority AS Metadata_Well, CAST(round_even(count(*) * 0.5, 0) AS BIGINT) AS by_sample FROM one JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL) SELECT * FROM i JOIN c USING (Metadata_Plate, Metadata_Well)")
+def _(spark, d):
+    """Cells of each well by the image table's own counts, and in a sample."""
+    source = cells(spark, d).source
+    counted = source["image"].join(read(spark, d, "orders").select(F.col("o_orderkey").alias("ImageNumber"), F.col("o_custkey").alias("Count_Cells")), "ImageNumber")
+    one = SingleCells(source | {"image": counted}, subsample_frac=0.5, subsampling_random_state=2)
+    return one.count_cells().withColumnRenamed("cell_count", "by_image").join(one.count_cells(count_subset=True).withColumnRenamed("cell_count", "by_sample"), ["Metadata_Plate", "Metadata_Well"])
+
+
 @query("single_cells_sampled", f"WITH {_ONE} SELECT o_orderstatus AS Metadata_Plate, o_orderpriority AS Metadata_Well, CAST(round_even(count(*) * 0.25, 0) AS BIGINT) AS n FROM one JOIN orders ON l_orderkey = o_orderkey GROUP BY ALL")
 def _(spark, d):
     """Merged cells of a quarter of each well."""

@@ -8,7 +8,7 @@ from phenolith.plans import files  # noqa: F401
 from phenolith.plans.catalogue import ORACLE_SQL, QUERIES
 
 DATA = "/root/testdata/sf0.001"
-SOME = ["aggregate_null_strata", "annotate_external", "annotate_cmap", "normalize_standardize_control", "normalize_mad", "select_frequency", "select_correlation", "correlation_spearman", "single_cells_aggregate", "sample_fraction", "normalize_inverse_normal", "normalize_spherize", "normalize_spherize_vectors", "correlation_kendall", "consensus_modz", "source_warehouse", "source_text_tab", "source_platemap", "source_sqlite", "sink_float_format", "sink_gct", "collated_profiles", "cell_locations", "deep_profiles", "deep_cells", "single_cells_fields", "single_cells_sampled", "single_cells_normalized", "single_cells_prefixed", "sample_repeated", "stream_means"]
+SOME = ["aggregate_null_strata", "annotate_external", "annotate_cmap", "normalize_standardize_control", "normalize_mad", "select_frequency", "select_correlation", "correlation_spearman", "single_cells_aggregate", "sample_fraction", "normalize_inverse_normal", "normalize_spherize", "normalize_spherize_vectors", "correlation_kendall", "consensus_modz", "source_warehouse", "source_text_tab", "source_platemap", "source_sqlite", "sink_float_format", "sink_gct", "collated_profiles", "cell_locations", "deep_profiles", "deep_cells", "deep_normalized", "deep_profiles_by_folder", "command_line", "single_cells_counted", "single_cells_fields", "single_cells_sampled", "single_cells_normalized", "single_cells_prefixed", "sample_repeated", "stream_means"]
 
 
 def plain(table):

@@ -18,8 +18,8 @@ def col(name: str) -> Column:
 
 
 def number(name: str) -> Column:
-    """The column as a double, with NaN as null."""
-    return F.nanvl(col(name).cast("double"), F.lit(None).cast("double"))
+    """The column as a double, with NaN as null; parsed in one call, since tables have thousands of columns."""
+    return F.expr("nanvl(cast(`" + name.replace("`", "``") + "` as double), cast(null as double))")
 
 
 def is_missing(df: DataFrame, name: str) -> Column:

@@ -8,6 +8,7 @@ executors, so that the driver receives each matrix once.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -106,8 +107,76 @@ def triangle(df: DataFrame, columns: list[str], center: np.ndarray | None = None
     return np.linalg.qr(r, mode="r") if len(r) else r
 
 
+#: Columns up to which statistics are one SQL aggregation; a plan of thousands of aggregates takes longer than the data.
+NARROW = 64
+
+
+@dataclass
+class Stats:
+    """Statistics of columns, a number each; missing values are left out of all but ``rows``."""
+
+    rows: int
+    count: np.ndarray
+    mean: np.ndarray
+    squares: np.ndarray  # sums of squared distances from the mean
+    low: np.ndarray
+    high: np.ndarray
+
+    @staticmethod
+    def of(x: np.ndarray) -> Stats:
+        have = ~np.isnan(x)
+        count = have.sum(0).astype(float)
+        mean = np.where(have, x, 0.0).sum(0) / np.maximum(count, 1)
+        away = np.where(have, x - mean, 0.0)
+        return Stats(len(x), count, mean, (away * away).sum(0), np.where(have, x, np.inf).min(0, initial=np.inf), np.where(have, x, -np.inf).max(0, initial=-np.inf))
+
+    def add(self, other: Stats) -> Stats:
+        count = self.count + other.count
+        share, delta = other.count / np.maximum(count, 1), other.mean - self.mean
+        return Stats(self.rows + other.rows, count, self.mean + delta * share, self.squares + other.squares + delta * delta * self.count * share, np.minimum(self.low, other.low), np.maximum(self.high, other.high))
+
+    def packed(self) -> bytes:
+        return np.concatenate([np.full(1, float(self.rows)), self.count, self.mean, self.squares, self.low, self.high]).tobytes()
+
+    @staticmethod
+    def unpacked(raw: bytes) -> Stats:
+        x = np.frombuffer(raw)
+        return Stats(int(x[0]), *x[1:].reshape(5, -1))
+
+
+def column_stats(df: DataFrame, columns: list[str]) -> Stats:
+    """Statistics of any number of columns in one pass: a row of partial results a task, folded by
+    about the square root of that many tasks and then on the driver."""
+    chosen, names = df.select(*[number(c).alias(f"_{j}") for j, c in enumerate(columns)]), [f"_{j}" for j in range(len(columns))]
+
+    def folded(parts: Iterator[Stats]) -> Iterator[pa.RecordBatch]:
+        total = None
+        for p in parts:
+            total = p if total is None else total.add(p)
+        if total is not None:
+            yield pa.RecordBatch.from_arrays([pa.array([total.packed()], pa.binary())], names=["v"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(invalid="ignore"):
+            yield from folded(Stats.of(matrix(b.slice(lo, 4096), names)) for b in batches for lo in range(0, b.num_rows, 4096))
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        with np.errstate(invalid="ignore"):
+            yield from folded(Stats.unpacked(v) for b in batches for v in b.column(0).to_pylist())
+
+    made = chosen.mapInArrow(first, "v binary").repartition(max(1, int(df.sparkSession.sparkContext.defaultParallelism**0.5))).mapInArrow(again, "v binary")
+    total = Stats.of(np.zeros((0, len(columns))))
+    for r in made.collect():
+        total = total.add(Stats.unpacked(bytes(r.v)))
+    return total
+
+
 def moments(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    """(rows, means, population standard deviations) in one aggregation."""
+    """(rows, means, population standard deviations), in one pass."""
+    if len(columns) > NARROW:
+        s = column_stats(df, columns)
+        none = s.count == 0
+        return s.rows, np.where(none, np.nan, s.mean), np.where(none, np.nan, np.sqrt(s.squares / np.maximum(s.count, 1)))
     row = df.agg(F.count("*"), *[f(number(c)) for c in columns for f in (F.avg, F.stddev_pop)]).first()
     nan = lambda v: np.nan if v is None else v
     return row[0], np.array([nan(v) for v in row[1::2]]), np.array([nan(v) for v in row[2::2]])

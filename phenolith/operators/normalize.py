@@ -29,7 +29,6 @@ METHODS = ("standardize", "robustize", "mad_robustize", "spherize", "inverse_nor
 MISSING = ("", "na", "n/a", "nan", "none", "null")
 #: Columns beyond which a projection is replaced by a map over Arrow batches.
 WIDE = 600
-CHUNK = 400
 
 
 @dataclass
@@ -110,13 +109,8 @@ def _percentiles(df: DataFrame, columns: Sequence[str], at: Sequence[float]) ->
     return order_statistics(df, columns, at)[0]
 
 
-def _means(df: DataFrame, columns: list[str]) -> tuple[int, np.ndarray, np.ndarray]:
-    parts = [moments(df, columns[i : i + CHUNK]) for i in range(0, len(columns), CHUNK)]
-    return parts[0][0], np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
-
-
 def fit_standardize(df: DataFrame, columns: list[str]) -> Shift:
-    n, mean, std = _means(df, columns)
+    n, mean, std = moments(df, columns)
     eps = np.finfo(float).eps  # deviations that rounding alone can make count as none
     flat = std**2 <= n * eps * std**2 + (n * mean * eps) ** 2
     return Shift(mean, np.where((std == 0) | flat, 1.0, std))
@@ -154,7 +148,7 @@ def fit_spherize(df: DataFrame, columns: list[str], center: bool = True, method:
     if method.endswith("-cor") and not center:
         raise ValueError("PCA-cor and ZCA-cor need spherize_center=True")
     d = len(columns)
-    n, mean, std = _means(df, columns)
+    n, mean, std = moments(df, columns)
     if np.isnan(mean).any() or df.filter(" or ".join(f"`{c}` is null or isnan(cast(`{c}` as double))" for c in columns)).limit(1).count():
         raise ValueError("spherize needs columns without missing values")
     if method.endswith("-cor"):

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenolith.functions.exprs import col, is_missing, number, subset, unique_name
-from phenolith.functions.linalg import pairwise
+from phenolith.functions.linalg import NARROW, column_stats, pairwise
 from phenolith.functions.schema import features_of
 from phenolith.sources.blocklist import Blocklist, blocked
 from phenolith.sources.readers import load_profiles
@@ -26,7 +26,13 @@ CHUNK = 300
 
 
 def _stats(df: DataFrame, features: Sequence[str], kinds: Sequence[str]) -> dict[str, dict[str, float | None]]:
-    """For each feature the asked statistics, of one aggregation for each ``CHUNK`` columns."""
+    """For each feature the asked statistics, of one pass over wide tables of numbers, else of one
+    aggregation for each ``CHUNK`` columns."""
+    if len(features) > NARROW and all(isinstance(df.schema[c].dataType, (T.DoubleType, T.FloatType, T.IntegralType)) for c in features):
+        s = column_stats(df, list(features))
+        none = lambda x: [None if n == 0 else float(v) for v, n in zip(x, s.count, strict=True)]
+        found = {"var": none(s.squares / np.maximum(s.count, 1)), "na": [1 - float(n) / s.rows if s.rows else None for n in s.count], "max": none(s.high), "min": none(s.low)}
+        return {c: {k: found[k][i] for k in kinds} for i, c in enumerate(features)}
     make = {"var": lambda c: F.var_pop(number(c)), "na": lambda c: F.avg(is_missing(df, c).cast("double")), "max": lambda c: F.max(number(c)), "min": lambda c: F.min(number(c))}
     out = {}
     for lo in range(0, len(features), CHUNK):

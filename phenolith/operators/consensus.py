@@ -6,6 +6,7 @@ from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -111,19 +112,88 @@ def modz(df: DataFrame, replicate_columns: str | Sequence[str], features: str |
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField(c, T.DoubleType()) for c in features])
     chosen = df.select(*[col(k) for k in keys], *[number(c).alias(c) for c in features])
 
-    def run(key: tuple, table: pa.Table) -> pa.Table:
-        x = np.stack([table.column(len(keys) + j).to_numpy() for j in range(len(features))], 1).astype(float) if features else np.zeros((table.num_rows, 0))
-        y = modz_profile(x, method.lower(), min_weight, precision)
-        return pa.Table.from_arrays([*[pa.array([k.as_py()], k.type) for k in key], *[pa.array([v]) for v in y]], names=[*keys, *features])
-
-    small = lambda rows: rows.groupBy(*[col(k) for k in keys]).applyInArrow(run, schema)
+    how = method.lower(), min_weight, precision
+    small = lambda rows: _batches(rows, keys, features, schema, *how)
     n = unique_name("n", [*keys, *features])
     large = chosen.groupBy(*[col(k) for k in keys]).agg(F.count("*").alias(n)).filter(col(n) > BLOCK)
     if not features or large.isEmpty():
         return small(chosen)
     marked = _beside(chosen, large, keys, "left")
     few = marked.filter(col(n).isNull()).select(*[col(c) for c in chosen.columns])
-    return small(few).unionByName(_blocks(marked.filter(col(n).isNotNull()), keys, features, n, schema, method.lower(), min_weight, precision))
+    return small(few).unionByName(_blocks(marked.filter(col(n).isNotNull()), keys, features, n, schema, *how))
+
+
+def profiles(x: np.ndarray, method: str, min_weight: float, precision: int) -> np.ndarray:
+    """The profiles of groups of one size (groups, rows, columns), all at once, as ``modz_profile`` makes them."""
+    groups, n, d = x.shape
+    if n == 1:
+        return np.nan_to_num(x[:, 0])
+    if method == "kendall":
+        return np.stack([modz_profile(g, method, min_weight, precision) for g in x])
+    out, holes = np.empty((groups, d)), np.isnan(x).any((1, 2))
+    for g in np.flatnonzero(holes).tolist():
+        out[g] = modz_profile(x[g], method, min_weight, precision)
+    whole = x[~holes]
+    z = whole if method == "pearson" else _ranks(whole.reshape(-1, d)).reshape(whole.shape)
+    z = z - z.mean(2, keepdims=True)
+    size = (z * z).sum(2)
+    with np.errstate(all="ignore"):
+        c = np.matmul(z, z.transpose(0, 2, 1)) / np.sqrt(size[:, :, None] * size[:, None, :])
+    c[:, np.arange(n), np.arange(n)] = np.nan
+    c = np.maximum(c, 0)
+    raw = _raw(np.nansum(c, 2), (~np.isnan(c)).sum(2), min_weight)
+    total = np.nansum(raw, 1, keepdims=True)
+    with np.errstate(all="ignore"):
+        weight = np.where(total == 0, 1 / n, raw / total)
+    out[~holes] = np.nansum(whole * np.round(weight, precision)[:, :, None], axis=1)
+    return out
+
+
+def _starts(table: pa.Table, keys: int) -> np.ndarray:
+    """Where a new group begins among rows sorted by their first columns; null and NaN equal themselves."""
+    new = np.zeros(table.num_rows, bool)
+    new[:1] = True
+    for i in range(keys):
+        col = table.column(i).combine_chunks()
+        now, before = col[1:], col[:-1]
+        differ = pc.fill_null(pc.not_equal(now, before), False).to_numpy(zero_copy_only=False) | (now.is_null().to_numpy(zero_copy_only=False) != before.is_null().to_numpy(zero_copy_only=False))
+        if pa.types.is_floating(col.type):
+            differ &= ~pc.fill_null(pc.and_(pc.is_nan(now), pc.is_nan(before)), False).to_numpy(zero_copy_only=False)
+        new[1:] |= differ
+    return np.flatnonzero(new)
+
+
+def _batches(rows: DataFrame, keys: list[str], features: list[str], schema: T.StructType, method: str, min_weight: float, precision: int) -> DataFrame:
+    """The profiles of groups of at most ``BLOCK`` rows: rows come sorted by key, and the groups of a batch
+    are handled together, those of one size at once."""
+    of = [col(k) for k in keys]
+
+    def made(table: pa.Table, starts: np.ndarray) -> pa.RecordBatch:
+        x = np.stack([table.column(len(keys) + j).to_numpy() for j in range(len(features))], 1).astype(float) if features else np.zeros((table.num_rows, 0))
+        sizes, out = np.diff(np.append(starts, table.num_rows)), np.zeros((len(starts), len(features)))
+        for n in np.unique(sizes).tolist():
+            at = np.flatnonzero(sizes == n)
+            step = max(1, MOST_CELLS // max(1, n * len(features)))
+            for lo in range(0, len(at), step):
+                some = at[lo : lo + step]
+                out[some] = profiles(x[starts[some][:, None] + np.arange(n)], method, min_weight, precision)
+        first = table.select(range(len(keys))).take(pa.array(starts)).combine_chunks()
+        return pa.RecordBatch.from_arrays([*[c.chunk(0) if c.num_chunks else pa.array([], c.type) for c in first.columns], *[pa.array(out[:, j]) for j in range(len(features))]], names=[*keys, *features])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for b in batches:
+            if not b.num_rows:
+                continue
+            held = pa.Table.from_batches([b]) if held is None else pa.concat_tables([held, pa.Table.from_batches([b])])
+            starts = _starts(held, len(keys))
+            if len(starts) > 1:  # the last group may go on
+                yield made(held.slice(0, starts[-1]), starts[:-1])
+                held = held.slice(starts[-1])
+        if held is not None:
+            yield made(held, np.zeros(1, np.int64))
+
+    return rows.repartition(*of).sortWithinPartitions(*of).mapInArrow(run, schema)
 
 
 def _beside(df: DataFrame, groups: DataFrame, keys: list[str], how: str) -> DataFrame:

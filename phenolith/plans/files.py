@@ -31,6 +31,8 @@ def scratch(spark: SparkSession) -> str:
         if not spark.sparkContext.master.startswith("local["):
             raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.gettempdir()
+    if "://" in base.removeprefix("file://"):
+        raise RuntimeError("single files are written here, which needs a file system that is mounted everywhere")
     path = f"{base.removeprefix('file://')}/phenolith-files/{uuid.uuid4().hex}"
     os.makedirs(path, exist_ok=True)
     return path

@@ -48,7 +48,8 @@ def _counted(df: DataFrame, group: str | None, columns: Sequence[str], bits: int
     """(group, column, prefix, count, least, greatest) of ``bits + step`` leading bits, among the wanted prefixes of ``bits``."""
     shift = np.uint64(64 - bits - step)
     before = np.uint64(64 - bits) if bits else None
-    chosen = df.select((F.col(group) if group else F.lit(0)).cast("int").alias("_g"), *[number(c).alias(f"_{j}") for j, c in enumerate(columns)])
+    used = range(len(columns)) if wanted is None else sorted({j for _, j in wanted})
+    chosen = df.select((F.col(group) if group else F.lit(0)).cast("int").alias("_g"), *[number(columns[j]).alias(f"_{j}") for j in used])
     shared = df.sparkSession.sparkContext.broadcast(wanted)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,10 +70,10 @@ def _counted(df: DataFrame, group: str | None, columns: Sequence[str], bits: int
             groups = b.column(0).to_numpy()
             for g in np.unique(groups).tolist():
                 rows = groups == g
-                for j in range(len(columns)):
+                for at, j in enumerate(used, 1):
                     if shared.value is not None and (g, j) not in shared.value:
                         continue
-                    x = b.column(j + 1).to_numpy(zero_copy_only=False)[rows]
+                    x = b.column(at).to_numpy(zero_copy_only=False)[rows]
                     c = codes(x[~np.isnan(x)])
                     if shared.value is not None:
                         own, p = shared.value[g, j], c >> before
@@ -147,8 +148,8 @@ def _resolve(df: DataFrame, group: str | None, columns: list[str], searches: dic
     bits = FIRST
     while todo:
         rows = sum(int(n.sum()) for _, _, n in todo.values())
-        prefixes = max(len(c) for c, _, _ in todo.values())
-        step = 64 - bits if rows <= ROWS else max(1, min(STEP, 64 - bits, int(ROWS // prefixes).bit_length() - 1))
+        prefixes = sum(len(c) for c, _, _ in todo.values())  # so many bits that one pass over the data does for all columns
+        step = 64 - bits if rows <= ROWS else min(max(4, min(STEP, int(ROWS // prefixes).bit_length() - 1)), 64 - bits)
         after: dict = {}
         keys = list(todo)
         while keys:  # as many columns at a time as bring ROWS rows at most

@@ -184,6 +184,33 @@ def test_restoring_and_scoring(spark):
     assert toxicity.score(documents(spark, odd).limit(0), model).count() == 0
 
 
+def test_all_labelled_texts_are_learnt_from(spark):
+    """Every labelled text counts in the character model and in the weights, however many there are; near copies once."""
+    rows = [(i, f"w{chr(97 + i % 26)} {prose(i, 12)} q{i}") for i in range(9000)] + [(20_000 + i, f"{prose(20_000 + i, 12)} scumbag q{i}") for i in range(300)]
+    copies = [(30_000 + i, rows[-1][1]) for i in range(50)] + [(40_000, "\u0130 \ud83d\ude00 a\0 b \u03a3".encode("utf-16", "surrogatepass").decode("utf-16")), (40_001, "12 ..")]
+    labels = spark.createDataFrame([(i, int(20_000 <= i < 40_000)) for i, _ in rows + copies], "doc_id long, toxic int")
+    model = toxicity.fit(documents(spark, rows + copies), labels)
+    distinct = [t for _, t in rows + copies[-2:]]
+    want = Counter(g for t in distinct for g in toxicity.trigrams(t))
+    assert toxicity.counted(distinct) == want and model.chars.total == sum(want.values())
+    scumbag = kernel.words(pa.array(["scumbag"]), kernel.LETTERS).hash[0]
+    assert model.weight[model.keys == scumbag][0] > 1
+    cjk = ["".join(chr(0x4E00 + 7 * i * j % 9000) for i in range(300)) + " x" for j in range(3)]
+    assert toxicity.counted(cjk) == Counter(g for t in cjk for g in toxicity.trigrams(t))
+
+
+def test_gradients_in_tasks_equal_the_drivers(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x, y = rng.random((200, 9)) < 0.3, rng.integers(0, 2, 200)
+    blocks = [(y[a:e].astype(np.int8).tobytes(), x[a:e].sum(1).astype(np.int32).tobytes(), np.nonzero(x[a:e])[1].astype(np.int32).tobytes()) for a, e in ((0, 70), (70, 71), (71, 200))]
+    table = spark.createDataFrame([tuple(map(bytearray, b)) for b in blocks], "y binary, size binary, at binary").repartition(3)
+    n, out = {0: int((y == 0).sum()), 1: int(y.sum())}, []
+    for limit in (1 << 22, 0):
+        monkeypatch.setattr(toxicity, "LOCAL", limit)
+        out.append(toxicity.logistic(table, 9, n, 0.3, steps=8))
+    assert np.allclose(out[0][0], out[1][0]) and math.isclose(out[0][1], out[1][1]) and out[0][0].any()
+
+
 def test_every_table_entry_reaches_the_decoder(spark):
     """Each sign, separator and repetition of the decoder's tables, in a text's score."""
     bad = ["moronic", "worthless", "stupidly", "crazy", "scumbag", "idiotic", "stitch"]

@@ -10,8 +10,8 @@ clustered by the keys that stand beside them in the training texts.
 * The softmax over a class's words starts from their relative frequencies and has
   a weight for each kept pair of a context and a word.  A token's context is the
   word before it (an n-gram feature), or, where that is rare, the word before
-  that (a skip feature).  Kept are the pairs that occur ``LEAST`` times or more, the ``FEATURES``
-  commonest of them.  A word whose pair has no weight needs no term of its own, so
+  that (a skip feature).  Kept are all pairs that occur ``LEAST`` times or more.
+  A word whose pair has no weight needs no term of its own, so
   the normalizer of a context and class is 1 plus a sum over its kept pairs.
   Groups of pairs that share a normalizer are trained by gradient steps of their
   own, all over the cluster.
@@ -23,8 +23,9 @@ by the hashes of pairs.
 
 All counts cover all training texts; what is counted grows with them.  What reaches every task has a
 fixed bound: class weights, at most ``FREQUENT`` words' counts, ``VOCABULARY`` words
-that pairs are made of, ``FEATURES`` weights and as many normalizers at most; counts of all other words
-are joined in a shuffle, one row a document and word.  Words are told apart by 64-bit hashes.
+that pairs are made of, ``FEATURES`` weights and as many normalizers at most, those of the commonest groups; counts of all other
+words, and weights and normalizers of all other groups, are joined in a shuffle, one row a document and
+word or pair.  Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts consist of the end token; without training
 texts all words are unseen; repeated rows count, and are scored, each; null
@@ -44,9 +45,10 @@ from pyspark.sql import functions as F
 
 from phenolith.llm.kernel import NONSPACE, Words, mix, slices, words
 from phenolith.llm.runtime import forget, stored
+from phenolith.llm.sigtree import _bloom as bloom
 
 KEYS, CLASSES, ROWS, FREQUENT = 512, 32, 1 << 13, 1 << 20
-#: Words of pairs at most and their least count, words that are contexts at most and theirs, pairs with weights and the least count of a pair.
+#: Words of pairs at most and their least count, words that are contexts at most and theirs, weights and normalizers that reach every task, and the least count of a pair.
 VOCABULARY, WORTH, CONTEXTS, CONTEXT, FEATURES, LEAST = 1 << 16, 8, 1 << 14, 32, 1 << 21, 3
 #: Gradient steps, their length, and the variance of the weights' prior.
 STEPS, RATE, PRIOR = 24, 0.125, 0.3
@@ -174,17 +176,21 @@ class Model:
         return np.where(at >= 0, self.counts[at], 0) if len(self.counts) else np.zeros(len(h), np.int64)
 
     def context_factor(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 of what the context makes of each word's probability within its class."""
+        """log10 of what the context makes of each word's probability within its class, in groups that are here."""
+        return self.context_factors(h, c, doc)[0]
+
+    def context_factors(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and the tokens whose groups aren't here, with the hashes of their pairs and groups."""
         out = np.zeros(len(h))
-        if not len(self.weight):
-            return out
         word, context = self.vocabulary.contexts(h, doc)
         some = np.flatnonzero((word >= 0) & (context >= 0))
-        group = self.groups(_hashed(context[some] << 5 | c[some]))
-        some, group = some[group >= 0], group[group >= 0]
-        at = self.pairs(_hashed(_pair(context[some], word[some])))
-        out[some] = np.where(at >= 0, self.weight[at], 0) - self.norm[group]
-        return out
+        of, pair = _hashed(context[some] << 5 | c[some]), _hashed(_pair(context[some], word[some]))
+        group = self.groups(of) if len(self.norm) else np.full(len(some), -1)
+        here = group >= 0
+        if here.any():
+            at = self.pairs(pair[here])
+            out[some[here]] = np.where(at >= 0, self.weight[at], 0) - self.norm[group[here]]
+        return out, some[~here], pair[~here], of[~here]
 
 
 def _level(c: Column) -> Column:
@@ -309,15 +315,15 @@ def contexts(train: DataFrame, classes: np.ndarray, vocabulary: Vocabulary) -> D
     return stored(raw.filter(f"kind < 2 or n >= {LEAST}"), "contexts")
 
 
-def train_words(made: DataFrame, vocabulary: Vocabulary) -> tuple[Lookup, np.ndarray, Lookup, np.ndarray]:
-    """(pairs, their weights, groups of a context and a class, their normalizers): gradient steps for
-    all groups of a task at once; a group's expected counts come from its own normalizer."""
+def train_words(made: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(pair, h, v, n) of all kept pairs, with their weights, and of all groups of a context and a class, with their
+    normalizers; n is the group's count.  Gradient steps go for all groups of a task at once; a group's
+    expected counts come from its own normalizer."""
     spark = made.sparkSession
     within = np.bincount(vocabulary.classes, vocabulary.counts, CLASSES)
     share = vocabulary.counts / np.maximum(within[vocabulary.classes], 1)
     shared = spark.sparkContext.broadcast((share, vocabulary.classes))
     kept = made.filter("kind = 2")
-    kept = kept.filter(_level(F.col("n")) >= _commonest(kept, "n", FEATURES))
 
     def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -336,7 +342,7 @@ def train_words(made: DataFrame, vocabulary: Vocabulary) -> tuple[Lookup, np.nda
         rows = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
         if not rows:
             return
-        group, word, n = (np.concatenate([r[i] for r in rows]) for i in range(3))  # at most FEATURES pairs
+        group, word, n = (np.concatenate([r[i] for r in rows]) for i in range(3))
         of = np.cumsum(word < 0) - 1
         pair = word >= 0
         all_, of, w, n_ = n[~pair], of[pair], word[pair], n[pair]
@@ -346,15 +352,20 @@ def train_words(made: DataFrame, vocabulary: Vocabulary) -> tuple[Lookup, np.nda
             expected = all_[of] * q * np.exp(weight) / norm()[of]
             weight += np.clip((n_ - expected - weight / WORD_PRIOR) / (np.maximum(n_, expected) + 1 / WORD_PRIOR), -1, 1)
         code = np.concatenate([_pair(group[pair] >> 5, w), group[~pair]])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([True, False], [len(w), len(all_)])), pa.array(_hashed(code).view(np.int64)), pa.array(np.concatenate([weight, np.log(norm())]) / np.log(10))], names=["pair", "h", "v"])
+        of_all = np.concatenate([all_[of], all_])
+        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([True, False], [len(w), len(all_)])), pa.array(_hashed(code).view(np.int64)), pa.array(np.concatenate([weight, np.log(norm())]) / np.log(10)), pa.array(of_all)], names=["pair", "h", "v", "n"])
+
+    return stored(dealt, "weights", run, "pair boolean, h long, v double, n long")
+
 
-    table = dealt.mapInArrow(run, "pair boolean, h long, v double").toArrow()
-    out = []
+def _lookups(weights: DataFrame) -> tuple[Lookup, np.ndarray, Lookup, np.ndarray]:
+    """(pairs, their weights, groups, their normalizers) as tasks look them up."""
+    table, out = weights.select("pair", "h", F.col("v").cast("float").alias("v")).toArrow(), []
     for is_pair in (True, False):
         part = table.filter(pc.equal(table.column(0), is_pair))
         h = part.column(1).to_numpy().view(np.uint64)
         order = np.argsort(h)
-        out += [Lookup(h[order]), part.column(2).to_numpy()[order].astype(np.float32)]
+        out += [Lookup(h[order]), part.column(2).to_numpy()[order]]
     return tuple(out)
 
 
@@ -410,6 +421,11 @@ def _words(table: DataFrame, level: int) -> tuple[Lookup, np.ndarray, np.ndarray
 
 def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     """The model, and the counts of all words."""
+    return learn_from(train)[:2]
+
+
+def learn_from(train: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
+    """The model, the counts of all words, and the weights and normalizers that the model doesn't hold, if there are any."""
     table, beside = count(train)
     classes = cluster(beside)
     find, counts, keys = _words(table, _commonest(table, "c", VOCABULARY, WORTH))
@@ -418,8 +434,14 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     made = contexts(train, classes, vocabulary)
     cells = made.filter("kind = 0").select((F.col("code") / CLASSES).cast("long").alias("history"), (F.col("code") % CLASSES).alias("class"), "n")
     log_class = train_classes(cells)
-    pairs, weight, groups, norm = train_words(made, vocabulary)
+    weights = train_words(made, vocabulary)
     forget(made)
+    level = _commonest(weights.filter("pair"), "n", FEATURES)  # a group has a pair or more
+    pairs, weight, groups, norm = _lookups(weights.filter(_level(F.col("n")) >= level))
+    others = weights.filter(_level(F.col("n")) < level)
+    if others.isEmpty():
+        forget(weights)
+        others = None
     by_key = table.groupBy("key").agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.count("*").alias("words")).collect()
     n, once, kinds = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
     for r in by_key:
@@ -434,14 +456,15 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
     with np.errstate(divide="ignore"):
         share = np.where(n > 0, np.log10((1 - unseen) / np.maximum(n, 1)), 0.0)
     model = Model(classes, (log_class / np.log(10)).astype(np.float32), np.log10(p @ unseen).astype(np.float32), share, often, counts, least, int(n.sum()), int(kinds.sum()), vocabulary, pairs, weight, groups, norm)
-    return model, table
+    return model, table, others
 
 
 def score(documents: DataFrame, learn: Column) -> DataFrame:
     """(doc_id, learn, n_tokens, n_known, train_tokens, base_score, score) for every row."""
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(learn, F.lit(False)).alias("learn"))
-    model, table = fit(docs.filter("learn").select("text"))
+    model, table, others = learn_from(docs.filter("learn").select("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
+    elsewhere = None if others is None else [bloom(others.filter(kind), "h") for kind in ("pair", "not pair")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -452,7 +475,8 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
             c = m.classes[key]
             history = histories(c, doc)
             seen = m.frequent(h)
-            known = m.log_class[history, c].astype(float) + m.log_share[c] + m.context_factor(h, c, doc)
+            factor, out, pair, group = m.context_factors(h, c, doc)
+            known = m.log_class[history, c].astype(float) + m.log_share[c] + factor
             often = seen > 0
             add = lambda x, at: np.bincount(doc[at], x[at], texts).astype(float)  # noqa: E731  integers where nothing is added
             value = known.copy()
@@ -466,12 +490,19 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
             sums = lambda x: np.add.reduceat(x, first) if len(first) else x[:0]
             offsets = pa.array(np.searchsorted(doc[order][first], np.arange(texts + 1)), pa.int32())
             many = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
+            if elsewhere is None:
+                lists = [pa.nulls(texts, pa.list_(pa.int64()))] * 2
+            else:
+                lists = []
+                for test, x in zip(elsewhere, (pair.view(np.int64), group.view(np.int64)), strict=True):
+                    ok = test(x)
+                    lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[out[ok]], np.arange(texts + 1)), pa.int32()), pa.array(x[ok])))
             yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(np.bincount(doc, minlength=texts)), pa.array(np.bincount(doc[often], minlength=texts)), pa.array(add(base, often)), pa.array(add(value, often)), many(h[order][first].view(np.int64)), many(sums(np.ones(len(order), np.int64))), many(sums(known[order])), many(sums(m.log_unseen[history[order]].astype(float)))],
-                names=["doc_id", "learn", "row", "n_tokens", "n_known", "base", "value", "h", "n", "known", "unseen"],
+                [b.column(0), b.column(2), b.column(3), pa.array(np.bincount(doc, minlength=texts)), pa.array(np.bincount(doc[often], minlength=texts)), pa.array(add(base, often)), pa.array(add(value, often)), many(h[order][first].view(np.int64)), many(sums(np.ones(len(order), np.int64))), many(sums(known[order])), many(sums(m.log_unseen[history[order]].astype(float))), *lists],
+                names=["doc_id", "learn", "row", "n_tokens", "n_known", "base", "value", "h", "n", "known", "unseen", "pairs", "groups"],
             )
 
-    kinds = "doc_id long, learn boolean, row long, n_tokens long, n_known long, base double, value double, h array<long>, n array<long>, known array<double>, unseen array<double>"
+    kinds = "doc_id long, learn boolean, row long, n_tokens long, n_known long, base double, value double, h array<long>, n array<long>, known array<double>, unseen array<double>, pairs array<long>, groups array<long>"
     part = stored(docs.withColumn("row", F.monotonically_increasing_id()), "scores", run, kinds)
     rare = part.select("row", F.explode(F.arrays_zip("h", "n", "known", "unseen")).alias("x")).select("row", "x.*")
     if len(model.counts) < model.distinct:  # words beyond the frequent ones are looked up in a join
@@ -484,5 +515,11 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) - F.lit(scale))).alias("b"),
         F.sum(F.when(F.col("c").isNull(), F.col("unseen")).otherwise(F.col("known") + F.col("n") * F.log10("c"))).alias("v"),
     )
+    if others is not None:  # weights of pairs and normalizers of groups beyond the commonest are looked up in a join
+        use = part.select("row", F.explode("pairs").alias("h"), F.lit(True).alias("pair")).union(part.select("row", F.explode("groups").alias("h"), F.lit(False).alias("pair")))
+        use = use.join(others.select("pair", "h", F.when(F.col("pair"), F.col("v")).otherwise(-F.col("v")).alias("x")), ["pair", "h"])
+        found = found.join(use.groupBy("row").agg(F.sum("x").alias("x")), "row", "full")
+    else:
+        found = found.withColumn("x", F.lit(0.0))
     zero = lambda name, kind: F.coalesce(name, F.lit(0).cast(kind))
-    return part.select("row", "doc_id", "learn", "n_tokens", "n_known", "base", "value").join(found, "row", "left").select("doc_id", "learn", "n_tokens", (F.col("n_known") + zero("k", "long")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + zero("b", "double")).alias("base_score"), (F.col("value") + zero("v", "double")).alias("score"))
+    return part.select("row", "doc_id", "learn", "n_tokens", "n_known", "base", "value").join(found, "row", "left").select("doc_id", "learn", "n_tokens", (F.col("n_known") + zero("k", "long")).alias("n_known"), F.lit(model.total).cast("long").alias("train_tokens"), (F.col("base") + zero("b", "double")).alias("base_score"), (F.col("value") + zero("v", "double") + zero("x", "double")).alias("score"))

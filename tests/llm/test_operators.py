@@ -376,6 +376,22 @@ def test_pairs_are_learnt(spark, monkeypatch):
             assert abs(n - expected - weight / maxent.WORD_PRIOR) < 0.02 * n + 0.05
 
 
+def test_weights_beyond_the_commonest_groups_count(spark, monkeypatch):
+    """Scores are the same however few weights reach the tasks: the rest is looked up in a join, none is dropped."""
+    monkeypatch.setattr(maxent, "WORTH", 2)
+    monkeypatch.setattr(maxent, "CONTEXT", 4)
+    texts = [(i, prose(i % 40, 60)) for i in range(160)] + [(200, None), (201, "unheard words"), (202, ""), (3, prose(3, 60))]
+    out, held = [], []
+    for most in (1 << 21, 300, 0):
+        monkeypatch.setattr(maxent, "FEATURES", most)
+        held.append(len(maxent.fit(documents(spark, texts).select("text"))[0].weight))
+        out.append(sorted(map(tuple, maxent.score(documents(spark, texts), F.col("doc_id") % 10 != 0).collect())))
+    assert held[0] > held[1] > held[2] == 0
+    for other in out[1:]:
+        for a, b in zip(out[0], other, strict=True):
+            assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-5, atol=1e-5)
+
+
 # 6 language identification
 
 

@@ -411,8 +411,8 @@ def jaccard_components(documents: DataFrame, *, k: int = 4, percent: int = 85) -
     label = stored(own.join(own.select(F.col("digest").alias("l"), F.col("l").alias("l2")), "l", "left").select("digest", F.coalesce("l2", "l").alias("label")), "labels")
     known = classes.select("digest", "id", "n", "sig", "prefix").join(label, "digest", "left").withColumn("label", F.coalesce("label", "digest"))
 
-    # hashes under which classes of more than one label meet
-    meet = stored(known.select("label", F.explode("prefix").alias("key")).groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).filter("x != y").select("key", F.ceil(F.col("c") / CELL).cast("int").alias("deal")), "meet")
+    # hashes under which classes of more than one label meet; 64 bits of a label, as of a shingle, keep the shuffle of all prefixes small
+    meet = stored(known.select(F.xxhash64("label").alias("label"), F.explode("prefix").alias("key")).groupBy("key").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("c")).filter("x != y").select("key", F.ceil(F.col("c") / CELL).cast("int").alias("deal")), "meet")
     wanted = _bloom(meet, "key")
 
     def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -23,9 +23,10 @@ by the hashes of pairs.
 
 All counts cover all training texts; what is counted grows with them.  What reaches every task has a
 fixed bound: class weights, at most ``FREQUENT`` words' counts, ``VOCABULARY`` words
-that pairs are made of, ``FEATURES`` weights and as many normalizers at most, those of the commonest groups; counts of all other
-words, and weights and normalizers of all other groups, are joined in a shuffle, one row a document and
-word or pair.  Words are told apart by 64-bit hashes.
+that pairs are made of, ``FEATURES`` weights of pairs, the commonest, and the normalizers of all groups, of which there are 2 x ``CONTEXTS`` x
+``CLASSES`` at most.  Counts of all other words are joined in a shuffle, one row a document and word.  Counts of
+pairs, and tokens whose pair has a weight elsewhere, go through shuffles in packed blocks of sorted
+numbers.  Words are told apart by 64-bit hashes.
 
 Defined results: null and empty texts consist of the end token; without training
 texts all words are unseen; repeated rows count, and are scored, each; null
@@ -34,7 +35,7 @@ texts all words are unseen; repeated rows count, and are scored, each; null
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -56,6 +57,10 @@ STEPS, RATE, PRIOR = 24, 0.125, 0.3
 WORD_STEPS, WORD_PRIOR = 40, 3.0
 END = np.uint64(0xE2D0E2D0E2D0E2D1)
 _STEP = 1 << 21
+#: Entries that a task holds before it deals them out in packed blocks.
+_BLOCK = 1 << 20
+#: Bits of a code (_code) that tell a group's words apart.
+_WORD = 20
 
 
 def tokens(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -153,6 +158,64 @@ def _hashed(code: np.ndarray) -> np.ndarray:
     return mix(code.astype(np.uint64) + np.uint64(1))
 
 
+def _code(context: np.ndarray, c: np.ndarray, word: np.ndarray) -> np.ndarray:
+    """A pair and its class as one number, in which the group of context and class leads; word -1 is the group itself."""
+    return (context << 5 | c) << _WORD | (word + 1)
+
+
+def _pack(*columns: np.ndarray) -> bytes:
+    """Columns of whole numbers from 0 on, the first one sorted, compressed: of the first its steps, of each the bytes of one place together."""
+    head, planes = [len(columns[0])], []
+    for i, x in enumerate(columns):
+        x = np.diff(x, prepend=0) if i == 0 else x
+        head.append((int(x.max(initial=0)).bit_length() + 7) // 8)
+        planes.append(x.astype("<i8").view(np.uint8).reshape(-1, 8).T[: head[-1]].tobytes())
+    return np.array(head, "<i4").tobytes() + pa.compress(b"".join(planes), "zstd", asbytes=True)
+
+
+def _unpack(data: bytes, columns: int) -> list[np.ndarray]:
+    n, *widths = np.frombuffer(data, "<i4", columns + 1).tolist()
+    raw, out, at = np.frombuffer(pa.decompress(data[4 * (columns + 1) :], n * sum(widths), "zstd"), np.uint8), [], 0
+    for i, width in enumerate(widths):
+        x = np.zeros((n, 8), np.uint8)
+        x[:, :width] = raw[at : at + n * width].reshape(width, n).T
+        at += n * width
+        x = x.view("<i8").ravel()
+        out.append(np.cumsum(x) if i == 0 else x)
+    return out
+
+
+def _deal(kind: int, key: np.ndarray, code: np.ndarray, other: np.ndarray, parts: int) -> pa.RecordBatch:
+    """(part, kind, data): the codes and what goes with them, packed for each part that their keys fall into."""
+    to = (mix(key.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)
+    order = np.lexsort((code, to))
+    to, code, other = to[order], code[order], other[order]
+    here, first = np.unique(to, return_index=True)
+    stop = np.append(first, len(to))[1:]
+    data = [_pack(code[a:b], other[a:b]) for a, b in zip(first.tolist(), stop.tolist(), strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(here.astype(np.int32)), pa.array(np.full(len(here), kind, np.int8)), pa.array(data, pa.binary())], names=["part", "kind", "data"])
+
+
+_DEALT = "part int, kind byte, data binary"
+
+
+def _parts(df: DataFrame) -> int:
+    return max(1, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
+def _summed(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """The codes of all lists, sorted, each with the sum of its numbers."""
+    if not held:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    code, inverse = np.unique(np.concatenate([p[0] for p in held]), return_inverse=True)
+    return code, np.bincount(inverse, np.concatenate([p[1] for p in held]), len(code)).astype(np.int64)
+
+
+def _values(values: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The values at places, 0 at place -1."""
+    return np.where(at >= 0, values[at], 0) if len(values) else np.zeros(len(at))
+
+
 @dataclass
 class Model:
     classes: np.ndarray  # of each key, the end's key last
@@ -176,21 +239,19 @@ class Model:
         return np.where(at >= 0, self.counts[at], 0) if len(self.counts) else np.zeros(len(h), np.int64)
 
     def context_factor(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> np.ndarray:
-        """log10 of what the context makes of each word's probability within its class, in groups that are here."""
+        """log10 of what the context makes of each word's probability within its class, by the weights that are here."""
         return self.context_factors(h, c, doc)[0]
 
-    def context_factors(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """The same, and the tokens whose groups aren't here, with the hashes of their pairs and groups."""
+    def context_factors(self, h: np.ndarray, c: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The same, and the tokens whose group has weights, but whose pair has none here, with their codes."""
         out = np.zeros(len(h))
         word, context = self.vocabulary.contexts(h, doc)
         some = np.flatnonzero((word >= 0) & (context >= 0))
-        of, pair = _hashed(context[some] << 5 | c[some]), _hashed(_pair(context[some], word[some]))
-        group = self.groups(of) if len(self.norm) else np.full(len(some), -1)
-        here = group >= 0
-        if here.any():
-            at = self.pairs(pair[here])
-            out[some[here]] = np.where(at >= 0, self.weight[at], 0) - self.norm[group[here]]
-        return out, some[~here], pair[~here], of[~here]
+        context, c, word = context[some], c[some], word[some]
+        group, pair = self.groups(_hashed(context << 5 | c)), self.pairs(_hashed(_pair(context, word)))
+        out[some] = _values(self.weight, pair) - _values(self.norm, group)
+        rest = (group >= 0) & (pair < 0)
+        return out, some[rest], _code(context[rest], c[rest], word[rest])
 
 
 def _level(c: Column) -> Column:
@@ -277,98 +338,115 @@ def cluster(beside: np.ndarray, seed: int = 3) -> np.ndarray:
 
 
 def contexts(train: DataFrame, classes: np.ndarray, vocabulary: Vocabulary) -> DataFrame:
-    """(kind, code, n) over all training tokens: kind 0, histories with classes; kind 1, contexts with
-    classes of words of the vocabulary; kind 2, pairs that occur ``LEAST`` times or more."""
+    """(kind, code, v, n) over all training tokens: kind 0, counts of histories with classes; kind 1, groups of a context and a class
+    with their normalizers and counts; kind 2, pairs that occur ``LEAST`` times or more, with their weights and counts.
+
+    Counts of pairs are dealt out by group in packed blocks, so the task that sums them has whole groups and trains their weights."""
+    parts = _parts(train)
+    within = np.bincount(vocabulary.classes, vocabulary.counts, CLASSES)
+    share = vocabulary.counts / np.maximum(within[vocabulary.classes], 1)
     shared = train.sparkSession.sparkContext.broadcast((classes, vocabulary))
+    shares = train.sparkSession.sparkContext.broadcast(share)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes, vocabulary = shared.value
         cells = np.zeros(CLASSES**4, np.int64)
-        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {1: [], 2: []}
-
-        def merged(kind: int) -> tuple[np.ndarray, np.ndarray]:
-            code, inverse = np.unique(np.concatenate([p[0] for p in held[kind]]), return_inverse=True)
-            return code, np.bincount(inverse, np.concatenate([p[1] for p in held[kind]]), len(code)).astype(np.int64)
-
-        def out(kind: int, code: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int8)), pa.array(code), pa.array(n)], names=["kind", "code", "n"])
-
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+        out = lambda code, n: _deal(2, code >> _WORD, code, n, parts)
         for b in slices(batches, "text", _STEP):
             h, key, doc = tokens(words(b.column(0), NONSPACE))
             c = classes[key]
             cells += np.bincount(histories(c, doc) * CLASSES + c, minlength=len(cells))
             word, context = vocabulary.contexts(h, doc)
             some = (word >= 0) & (context >= 0)
-            for kind, code in ((1, context[some] << 5 | c[some]), (2, _pair(context[some], word[some]))):
-                held[kind].append(np.unique(code, return_counts=True))
-                if sum(len(p[0]) for p in held[kind]) > 2_000_000:
-                    held[kind] = [merged(kind)]
-                    if len(held[kind][0][0]) > 1_000_000:
-                        yield out(kind, *held[kind].pop())
-        for kind in held:
-            if held[kind]:
-                yield out(kind, *merged(kind))
+            held.append(np.unique(_code(context[some], c[some], word[some]), return_counts=True))
+            if sum(len(p[0]) for p in held) > 2 * _BLOCK:
+                held = [_summed(held)]
+                if len(held[0][0]) > _BLOCK:
+                    yield out(*held.pop())
+        if held:
+            yield out(*_summed(held))
         at = np.flatnonzero(cells)
-        yield out(0, at, cells[at])
-
-    raw = train.select("text").mapInArrow(run, "kind byte, code long, n long").groupBy("kind", "code").agg(F.sum("n").alias("n"))
-    return stored(raw.filter(f"kind < 2 or n >= {LEAST}"), "contexts")
-
+        yield _deal(0, at // CLASSES, at, cells[at], parts)
 
-def train_words(made: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(pair, h, v, n) of all kept pairs, with their weights, and of all groups of a context and a class, with their
-    normalizers; n is the group's count.  Gradient steps go for all groups of a task at once; a group's
-    expected counts come from its own normalizer."""
-    spark = made.sparkSession
-    within = np.bincount(vocabulary.classes, vocabulary.counts, CLASSES)
-    share = vocabulary.counts / np.maximum(within[vocabulary.classes], 1)
-    shared = spark.sparkContext.broadcast((share, vocabulary.classes))
-    kept = made.filter("kind = 2")
-
-    def grouped(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[np.ndarray, np.ndarray]]] = {0: [], 2: []}
         for b in batches:
-            code = b.column(0).to_numpy()
-            word = code & ((1 << 20) - 1)
-            yield pa.RecordBatch.from_arrays([pa.array((code >> 20) << 5 | shared.value[1][word]), pa.array(word), b.column(1)], names=["group", "word", "n"])
-
-    kind = "group long, word long, n long"
-    pairs = kept.select("code", "n").mapInArrow(grouped, kind)
-    groups = pairs.select("group").distinct()
-    totals = made.filter("kind = 1").select(F.col("code").alias("group"), F.lit(-1).cast("long").alias("word"), "n").join(groups, "group", "left_semi")
-    parts = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = pairs.unionByName(totals).repartition(parts, "group").sortWithinPartitions("group", "word")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = [[c.to_numpy() for c in b.columns] for b in batches if b.num_rows]
-        if not rows:
-            return
-        group, word, n = (np.concatenate([r[i] for r in rows]) for i in range(3))
-        of = np.cumsum(word < 0) - 1
-        pair = word >= 0
-        all_, of, w, n_ = n[~pair], of[pair], word[pair], n[pair]
-        q, weight = shared.value[0][w], np.zeros(len(w))
-        norm = lambda: 1 + np.bincount(of, q * np.expm1(weight), len(all_))
-        for _ in range(WORD_STEPS):
-            expected = all_[of] * q * np.exp(weight) / norm()[of]
-            weight += np.clip((n_ - expected - weight / WORD_PRIOR) / (np.maximum(n_, expected) + 1 / WORD_PRIOR), -1, 1)
-        code = np.concatenate([_pair(group[pair] >> 5, w), group[~pair]])
-        of_all = np.concatenate([all_[of], all_])
-        yield pa.RecordBatch.from_arrays([pa.array(np.repeat([True, False], [len(w), len(all_)])), pa.array(_hashed(code).view(np.int64)), pa.array(np.concatenate([weight, np.log(norm())]) / np.log(10)), pa.array(of_all)], names=["pair", "h", "v", "n"])
-
-    return stored(dealt, "weights", run, "pair boolean, h long, v double, n long")
+            for kind, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                held[kind].append(tuple(_unpack(data, 2)))
+        out = lambda kind, code, v, n: pa.RecordBatch.from_arrays([pa.array(np.full(len(code), kind, np.int8)), pa.array(code), pa.array(v.astype(np.float32)), pa.array(n)], names=["kind", "code", "v", "n"])
+        code, n = _summed(held.pop(0))
+        yield out(0, code, np.zeros(len(code)), n)
+        code, n = _summed(held.pop(2))
+        group, of = np.unique(code >> _WORD, return_inverse=True)
+        total, kept = np.bincount(of, n, len(group)).astype(np.int64), n >= LEAST
+        code, n, of = code[kept], n[kept], of[kept]
+        some, of = np.unique(of, return_inverse=True)
+        group, total = group[some], total[some]
+        weight, norm = train_words(shares.value[(code & ((1 << _WORD) - 1)) - 1], of, n, total)
+        yield out(1, group << _WORD, norm / np.log(10), total)
+        yield out(2, code, weight / np.log(10), n)
+
+    raw = train.select("text").mapInArrow(run, _DEALT)
+    return stored(raw.repartitionById(parts, F.col("part")), "weights", summed, "kind byte, code long, v float, n long")
+
+
+def train_words(share: np.ndarray, of: np.ndarray, n: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(weights of pairs, logarithms of their groups' normalizers) from the words' shares of their classes, the
+    pairs' groups and counts, and the groups' counts.  Gradient steps go for all groups at once; a group's
+    expected counts come from its own normalizer."""
+    weight = np.zeros(len(share))
+    norm = lambda: 1 + np.bincount(of, share * np.expm1(weight), len(total))
+    for _ in range(WORD_STEPS):
+        expected = total[of] * share * np.exp(weight) / norm()[of]
+        weight += np.clip((n - expected - weight / WORD_PRIOR) / (np.maximum(n, expected) + 1 / WORD_PRIOR), -1, 1)
+    return weight, np.log(norm())
 
 
 def _lookups(weights: DataFrame) -> tuple[Lookup, np.ndarray, Lookup, np.ndarray]:
     """(pairs, their weights, groups, their normalizers) as tasks look them up."""
-    table, out = weights.select("pair", "h", F.col("v").cast("float").alias("v")).toArrow(), []
-    for is_pair in (True, False):
-        part = table.filter(pc.equal(table.column(0), is_pair))
-        h = part.column(1).to_numpy().view(np.uint64)
+    table, out = weights.select("kind", "code", "v").toArrow(), []
+    for kind in (2, 1):
+        part = table.filter(pc.equal(table.column(0), kind))
+        code = part.column(1).to_numpy()
+        group = code >> _WORD
+        h = _hashed(_pair(group >> 5, (code & ((1 << _WORD) - 1)) - 1) if kind == 2 else group)
         order = np.argsort(h)
         out += [Lookup(h[order]), part.column(2).to_numpy()[order]]
     return tuple(out)
 
 
+def _beyond(weights: DataFrame, packed: DataFrame, parts: int) -> DataFrame:
+    """(row, x): sums of the weights of packed tokens, each token meeting its pair in the part of its group."""
+
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            code = b.column(0).to_numpy()
+            yield _deal(0, code >> _WORD, code, b.column(1).to_numpy().view(np.uint32).astype(np.int64), parts)
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, code = [], None
+        for b in batches:
+            for kind, data in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if kind == 0:  # weights come first
+                    held.append(_unpack(data, 2))
+                    continue
+                if code is None:
+                    code, bits = (np.concatenate([np.zeros(0, np.int64), *(p[i] for p in held)]) for i in range(2))
+                    order = np.argsort(code)
+                    code, weight = code[order], bits[order].astype(np.uint32).view(np.float32)
+                    held.clear()
+                want, row = _unpack(data, 2)
+                at = np.searchsorted(code, want)
+                hit = np.flatnonzero(at < len(code))
+                hit = hit[code[at[hit]] == want[hit]]
+                rows, of = np.unique(row[hit], return_inverse=True)
+                yield pa.RecordBatch.from_arrays([pa.array(rows), pa.array(np.bincount(of, weight[at[hit]], len(rows)).astype(float))], names=["row", "x"])
+
+    both = weights.select("code", "v").mapInArrow(dealt, _DEALT).union(packed)
+    return both.repartitionById(parts, F.col("part")).sortWithinPartitions("kind").mapInArrow(meet, "row long, x double").groupBy("row").agg(F.sum("x").alias("x"))
+
+
 def train_classes(cells: DataFrame) -> np.ndarray:
     """log P(class | history) by gradient steps over the distributed counts of contexts."""
     sc = cells.sparkSession.sparkContext
@@ -425,7 +503,7 @@ def fit(train: DataFrame) -> tuple[Model, DataFrame]:
 
 
 def learn_from(train: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
-    """The model, the counts of all words, and the weights and normalizers that the model doesn't hold, if there are any."""
+    """The model, the counts of all words, and the weights of pairs that the model doesn't hold, if there are any."""
     table, beside = count(train)
     classes = cluster(beside)
     find, counts, keys = _words(table, _commonest(table, "c", VOCABULARY, WORTH))
@@ -434,13 +512,11 @@ def learn_from(train: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
     made = contexts(train, classes, vocabulary)
     cells = made.filter("kind = 0").select((F.col("code") / CLASSES).cast("long").alias("history"), (F.col("code") % CLASSES).alias("class"), "n")
     log_class = train_classes(cells)
-    weights = train_words(made, vocabulary)
-    forget(made)
-    level = _commonest(weights.filter("pair"), "n", FEATURES)  # a group has a pair or more
-    pairs, weight, groups, norm = _lookups(weights.filter(_level(F.col("n")) >= level))
-    others = weights.filter(_level(F.col("n")) < level)
+    level = _commonest(made.filter("kind = 2"), "n", FEATURES)
+    pairs, weight, groups, norm = _lookups(made.filter((F.col("kind") == 1) | (F.col("kind") == 2) & (_level(F.col("n")) >= level)))
+    others = made.filter((F.col("kind") == 2) & (_level(F.col("n")) < level))
     if others.isEmpty():
-        forget(weights)
+        forget(made)
         others = None
     by_key = table.groupBy("key").agg(F.sum("c").alias("n"), F.sum((F.col("c") == 1).cast("long")).alias("once"), F.count("*").alias("words")).collect()
     n, once, kinds = np.zeros(CLASSES), np.zeros(CLASSES), np.zeros(CLASSES)
@@ -464,18 +540,28 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
     docs = documents.select(F.col("doc_id").cast("long"), F.col("text").cast("string"), F.coalesce(learn, F.lit(False)).alias("learn"))
     model, table, others = learn_from(docs.filter("learn").select("text"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    elsewhere = None if others is None else [bloom(others.filter(kind), "h") for kind in ("pair", "not pair")]
+    elsewhere: Callable[[np.ndarray], np.ndarray] | None = None if others is None else bloom(others, "code")
+    parts = _parts(docs)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         scale = np.log10(m.total + 0.1 * (m.distinct + 1))
+        held: list[tuple[np.ndarray, np.ndarray]] = []  # codes and rows of tokens whose pair has a weight elsewhere
+        schema = None
+
+        def dealt() -> pa.RecordBatch:
+            code, row = (np.concatenate([p[i] for p in held]) for i in range(2))
+            held.clear()
+            got = _deal(1, code >> _WORD, code, row, parts)
+            return pa.RecordBatch.from_arrays([*(pa.nulls(got.num_rows, t) for t in schema.types[:-3]), *got.columns], schema=schema)
+
         for b in slices(batches, "text"):
             texts = b.num_rows
             h, key, doc = tokens(words(b.column(1), NONSPACE))
             c = m.classes[key]
             history = histories(c, doc)
             seen = m.frequent(h)
-            factor, out, pair, group = m.context_factors(h, c, doc)
+            factor, out, code = m.context_factors(h, c, doc)
             known = m.log_class[history, c].astype(float) + m.log_share[c] + factor
             often = seen > 0
             add = lambda x, at: np.bincount(doc[at], x[at], texts).astype(float)  # noqa: E731  integers where nothing is added
@@ -490,20 +576,22 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
             sums = lambda x: np.add.reduceat(x, first) if len(first) else x[:0]
             offsets = pa.array(np.searchsorted(doc[order][first], np.arange(texts + 1)), pa.int32())
             many = lambda x: pa.ListArray.from_arrays(offsets, pa.array(x))
-            if elsewhere is None:
-                lists = [pa.nulls(texts, pa.list_(pa.int64()))] * 2
-            else:
-                lists = []
-                for test, x in zip(elsewhere, (pair.view(np.int64), group.view(np.int64)), strict=True):
-                    ok = test(x)
-                    lists.append(pa.ListArray.from_arrays(pa.array(np.searchsorted(doc[out[ok]], np.arange(texts + 1)), pa.int32()), pa.array(x[ok])))
-            yield pa.RecordBatch.from_arrays(
-                [b.column(0), b.column(2), b.column(3), pa.array(np.bincount(doc, minlength=texts)), pa.array(np.bincount(doc[often], minlength=texts)), pa.array(add(base, often)), pa.array(add(value, often)), many(h[order][first].view(np.int64)), many(sums(np.ones(len(order), np.int64))), many(sums(known[order])), many(sums(m.log_unseen[history[order]].astype(float))), *lists],
-                names=["doc_id", "learn", "row", "n_tokens", "n_known", "base", "value", "h", "n", "known", "unseen", "pairs", "groups"],
+            if elsewhere is not None and (ok := np.flatnonzero(elsewhere(code))).size:
+                held.append((code[ok], b.column(3).to_numpy()[doc[out[ok]]]))
+            got = pa.RecordBatch.from_arrays(
+                [b.column(0), b.column(2), b.column(3), pa.array(np.bincount(doc, minlength=texts)), pa.array(np.bincount(doc[often], minlength=texts)), pa.array(add(base, often)), pa.array(add(value, often)), many(h[order][first].view(np.int64)), many(sums(np.ones(len(order), np.int64))), many(sums(known[order])), many(sums(m.log_unseen[history[order]].astype(float))), pa.nulls(texts, pa.int32()), pa.nulls(texts, pa.int8()), pa.nulls(texts, pa.binary())],
+                names=["doc_id", "learn", "row", "n_tokens", "n_known", "base", "value", "h", "n", "known", "unseen", "part", "kind", "data"],
             )
-
-    kinds = "doc_id long, learn boolean, row long, n_tokens long, n_known long, base double, value double, h array<long>, n array<long>, known array<double>, unseen array<double>, pairs array<long>, groups array<long>"
-    part = stored(docs.withColumn("row", F.monotonically_increasing_id()), "scores", run, kinds)
+            schema = got.schema
+            yield got
+            if sum(len(p[0]) for p in held) > _BLOCK:
+                yield dealt()
+        if held:
+            yield dealt()
+
+    kinds = "doc_id long, learn boolean, row long, n_tokens long, n_known long, base double, value double, h array<long>, n array<long>, known array<double>, unseen array<double>"
+    made = stored(docs.withColumn("row", F.monotonically_increasing_id()), "scores", run, f"{kinds}, {_DEALT}")  # rows of documents, and packed tokens
+    part = made.filter("kind is null")
     rare = part.select("row", F.explode(F.arrays_zip("h", "n", "known", "unseen")).alias("x")).select("row", "x.*")
     if len(model.counts) < model.distinct:  # words beyond the frequent ones are looked up in a join
         rare = rare.join(table.filter(_level(F.col("c")) < model.least).select("h", "c"), "h", "left")
@@ -515,10 +603,8 @@ def score(documents: DataFrame, learn: Column) -> DataFrame:
         F.sum(F.col("n") * (F.log10(F.coalesce("c", F.lit(0)) + F.lit(0.1)) - F.lit(scale))).alias("b"),
         F.sum(F.when(F.col("c").isNull(), F.col("unseen")).otherwise(F.col("known") + F.col("n") * F.log10("c"))).alias("v"),
     )
-    if others is not None:  # weights of pairs and normalizers of groups beyond the commonest are looked up in a join
-        use = part.select("row", F.explode("pairs").alias("h"), F.lit(True).alias("pair")).union(part.select("row", F.explode("groups").alias("h"), F.lit(False).alias("pair")))
-        use = use.join(others.select("pair", "h", F.when(F.col("pair"), F.col("v")).otherwise(-F.col("v")).alias("x")), ["pair", "h"])
-        found = found.join(use.groupBy("row").agg(F.sum("x").alias("x")), "row", "full")
+    if others is not None:
+        found = found.join(_beyond(others, made.filter("kind is not null").select("part", "kind", "data"), parts), "row", "full")
     else:
         found = found.withColumn("x", F.lit(0.0))
     zero = lambda name, kind: F.coalesce(name, F.lit(0).cast(kind))

@@ -6,6 +6,7 @@ import os
 import re
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -392,6 +393,29 @@ def test_weights_beyond_the_commonest_groups_count(spark, monkeypatch):
             assert a[:5] == b[:5] and np.allclose(a[5:], b[5:], rtol=1e-5, atol=1e-5)
 
 
+def test_tokens_travel_packed(spark, monkeypatch):
+    """Packed blocks give back what they hold; a token whose weight is looked up in a join takes few bytes of disk."""
+    rng = np.random.default_rng(5)
+    for n in (0, 1, 5000):
+        columns = [np.sort(rng.integers(0, 1 << 42, n)), rng.integers(0, 1 << 50, n), np.zeros(n, np.int64)]
+        assert all((a == b).all() for a, b in zip(columns, maxent._unpack(maxent._pack(*columns), 3), strict=True))
+    monkeypatch.setattr(maxent, "CONTEXT", 4)
+    names, sizes, stored = [f"{a}{b}" for a in "abcdefghij" for b in "klmnopqrst"], [], maxent.stored
+
+    def measured(df, name, *rest):
+        out = stored(df, name, *rest)
+        if name == "scores":
+            sizes.append(sum(p.stat().st_size for p in Path(out._stored_at.removeprefix("file:")).glob("*.parquet")))
+        return out
+
+    monkeypatch.setattr(maxent, "stored", measured)
+    df = documents(spark, [(i, " ".join(rng.choice(names, 200))) for i in range(500)])
+    for most in (1 << 21, 0):
+        monkeypatch.setattr(maxent, "FEATURES", most)
+        maxent.score(df, F.lit(True))
+    assert 0 < sizes[1] - sizes[0] < 4 * 500 * 200
+
+
 # 6 language identification
 
 

@@ -40,11 +40,10 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from phenolith.llm.kernel import NONSPACE, Words, mix, slices, words
+from phenolith.llm.kernel import NONSPACE, Words, mix, release, slices, words
 from phenolith.llm.runtime import forget, stored
 from phenolith.llm.sigtree import _bloom as bloom
 
@@ -111,8 +110,10 @@ class Lookup:
     def __init__(self, keys: np.ndarray):
         self.keys = keys
         self.bits = int(np.clip(len(keys).bit_length(), 1, 22))
-        edge = np.arange(1 << self.bits, dtype=np.uint64) << np.uint64(64 - self.bits)
-        self.start = np.append(np.searchsorted(keys, edge), len(keys)).astype(np.int32)
+        self.start = np.full((1 << self.bits) + 1, len(keys), np.int32)
+        for a in range(0, 1 << self.bits, 1 << 16):  # in pieces: the driver's memory is small
+            edge = np.arange(a, min(a + (1 << 16), 1 << self.bits), dtype=np.uint64) << np.uint64(64 - self.bits)
+            self.start[a : a + len(edge)] = np.searchsorted(keys, edge)
 
     def __call__(self, h: np.ndarray) -> np.ndarray:
         """The place of each key, -1 for those that aren't there."""
@@ -405,14 +406,17 @@ def train_words(share: np.ndarray, of: np.ndarray, n: np.ndarray, total: np.ndar
 
 def _lookups(weights: DataFrame) -> tuple[Lookup, np.ndarray, Lookup, np.ndarray]:
     """(pairs, their weights, groups, their normalizers) as tasks look them up."""
-    table, out = weights.select("kind", "code", "v").toArrow(), []
+    out = []
     for kind in (2, 1):
-        part = table.filter(pc.equal(table.column(0), kind))
-        code = part.column(1).to_numpy()
+        table = weights.filter(F.col("kind") == kind).select("code", "v").toArrow()
+        code, v = (c.to_numpy() for c in table.columns)
+        del table
         group = code >> _WORD
         h = _hashed(_pair(group >> 5, (code & ((1 << _WORD) - 1)) - 1) if kind == 2 else group)
         order = np.argsort(h)
-        out += [Lookup(h[order]), part.column(2).to_numpy()[order]]
+        out += [Lookup(h[order]), v[order]]
+        del code, v, group, h, order
+        release()
     return tuple(out)
 
 
@@ -528,6 +532,7 @@ def learn_from(train: DataFrame) -> tuple[Model, DataFrame, DataFrame | None]:
     unseen[CLASSES - 1] = 1e-12 if n[CLASSES - 1] else 1.0
     least = _commonest(table, "c", FREQUENT)
     often, counts, _ = _words(table, least)
+    release()
     p = np.exp(log_class)
     with np.errstate(divide="ignore"):
         share = np.where(n > 0, np.log10((1 - unseen) / np.maximum(n, 1)), 0.0)

@@ -451,6 +451,16 @@ def _beyond(weights: DataFrame, packed: DataFrame, parts: int) -> DataFrame:
     return both.repartitionById(parts, F.col("part")).sortWithinPartitions("kind").mapInArrow(meet, "row long, x double").groupBy("row").agg(F.sum("x").alias("x"))
 
 
+def step(weight: np.ndarray, observed: np.ndarray, expected: np.ndarray) -> np.ndarray:
+    """A gradient step of class weights under their prior, each by its own curvature.
+
+    What pulls a weight up and what pulls it down are counts and the prior; their difference is divided by the larger.
+    So no weight moves by more than ``RATE``, and, with 1 / ``RATE`` features a history, by less than iterative scaling
+    would move it: no step makes the training texts less likely under the prior, however large the counts are."""
+    up, down = observed + np.maximum(-weight, 0) / PRIOR, expected + np.maximum(weight, 0) / PRIOR
+    return RATE * (up - down) / (np.maximum(up, down) + 1 / PRIOR)
+
+
 def train_classes(cells: DataFrame) -> np.ndarray:
     """log P(class | history) by gradient steps over the distributed counts of contexts."""
     sc = cells.sparkSession.sparkContext
@@ -485,9 +495,8 @@ def train_classes(cells: DataFrame) -> np.ndarray:
 
     try:
         observed = summed(None)
-        for _ in range(STEPS):  # each weight by its own curvature, under a normal prior
-            expected = summed(weight)
-            weight = weight + RATE * (observed - expected - weight / PRIOR) / (expected + 1 / PRIOR)
+        for _ in range(STEPS):
+            weight = weight + step(weight, observed, summed(weight))
     finally:
         forget(parts)
     return _log_softmax(weight[features].sum(1))

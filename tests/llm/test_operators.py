@@ -329,6 +329,22 @@ def test_language_model(spark, monkeypatch):
     assert maxent.score(df.limit(0), learn).count() == 0
 
 
+@pytest.mark.parametrize("times", [1, 1000, 10**6])
+def test_class_weights_stay_bounded(spark, times):
+    """However often texts occur, class weights fit better than the classes' shares do, for counts that were held out too."""
+    rng = np.random.default_rng(4)
+    follow = rng.dirichlet(np.full(maxent.CLASSES, 0.05), maxent.CLASSES)
+    counts = [Counter(), Counter()]
+    for k in range(8000):
+        history = int(rng.integers(0, maxent.CLASSES**3))
+        counts[k % 2][history, int(rng.choice(maxent.CLASSES, p=follow[history // maxent.CLASSES**2]))] += 1
+    log_class = maxent.train_classes(spark.createDataFrame([(h, c, n * times) for (h, c), n in counts[0].items()], "history long, class long, n long"))
+    share = np.bincount([c for _, c in counts[0]], list(counts[0].values()), maxent.CLASSES) + 0.5
+    assert np.allclose(np.exp(log_class).sum(1), 1) and log_class.min() > -60
+    for part, most in zip(counts, (0.8, 1), strict=True):
+        assert sum(n * log_class[h, c] for (h, c), n in part.items()) > most * sum(n * np.log(share[c] / share.sum()) for (_, c), n in part.items())
+
+
 def test_probabilities_add_up(spark, monkeypatch):
     """After any history the training words and the unseen symbol have probability 1 together, pairs with weights or not."""
     monkeypatch.setattr(maxent, "WORTH", 2)

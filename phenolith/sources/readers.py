@@ -7,13 +7,16 @@ import contextlib
 import csv
 import io
 import os
+import shutil
 import sqlite3
 import tempfile
+import uuid
 from collections.abc import Iterator, Mapping, Sequence
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.fs as pafs
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -354,26 +357,72 @@ def collated(folder: str, plate: str, tables: Sequence[str] = ("Image", "Cells",
 _DECLARED = {T.LongType: "INTEGER", T.IntegerType: "INTEGER", T.ShortType: "INTEGER", T.ByteType: "INTEGER", T.BooleanType: "INTEGER", T.DoubleType: "REAL", T.FloatType: "REAL"}
 
 
+def _sqlite(path: str) -> sqlite3.Connection:
+    """A new file that one task writes; it is put in place, or read, only when it is whole, so it needs no journal."""
+    db = sqlite3.connect(path, isolation_level=None)
+    for setting in ("journal_mode = OFF", "synchronous = OFF", "locking_mode = EXCLUSIVE"):
+        db.execute(f"PRAGMA {setting}")
+    return db
+
+
 def write_sqlite(tables: Mapping[str, DataFrame], output_file: str, indexes: Sequence[tuple[str, Sequence[str]]] = ()) -> str:
-    """A SQLite file of the tables, with an index for each (table, columns).
+    """A SQLite file of the tables, with an index for each (table, columns), in a folder that driver and executors share.
 
-    One file has one writer: the driver takes a partition at a time and puts the file in place when it is whole.
+    Each task writes its rows into a file of its own; one task copies these files' tables, in order of their partitions, into
+    one file, indexes it and puts it in place when it is whole.  The driver receives the names of files only.
     """
-    os.makedirs(os.path.dirname(os.path.abspath(output_file)), exist_ok=True)
-    part = f"{output_file}.part"
-    if os.path.exists(part):
-        os.unlink(part)
-    with contextlib.closing(sqlite3.connect(part)) as db:
+    output_file = os.path.abspath(output_file)
+    folder = f"{output_file}.{uuid.uuid4().hex}"
+    os.makedirs(folder)
+    made: list[tuple[str, str, list[str]]] = []
+
+    def pieces(create: str, insert: str):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            task = TaskContext.get()
+            file = f"{folder}/{task.partitionId():06d}-{task.taskAttemptId()}"
+            db = None
+            for b in batches:
+                if b.num_rows:
+                    if db is None:
+                        db = _sqlite(file)
+                        db.execute(create)
+                        db.execute("BEGIN")
+                    db.executemany(insert, zip(*(c.to_pylist() for c in b.columns), strict=True))
+            if db is not None:
+                db.execute("COMMIT")
+                db.close()
+                yield pa.RecordBatch.from_arrays([pa.array([file])], names=["file"])
+
+        return run
+
+    def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            part = f"{folder}/whole-{TaskContext.get().taskAttemptId()}"
+            with contextlib.closing(_sqlite(part)) as db:
+                for name, create, files in made:
+                    db.execute(create)
+                    for file in files:
+                        db.execute("ATTACH ? AS piece", (file,))
+                        db.execute(f'INSERT INTO main."{name}" SELECT * FROM piece."{name}"')
+                        db.execute("DETACH piece")
+                for i, (name, columns) in enumerate(indexes):
+                    listed = ", ".join(f'"{c}"' for c in columns)
+                    db.execute(f'CREATE INDEX "{name}_index_{i}" ON "{name}" ({listed})')
+            os.replace(part, output_file)
+            yield b
+
+    try:
         for name, df in tables.items():
             plain = df.select(*[F.col(f"`{f.name}`") if type(f.dataType) in _DECLARED else F.col(f"`{f.name}`").cast("string").alias(f.name) for f in df.schema])
             columns = ", ".join(f'"{f.name}" {_DECLARED.get(type(f.dataType), "TEXT")}' for f in df.schema)
-            db.execute(f'CREATE TABLE "{name}" ({columns})')
-            db.executemany(f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(df.columns))})', (tuple(r) for r in plain.toLocalIterator()))
-        for i, (name, columns) in enumerate(indexes):
-            listed = ", ".join(f'"{c}"' for c in columns)
-            db.execute(f'CREATE INDEX "{name}_index_{i}" ON "{name}" ({listed})')
-        db.commit()
-    os.replace(part, output_file)
+            create = f'CREATE TABLE "{name}" ({columns})'
+            files = plain.mapInArrow(pieces(create, f'INSERT INTO "{name}" VALUES ({", ".join("?" * len(df.columns))})'), "file string").collect()
+            made.append((name, create, sorted(r.file for r in files)))
+        session().range(0, 1, 1, 1).mapInArrow(whole, "id long").collect()
+    finally:
+        shutil.rmtree(folder, ignore_errors=True)
+    if not os.path.exists(output_file):
+        raise RuntimeError(f"{output_file} isn't in a folder that driver and executors share")
     return output_file
 
 

@@ -1,6 +1,7 @@
 """Sources, sinks, single cells, locations, deep profiles, the command line and plans."""
 
 import io
+import os
 import sqlite3
 
 import numpy as np
@@ -15,7 +16,7 @@ from phenolith.operators.locations import add_cell_locations
 from phenolith.operators.single_cell import LINKS, SingleCells, check_links
 from phenolith.sources.anndata import is_anndata
 from phenolith.sources.blocklist import Blocklist, blocked
-from phenolith.sources.readers import fetched, infer_delimiter, load_npz, load_npz_features, load_npz_locations, load_platemap, load_profiles, load_warehouse, read_sqlite, sqlite_count
+from phenolith.sources.readers import fetched, infer_delimiter, load_npz, load_npz_features, load_npz_locations, load_platemap, load_profiles, load_warehouse, read_sqlite, sqlite_count, write_sqlite
 from phenolith.sources.sinks import write, write_gct
 
 
@@ -254,3 +255,20 @@ def test_stream(spark, wells, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.table("means").count() == 3
+
+
+def test_sqlite_written_by_tasks(spark, tmp_path, monkeypatch):
+    """Rows go into the file without passing through the driver, in the order of their partitions, and nothing else is left."""
+    df = spark.range(0, 30_000, 1, 7).selectExpr("id", "id % 3 = 0 AS third", "if(id % 5 = 0, null, id / 2D) AS half", "if(id = 8, double('NaN'), 1D) AS one", "concat('ü;\"', id) AS text", "date_add(DATE '2020-01-01', int(id % 9)) AS day")
+    kind, received = type(df), []
+    collect = kind.collect
+    monkeypatch.setattr(kind, "collect", lambda self: received.append(collect(self)) or received[-1])
+    monkeypatch.setattr(kind, "toLocalIterator", lambda self, *_: pytest.fail("rows pass through the driver"))
+    path = write_sqlite({"a": df, "none": df.limit(0)}, str(tmp_path / "out/x.sqlite"), [("a", ["id", "text"])])
+    monkeypatch.undo()
+    assert sum(map(len, received)) <= 20 and os.listdir(tmp_path / "out") == ["x.sqlite"]
+    with sqlite3.connect(path) as db:
+        assert db.execute("SELECT id, third, half, one, text, day FROM a ORDER BY rowid").fetchall() == [(i, int(i % 3 == 0), None if i % 5 == 0 else i / 2, None if i == 8 else 1.0, f'ü;"{i}', f"2020-01-0{i % 9 + 1}") for i in range(30_000)]
+        assert db.execute("SELECT count(*) FROM none").fetchone() == (0,)
+        assert db.execute("SELECT name FROM sqlite_master WHERE type = 'index'").fetchall() == [("a_index_0",)]
+    assert write_sqlite({"a": df.limit(1)}, path) == path and sqlite_count(path, "a") == 1

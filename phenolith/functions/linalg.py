@@ -12,11 +12,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from phenolith.functions.exprs import col, number, unique_name
-from phenolith.functions.ranks import codes, value_counts_of
+from phenolith.functions.exprs import number
+from phenolith.functions.ranks import average_ranks, codes, rank_bounds, value_counts_of
 
 #: Matrices of more columns than this aren't collected.
 WIDEST = 8192
@@ -30,17 +30,16 @@ def matrix(batch: pa.RecordBatch, columns: list[str]) -> np.ndarray:
     return out
 
 
-def _summed(df: DataFrame, columns: list[str], parts, count: int) -> list[np.ndarray]:
-    """Sum over tasks of ``count`` matrices (d x d) that ``parts`` makes of the task's rows."""
+def _summed(df: DataFrame, columns: list[str], parts, count: int, matrices=None) -> list[np.ndarray]:
+    """Sum over tasks of ``count`` matrices (d x d) that ``parts`` makes of the task's rows, or of those that ``matrices`` makes of its batches."""
     d = len(columns)
     if d > WIDEST:
         raise ValueError(f"{d} columns; at most {WIDEST} are correlated")
-    chosen = df.select(*[number(c).alias(c) for c in columns])
+    chosen = df if matrices else df.select(*[number(c).alias(c) for c in columns])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
-        for b in batches:
-            x = matrix(b, columns)
+        for x in matrices(batches) if matrices else (matrix(b, columns) for b in batches):
             for lo in range(0, len(x), 4096):
                 p = parts(x[lo : lo + 4096])
                 total = p if total is None else [a + b for a, b in zip(total, p, strict=True)]
@@ -186,21 +185,29 @@ def pearson(df: DataFrame, columns: list[str], ranks: list[tuple[np.ndarray, np.
     """Correlations over the rows where both columns are present; constant columns give NaN.
     With ``ranks`` (sorted codes of each column's values, and what stands for each), of those."""
     if ranks is None:
-        mean = np.nan_to_num(moments(df, columns)[1])
-    else:
-        mean = np.array([(r[0] + r[-1]) / 2 if len(r) else 0.0 for _, r in ranks])
-        shared = df.sparkSession.sparkContext.broadcast(ranks)
+        return _correlated(df, columns, np.nan_to_num(moments(df, columns)[1]))
+    mean = np.array([(r[0] + r[-1]) / 2 if len(r) else 0.0 for _, r in ranks])
+    shared = df.sparkSession.sparkContext.broadcast(ranks)
+
+    def ranked(x: np.ndarray) -> np.ndarray:
+        known = ~np.isnan(x)
+        for j, (code, rank) in enumerate(shared.value):
+            x[known[:, j], j] = rank[np.searchsorted(code, codes(x[known[:, j], j]))]
+        return x
+
+    return _correlated(df, columns, mean, ranked)
+
+
+def _correlated(df: DataFrame, columns: list[str], mean: np.ndarray, change=lambda x: x, matrices=None) -> np.ndarray:
+    """Correlations of the rows, or what ``change`` makes of them, with what is near each column's mean."""
 
     def parts(x: np.ndarray) -> list[np.ndarray]:
-        if ranks is not None:
-            known = ~np.isnan(x)
-            for j, (code, rank) in enumerate(shared.value):
-                x[known[:, j], j] = rank[np.searchsorted(code, codes(x[known[:, j], j]))]
+        x = change(x)
         have = (~np.isnan(x)).astype(float)
         z = np.where(have > 0, x - mean, 0.0)
         return [have.T @ have, z.T @ have, (z * z).T @ have, z.T @ z]
 
-    n, s, q, p = _summed(df, columns, parts, 4)
+    n, s, q, p = _summed(df, columns, parts, 4, matrices)
     with np.errstate(all="ignore"):
         cov = p - s * s.T / n
         var = q - s * s / n
@@ -212,7 +219,7 @@ def pearson(df: DataFrame, columns: list[str], ranks: list[tuple[np.ndarray, np.
 
 
 #: Distinct values of all columns together up to which their ranks are sent to every task.
-RANKS = 1 << 21
+RANKS = 1 << 18
 
 
 def rank_tables(df: DataFrame, columns: list[str]) -> list[tuple[np.ndarray, np.ndarray]] | None:
@@ -230,36 +237,26 @@ def rank_tables(df: DataFrame, columns: list[str]) -> list[tuple[np.ndarray, np.
     return out
 
 
-def average_ranks(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Columns replaced by their average ranks: one sort of (column, value) pairs, no column in one task.
-
-    Distinct values are counted first; ranks are running counts over range
-    partitions of the distinct values, offset by the partitions before.
-    """
-    key = unique_name("_row", df.columns)
-    rows = df.select(*[number(c).alias(c) for c in columns]).withColumn(key, F.monotonically_increasing_id())
-    long = rows.select(key, F.posexplode(F.array(*[col(c) for c in columns])).alias("_c", "_v")).filter("_v is not null")
-    counts = long.groupBy("_c", "_v").agg(F.count("*").alias("_n"))
-    spread = counts.repartitionByRange(F.col("_c"), F.col("_v")).withColumn("_p", F.spark_partition_id())
-    totals = spread.groupBy("_c", "_p").agg(F.sum("_n").alias("_t"))
-    before = totals.withColumn("_b", F.coalesce(F.sum("_t").over(Window.partitionBy("_c").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("_c", "_p").orderBy("_v").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = spread.withColumn("_in", F.coalesce(F.sum("_n").over(inside), F.lit(0))).join(before.select("_c", "_p", "_b"), ["_c", "_p"]).select("_c", "_v", (F.col("_b") + F.col("_in") + (F.col("_n") + 1) / 2).alias("_r"))
-    return long.join(ranked, ["_c", "_v"]).groupBy(key).pivot("_c", list(range(len(columns)))).agg(F.first("_r")).select(*[F.col(str(i)).alias(c) for i, c in enumerate(columns)])
+def _rank_correlation(df: DataFrame, columns: list[str], n: int) -> np.ndarray:
+    """Correlations of average ranks of ``n`` rows without missing values: ranks of few distinct values are sent to tasks,
+    others are found by ranges of values."""
+    bounds = rank_bounds(df, columns, n, RANKS)
+    if bounds is None and (tables := rank_tables(df, columns)) is not None:
+        return pearson(df, columns, tables)
+    dealt, matrices = average_ranks(df, columns, bounds or rank_bounds(df, columns, n, 0))
+    return _correlated(dealt, columns, np.full(len(columns), (n + 1) / 2), matrices=matrices)
 
 
 def spearman(df: DataFrame, columns: list[str]) -> np.ndarray:
     """Correlations of ranks.  With missing values ranks must be taken anew for each pair."""
     row = df.agg(*[F.count("*")], *[F.count(number(c)) for c in columns]).first()
     if all(v == row[0] for v in row[1:]):
-        tables = rank_tables(df, columns)
-        return pearson(average_ranks(df, columns), columns) if tables is None else pearson(df, columns, tables)
+        return _rank_correlation(df, columns, row[0])
     out = np.eye(len(columns))
     for i, a in enumerate(columns):
         for j in range(i):
             both = df.select(number(a).alias("a"), number(columns[j]).alias("b")).dropna()
-            tables = rank_tables(both, ["a", "b"])
-            out[i, j] = out[j, i] = (pearson(average_ranks(both, ["a", "b"]), ["a", "b"]) if tables is None else pearson(both, ["a", "b"], tables))[0, 1]
+            out[i, j] = out[j, i] = _rank_correlation(both, ["a", "b"], both.count())[0, 1]
     return out
 
 

@@ -9,10 +9,11 @@ the next pass, until each holds one value.  Only counts travel: at most about
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -178,6 +179,167 @@ def value_counts_of(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return _counted(df, None, columns, 0, 64, None).select("j", F.col("lo").alias("code"), "n")
 
 
+#: Values of a block of rows that is ranked together, and of a range of a column's values that a task ranks.
+BLOCK, RANGE = 1 << 20, 1 << 21
+
+
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[list[np.ndarray]]:
+    """The codes of all columns, for a block of rows at a time."""
+    held, rows = [], 0
+    for b in batches:
+        most = max(1, BLOCK // b.num_columns)
+        for lo in range(0, b.num_rows, most):
+            held.append(b.slice(lo, most))
+            rows += held[-1].num_rows
+            if rows >= most:
+                yield [codes(np.concatenate([h.column(j).to_numpy(zero_copy_only=False) for h in held])) for j in range(b.num_columns)]
+                held, rows = [], 0
+    if held:
+        yield [codes(np.concatenate([h.column(j).to_numpy(zero_copy_only=False) for h in held])) for j in range(held[0].num_columns)]
+
+
+def _even(code: np.ndarray, weight: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """The codes at shares of the whole weight."""
+    order = np.argsort(code)
+    below = np.cumsum(weight[order])
+    return code[order][np.minimum(np.searchsorted(below, share * below[-1]), len(code) - 1)]
+
+
+def rank_bounds(df: DataFrame, columns: Sequence[str], n: int, distinct: int) -> list[np.ndarray] | None:
+    """For each column of ``n`` values bounds of ranges that hold about equally many distinct values, ``RANGE`` or fewer.
+    None if no task meets more than ``distinct`` distinct values of all columns together."""
+    ranges = max(-(-n // RANGE), -(-2 * df.sparkSession.sparkContext.defaultParallelism // len(columns)))
+    picks = 4 * ranges
+    share = (np.arange(picks) + 0.5) / picks
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: list[np.ndarray] | None = [np.zeros(0, np.uint64)] * len(columns)
+        picked: list[list[tuple[np.ndarray, np.ndarray]]] = [[] for _ in columns]
+        for block in _blocks(batches):
+            own = [np.unique(c) for c in block]
+            for p, u in zip(picked, own, strict=True):
+                p.append((u[(share * len(u)).astype(np.int64)], np.full(picks, len(u) / picks)))
+            if seen is not None:
+                seen = [np.union1d(a, b) for a, b in zip(seen, own, strict=True)]
+                if sum(map(len, seen)) > distinct:
+                    seen = None
+        if picked[0]:
+            for j, p in enumerate(picked):
+                code, weight = (np.concatenate([x[i] for x in p]) for i in range(2))
+                yield pa.RecordBatch.from_arrays([pa.array([j], pa.int32()), pa.array([seen is None]), pa.array([weight.sum()]), pa.array([_even(code, weight, share).tobytes()], pa.binary())], names=["j", "many", "weight", "codes"])
+
+    got = df.select(*[number(c).alias(f"_{j}") for j, c in enumerate(columns)]).mapInArrow(run, "j int, many boolean, weight double, codes binary").collect()
+    if distinct and not any(r.many for r in got):
+        return None
+    out, cut = [], np.arange(1, ranges) / ranges
+    for j in range(len(columns)):
+        own = [r for r in got if r.j == j]
+        code = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(r.codes, np.uint64) for r in own)])
+        out.append(np.unique(_even(code, np.repeat([r.weight for r in own], picks), cut)) if len(code) else code)
+    return out
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, compressed, the bytes of one place together."""
+    width = (int(x.max(initial=0)).bit_length() + 7) // 8
+    return np.array([len(x), width], "<i8").tobytes() + pa.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T[:width].tobytes(), "zstd", asbytes=True)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    n, width = np.frombuffer(data, "<i8", 2).tolist()
+    out = np.zeros((n, 8), np.uint8)
+    if n * width:
+        out[:, :width] = np.frombuffer(pa.decompress(data[16:], n * width, "zstd"), np.uint8).reshape(width, n).T
+    return out.view("<u8").ravel()
+
+
+def _steps(x: np.ndarray) -> bytes:
+    return _packed(np.diff(x, prepend=x.dtype.type(0)))
+
+
+_DEALT = "part int, kind byte, block long, j int, r int, data binary, counts binary"
+
+
+def average_ranks(df: DataFrame, columns: Sequence[str], bounds: list[np.ndarray]) -> tuple[DataFrame, Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]]:
+    """(a table, what makes matrices of average ranks of its batches), for columns without missing values.
+
+    A block of rows sends a column's distinct values with their counts to the tasks that rank the ranges which they are in, and where its
+    rows' values are among them along; ranks come back by block.  So values that are often there weigh no more than others, and the
+    rows' order doesn't matter."""
+    d = len(columns)
+    chosen = df.select(*[number(c).alias(f"_{j}") for j, c in enumerate(columns)])
+    ranges = max(len(b) for b in bounds) + 1
+    parts = min(d * ranges, 4096)
+    shared = df.sparkSession.sparkContext.broadcast(bounds)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((d, ranges), np.int64)
+        for block in _blocks(batches):
+            for j, (c, b) in enumerate(zip(block, shared.value, strict=True)):
+                total[j] += np.bincount(np.searchsorted(b, c, "right"), minlength=ranges)
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], names=["n"])
+
+    total = sum((np.frombuffer(r.n, np.int64).reshape(d, ranges) for r in chosen.mapInArrow(count, "n binary").toLocalIterator()), np.zeros((d, ranges), np.int64))
+    before = df.sparkSession.sparkContext.broadcast(np.cumsum(total, 1) - total)
+
+    def records(rows: list[tuple]) -> pa.RecordBatch:
+        kinds = (pa.int32(), pa.int8(), pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], kind) for i, kind in enumerate(kinds)], names=["part", "kind", "block", "j", "r", "data", "counts"])
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for k, block in enumerate(_blocks(batches), TaskContext.get().partitionId() << 32):
+            for j, (c, b) in enumerate(zip(block, shared.value, strict=True)):
+                u, inverse, n = np.unique(c, return_inverse=True, return_counts=True)
+                cut = [0, *np.searchsorted(u, b).tolist(), len(u)]
+                rows = [((j * ranges + r) % parts, 0, k, j, r, _steps(u[lo:hi]), _packed(n[lo:hi])) for r, (lo, hi) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if lo < hi]
+                yield records([*rows, ((k * 31 + (k >> 32) + j) % parts, 1, k, j, 0, _packed(inverse), None)])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, held = None, []
+
+        def ranked() -> Iterator[pa.RecordBatch]:
+            code = [np.cumsum(_unpacked(data), dtype=np.uint64) for _, data, _ in held]
+            u, of = np.unique(np.concatenate(code), return_inverse=True)
+            n = np.bincount(of, np.concatenate([_unpacked(counts) for *_, counts in held]), len(u)).astype(np.int64)
+            twice, lo = 2 * (before.value[at] + np.cumsum(n) - n) + n + 1, 0
+            for (block, *_), c in zip(held, code, strict=True):
+                yield records([(0, 0, block, *at, _steps(twice[of[lo : lo + len(c)]]), None)])
+                lo += len(c)
+            held.clear()
+
+        for b in batches:
+            for _, kind, block, j, r, data, counts in zip(*(c.to_pylist() for c in b.columns), strict=True):
+                if held and (kind or (j, r) != at):
+                    yield from ranked()
+                if kind:
+                    yield records([(0, 1, block, j, 0, data, None)])
+                else:
+                    at = j, r
+                    held.append((block, data, counts))
+        if held:
+            yield from ranked()
+
+    def matrices(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+        at, ranks, x = None, [], None
+        for b in batches:
+            for block, kind, j, data in zip(*(b.column(i).to_pylist() for i in (2, 1, 3, 5)), strict=True):
+                if kind == 0:  # a column's ranks come first, in order of their ranges
+                    ranks.append(np.cumsum(_unpacked(data)))
+                    continue
+                inverse = _unpacked(data).astype(np.int64)
+                if block != at:
+                    if x is not None:
+                        yield x
+                    at, x = block, np.empty((len(inverse), d))
+                x[:, j] = np.concatenate(ranks)[inverse] / 2
+                ranks = []
+        if x is not None:
+            yield x
+
+    by_range = chosen.mapInArrow(deal, _DEALT).repartitionById(parts, F.col("part")).sortWithinPartitions("kind", "j", "r")
+    return by_range.mapInArrow(rank, _DEALT).repartition(parts, "block").sortWithinPartitions("block", "j", "kind", "r"), matrices
+
+
 def repeatable_rank(df: DataFrame, strata: Sequence[Column], seed: int, name: str) -> DataFrame:
     """``df`` with the place (from 1) of each row in its stratum, in the order of a keyed hash of the whole row.
 

@@ -5,6 +5,7 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -387,6 +388,28 @@ def test_spearman_with_few_and_many_values(spark, monkeypatch, four, limit):
     assert np.allclose(correlation(four, list(data.columns), "spearman"), data.rank().corr())
 
 
+@pytest.mark.parametrize("block, size", [(1 << 20, 1 << 21), (600, 250)])
+def test_ranks_by_ranges(spark, monkeypatch, block, size):
+    """Ranks of any number of distinct values, often repeated ones among them, come from packed blocks of rows, not from a row a value."""
+    ranks, linalg = (importlib.import_module(f"phenolith.functions.{m}") for m in ("ranks", "linalg"))
+    monkeypatch.setattr(ranks, "BLOCK", block)
+    monkeypatch.setattr(ranks, "RANGE", size)
+    monkeypatch.setattr(linalg, "RANKS", 100)
+    rng = np.random.default_rng(8)
+    x = rng.normal(size=6000)
+    data = pd.DataFrame({"a": x, "b": np.where(rng.random(6000) < 0.8, 0.0, np.round(x, 2)), "c": np.where(rng.random(6000) < 0.5, -0.0, 0.0), "d": rng.integers(-3, 3, 6000) * 1e300})
+    df = spark.createDataFrame(data).repartition(3).cache()
+    assert ranks.rank_bounds(df.select("c"), ["c"], 6000, 2) is None
+    dealt, matrices = ranks.average_ranks(df, list(data.columns), ranks.rank_bounds(df, list(data.columns), 6000, 0))
+    rows = dealt.collect()
+    got = np.concatenate(list(matrices(iter(pa.RecordBatch.from_pylist([r.asDict() for r in rows if r.block == b]) for b in {r.block for r in rows}))))
+    assert sorted(map(tuple, got)) == sorted(map(tuple, data.rank().to_numpy()))
+    assert len(rows) < 24_000 / 4
+    assert np.allclose(correlation(df, ["a", "b", "d"], "spearman"), data[["a", "b", "d"]].rank().corr())
+    with_missing = data[["a", "b"]].assign(a=np.where(rng.random(6000) < 0.1, np.nan, data.a))
+    assert np.isclose(correlation(spark.createDataFrame(with_missing), ["a", "b"], "spearman")[1, 0], with_missing.dropna().rank().corr().iloc[1, 0])
+
+
 def test_wide_tables_have_the_statistics_of_narrow_ones(spark, monkeypatch):
     """Statistics of many columns in one pass over batches equal those of an aggregation, missing values and constants included."""
     linalg, select = (importlib.import_module(f"phenolith.{m}") for m in ("functions.linalg", "operators.select"))

@@ -17,7 +17,8 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from phenolith.functions.exprs import number, unique_name
+from phenolith.functions.exprs import col, number, unique_name
+from phenolith.functions.reuse import kept
 
 #: Rows of counts that a pass may bring to the driver, bits of the first prefix and most bits of a later step.
 ROWS, FIRST, STEP = 1 << 21, 12, 16
@@ -111,9 +112,13 @@ class _Search:
         return code[left], start[left], n[left]
 
 
-def order_statistics(df: DataFrame, columns: Sequence[str], p: Sequence[float], group: str | None = None) -> dict[int, np.ndarray]:
+def order_statistics(df: DataFrame, columns: Sequence[str], p: Sequence[float], group: str | None = None, once: bool = True) -> dict[int, np.ndarray]:
     """For each group (an integer column, or 0) exact percentiles at ``p``, interpolated between
-    neighbours, as a row each; NaN for columns without values.  Missing values are left out."""
+    neighbours, as a row each; NaN for columns without values.  Missing values are left out.  With ``once`` a table that is more
+    than a scan is made once for all passes."""
+    if once:
+        with kept(df.select(*[col(c) for c in dict.fromkeys([*([group] if group else []), *columns])])) as rows:
+            return order_statistics(rows, columns, p, group, once=False)
     out: dict[int, np.ndarray] = {}
     width = max(1, min(len(columns), ROWS >> FIRST))
     for lo in range(0, len(columns), width):

@@ -4,12 +4,14 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from phenolith.functions.exprs import col, number, unique_name
 from phenolith.functions.ranks import order_statistics
+from phenolith.functions.reuse import kept
 from phenolith.functions.schema import features_of
 from phenolith.sources.sinks import sink
 
@@ -38,12 +40,28 @@ def null_safe(left: DataFrame, right: DataFrame, keys: Sequence[str], how: str)
     return left.join(right, cond, how).drop(*marks)
 
 
-def _sizes(df: DataFrame, strata: Sequence[str]) -> tuple[int, list[tuple]]:
-    """(features of one aggregation, keys of the strata of more than ``LARGE`` rows)."""
-    n = unique_name("_n", strata)
-    sizes = df.groupBy(*[col(k) for k in strata]).agg(F.count("*").alias(n))
-    row = sizes.agg(F.max(F.when(col(n) <= LARGE, col(n))), F.collect_list(F.when(col(n) > LARGE, F.struct(*[col(k) for k in strata])))).first()
-    return max(1, min(CHUNK, CELLS // (row[0] or 1))), [tuple(k) for k in row[1]]
+def _sizes(df: DataFrame, strata: Sequence[str], counts: Sequence[Column]) -> tuple[int | None, list[tuple], list[list[int]]]:
+    """(most rows of the strata of ``LARGE`` rows or fewer, keys of the larger ones, their ``counts``)."""
+    n, found = unique_name("_n", strata), [unique_name(f"_c{i}", strata) for i in range(len(counts))]
+    sizes = df.groupBy(*[col(k) for k in strata]).agg(F.count("*").alias(n), *[c.alias(name) for c, name in zip(counts, found, strict=True)])
+    row = sizes.agg(F.max(F.when(col(n) <= LARGE, col(n))), F.collect_list(F.when(col(n) > LARGE, F.struct(F.struct(*[col(k) for k in strata]), F.array(*map(F.col, found)).cast("array<long>"))))).first()
+    return row[0], [tuple(k) for k, _ in row[1]], [list(c) for _, c in row[1]]
+
+
+def _large_medians(df: DataFrame, strata: Sequence[str], features: Sequence[str], counts: Sequence[Column], names: Sequence[str]) -> tuple[int | None, DataFrame | None, DataFrame | None]:
+    """(most rows of the other strata, keys of the strata of more than ``LARGE`` rows, these strata's profiles); all passes read rows that are made once."""
+    spark = df.sparkSession
+    with kept(df) as rows:
+        most, large, counted = _sizes(rows, strata, counts)
+        if not large:
+            return most, None, None
+        keys, group = [df.schema[k] for k in strata], unique_name("_group", df.columns)
+        of = spark.createDataFrame([(*k, i) for i, k in enumerate(large)], T.StructType([*keys, T.StructField(group, T.IntegerType())]))
+        some = null_safe(rows, F.broadcast(of), strata, "inner")  # at most a stratum for each LARGE rows
+        found = order_statistics(some, features, (0.5,), group, once=False)
+    none = np.full((1, len(features)), np.nan)
+    profiles = [(*k, *c, *[None if v != v else float(v) for v in found.get(i, none)[0]]) for i, (k, c) in enumerate(zip(large, counted, strict=True))]
+    return most, of, spark.createDataFrame(profiles, T.StructType([*keys, *[T.StructField(c, T.LongType()) for c in names], *[T.StructField(c, T.DoubleType()) for c in features]]))
 
 
 @sink
@@ -75,23 +93,22 @@ def aggregate(
         for k in keys:
             known = known & k.isNotNull()
         counts = [F.count(F.when(known, col(object_feature))).alias("Metadata_Object_Count")]
-    width, large = _sizes(population_df, strata) if how == "median" and features else (CHUNK, [])
-    whole = population_df
-    if large:
-        group = unique_name("_group", population_df.columns)
-        of = population_df.sparkSession.createDataFrame([(*k, i) for i, k in enumerate(large)], T.StructType([*[population_df.schema[k] for k in strata], T.StructField(group, T.IntegerType())]))
-        whole = null_safe(population_df, F.broadcast(of), strata, "left")  # at most a stratum for each LARGE rows
-        population_df = whole.filter(col(group).isNull()).drop(group)
-    pieces = [features[i : i + width] for i in range(0, len(features), width)] or [[]]
+    names = ["Metadata_Object_Count"] * len(counts)
+    width, profiles = CHUNK, None
+    if how == "median" and features:
+        needed = list(dict.fromkeys([*strata, *features, *([object_feature] if counts else [])]))
+        most, large, profiles = _large_medians(population_df.select(*[col(c) for c in needed]), strata, features, counts, names)
+        width = max(1, min(CHUNK, CELLS // (most or 1)))
+        if large is not None:
+            population_df = null_safe(population_df, F.broadcast(large), strata, "leftanti") if most else None
     out = None
-    for i, piece in enumerate(pieces):
-        one = population_df.groupBy(*keys).agg(*(counts if i == 0 else []), *[measure(number(c)).alias(c) for c in piece])
-        out = one if out is None else null_safe(out, one, strata, "inner")
-    if large:
-        some = whole.filter(col(group).isNotNull())
-        found = order_statistics(some, features, (0.5,), group)
-        medians = some.sparkSession.createDataFrame([(g, *[None if v != v else float(v) for v in x[0]]) for g, x in found.items()], T.StructType([T.StructField(group, T.IntegerType()), *[T.StructField(c, T.DoubleType()) for c in features]]))
-        out = out.unionByName(some.groupBy(col(group), *keys).agg(*(counts or [F.count("*").alias(group + "n")])).join(F.broadcast(medians), group, "left").select(*[col(c) for c in out.columns]))
+    if population_df is not None:
+        pieces = [features[i : i + width] for i in range(0, len(features), width)] or [[]]
+        for i, piece in enumerate(pieces):
+            one = population_df.groupBy(*keys).agg(*(counts if i == 0 else []), *[measure(number(c)).alias(c) for c in piece])
+            out = one if out is None else null_safe(out, one, strata, "inner")
+    if profiles is not None:
+        out = profiles if out is None else out.unionByName(profiles)
     if compute_object_count:
         any_null = F.lit(False)
         for k in strata:

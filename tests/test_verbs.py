@@ -388,6 +388,37 @@ def test_spearman_with_few_and_many_values(spark, monkeypatch, four, limit):
     assert np.allclose(correlation(four, list(data.columns), "spearman"), data.rank().corr())
 
 
+@pytest.mark.parametrize("small, times", [(0, 1), (5, 2)])
+def test_medians_of_joined_rows_make_them_once(spark, monkeypatch, small, times):
+    """The passes of a median of large strata read joined rows that were made once (twice where smaller strata are there too)."""
+    module, n = importlib.import_module("phenolith.operators.aggregate"), 3000
+    monkeypatch.setattr(module, "LARGE", 50)
+    rng = np.random.default_rng(2)
+    data = pd.DataFrame({"Metadata_g": rng.choice(["a", "b", None], n), "Metadata_k": np.arange(n) % 7, "Metadata_o": 1.0, "Cells_x": rng.normal(size=n), "Cells_y": rng.normal(size=n).round(2), "Cells_none": np.nan})
+    data = pd.concat([data, data.iloc[:small].assign(Metadata_g="few")])
+    made = spark.sparkContext.accumulator(0)
+
+    def counting(batches):
+        for b in batches:
+            made.add(b.num_rows)
+            yield b
+
+    source = spark.createDataFrame(data)
+    df = source.mapInArrow(counting, source.schema)
+    keys = spark.createDataFrame([(i,) for i in (1, 2, 2, 5)], "Metadata_k long")
+    out = aggregate(df, strata=["Metadata_g"], subset_data_df=keys, compute_object_count=True, object_feature="Metadata_o").collect()
+    assert made.value == times * len(data) and not df.sparkSession._jsparkSession.sharedState().cacheManager().numCachedEntries()
+    joined = data.merge(pd.DataFrame({"Metadata_k": [1, 2, 2, 5]}))
+    want = joined.groupby("Metadata_g", dropna=False)[["Cells_x", "Cells_y", "Metadata_o"]].agg(lambda v: v.median() if v.name != "Metadata_o" else len(v))
+    assert len(out) == len(want)
+    for r in out:
+        w = want[want.index.isna()].iloc[0] if r.Metadata_g is None else want.loc[r.Metadata_g]
+        assert (r.Cells_x, r["Cells_y"], r.Cells_none) == (w.Cells_x, w["Cells_y"], None) and r.Metadata_Object_Count == (None if r.Metadata_g is None else w.Metadata_o)
+    made.value = 0
+    normalize(df, features=["Cells_x", "Cells_y"], method="mad_robustize").count()
+    assert made.value <= 3 * len(data)
+
+
 @pytest.mark.parametrize("block, size", [(1 << 20, 1 << 21), (600, 250)])
 def test_ranks_by_ranges(spark, monkeypatch, block, size):
     """Ranks of any number of distinct values, often repeated ones among them, come from packed blocks of rows, not from a row a value."""
